@@ -45,12 +45,12 @@ RULES = (
     Rule(
         "assign",
         r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        lambda t: t.rlike(r"""(?i:d|t|n|y)["']?\x20*[:=]""") & t.rlike(r"(?i:passw|secret|token|api_?key)"),
+        lambda t: (t.contains("=") | t.contains(":")) & t.rlike(r"""[dDtTnNyY]["']?\x20*[:=]"""),
         2,
         6,
     ),
     Rule("access", r"AKIA[A-Z0-9]{16,}", lambda t: t.contains("AKIA")),
-    Rule("hex", r"[0-9a-f]{24,}", lambda t: t.rlike(r"[0-9a-f]{24}")),
+    Rule("hex", r"[0-9a-f]{24,}", lambda t: t.rlike(r"(?<![0-9a-f])[0-9a-f]{24}")),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", lambda t: t.contains("PRIVATE KEY-----")),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lambda t: t.contains("eyJ")),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", lambda t: t.rlike("gh[pousr]_")),
