@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secrets
+from . import decontam, secrets, toxicity
 from .common import table
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").cast("long").alias("n_offending"),
+    )
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.scan(docs, None, path="doc_id")
     return secrets.digest(secrets.findings(docs, ledger, path="doc_id"))
 
 
-QUERIES = {"op10_secret_scan": op10_secret_scan}
+QUERIES = {f.__name__: f for f in (op8_decontaminate, op9_toxicity, op10_secret_scan)}
 ORACLES = {"op10_secret_scan": secrets.sql()}
