@@ -96,9 +96,10 @@ def tiles(texts: list[bytes], most: int = 1 << 20):
         yield first, len(texts)
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Of all words, in order: 64-bit hash, number of the text, first byte in the text, end.
 
+    Then, for each size in ``prefixes``, a hash of the word's first bytes, or 0 where the word isn't longer.
     Work arrays take about 40 bytes for each byte of ``texts``; callers hand over ``tiles``.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
@@ -113,10 +114,17 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_VALUES[data] * power[: len(data)], out=total[1:])
     hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    heads = [np.where(end - start > n, mix((total[np.minimum(start + n, end)] - total[start]) * inverse[start] + np.uint64(1000 + n)), np.uint64(0)) for n in prefixes]
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     begins = np.cumsum(sizes) - sizes
     of = np.searchsorted(begins, start, side="right") - 1
-    return hashes, of, start - begins[of], end - begins[of]
+    return hashes, of, start - begins[of], end - begins[of], *heads
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def sliding_hash(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -136,3 +144,14 @@ def encoded(values) -> list[bytes]:
 
 def package_dir() -> str:
     return os.path.dirname(os.path.abspath(__file__))
+
+
+def text_tiles(batch, column: str = "text", most: int = 1 << 20):
+    """(first row, texts as UTF-8) of a record batch, about ``most`` bytes at a time; a null is empty."""
+    import pyarrow as pa
+
+    values = batch.column(column).cast(pa.binary())
+    for at in range(0, len(values), 512):
+        texts = [v or b"" for v in values.slice(at, 512).to_pylist()]
+        for a, b in tiles(texts, most):
+            yield at + a, texts[a:b]
