@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, secrets, toxicity
+from . import bpe, decontam, htmltext, secrets, toxicity, urlrules
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,5 +45,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(docs, ledger, path="doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op8_decontaminate, op9_toxicity, op10_secret_scan)}
-ORACLES = {"op10_secret_scan": secrets.sql()}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_html_text, op6_url_filter, op8_decontaminate, op9_toxicity, op10_secret_scan)}
+ORACLES = {"op6_url_filter": urlrules.sql(), "op10_secret_scan": secrets.sql()}
