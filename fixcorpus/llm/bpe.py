@@ -147,18 +147,30 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with ids, the token ids of the whole text."""
+def _folded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]) -> DataFrame:
+    """A row for each batch of documents: their ``keep`` columns, the places of their pieces among the distinct words, and the words' tokens."""
     kinds = T.StructType([docs.schema[c] for c in keep])
     pieces = docs.select(F.struct(*keep).alias("row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"))
+    words = T.ArrayType(T.ArrayType(T.LongType()))
     batches = pieces.mapInArrow(
         _distinct(load(path)),
-        T.StructType([T.StructField("rows", T.ArrayType(kinds)), T.StructField("index", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("words", T.ArrayType(T.ArrayType(T.LongType())))]),
+        T.StructType([T.StructField("rows", T.ArrayType(kinds)), T.StructField("index", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("words", words)]),
     )
     lookup = rank_lookup(path)
-    encoded = batches.select("rows", "index", "counts", F.transform("words", lambda w: merged(w, lookup)).alias("tokens"))
-    schema = T.StructType([*kinds.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return encoded.mapInArrow(_assembled(keep), schema)
+    return batches.select("rows", "index", "counts", F.transform("words", lambda w: merged(w, lookup)).alias("tokens"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` with ids, the token ids of the whole text."""
+    def run(batches):
+        import pyarrow as pa
+
+        for rows, ids, edges in _parts(batches):
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in keep], lists], names=[*keep, "ids"])
+
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return _folded(docs, path, pattern, keep).mapInArrow(run, schema)
 
 
 def _distinct(tokens: tuple[bytes, ...]):
@@ -197,29 +209,27 @@ def ragged(offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return np.repeat(offsets[chosen] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _assembled(keep: tuple[str, ...]):
-    def run(batches):
-        import pyarrow as pa
+def _parts(batches):
+    """(rows, ids, edges) of some documents at a time: document i has ids[edges[i]:edges[i + 1]]."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows = batch.column("rows").slice(i, 1).flatten()
+            index = np.frombuffer(batch.column("index")[i].as_py(), "<i4")
+            counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
+            tokens = batch.column("tokens").slice(i, 1).flatten()
+            base = tokens.offsets.to_numpy().astype(np.int64)
+            values = tokens.values.to_numpy(zero_copy_only=False)
+            pieces = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            for a in range(0, len(counts), 256):
+                b = min(a + 256, len(counts))
+                chosen = index[pieces[a] : pieces[b]]
+                ends = np.concatenate([[0], np.cumsum(base[chosen + 1] - base[chosen])])
+                yield rows.slice(a, b - a), values[ragged(base, chosen)].astype(np.int32), ends[pieces[a : b + 1] - pieces[a]]
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows = batch.column("rows").slice(i, 1).flatten()
-                index = np.frombuffer(batch.column("index")[i].as_py(), "<i4")
-                counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
-                tokens = batch.column("tokens").slice(i, 1).flatten()
-                offsets = tokens.offsets.to_numpy().astype(np.int64)
-                values = tokens.values.to_numpy(zero_copy_only=False)
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                for a in range(0, len(counts), 256):
-                    b = min(a + 256, len(counts))
-                    chosen = index[edges[a] : edges[b]]
-                    ids = values[ragged(offsets, chosen)]
-                    ends = np.concatenate([[0], np.cumsum(offsets[chosen + 1] - offsets[chosen])])[edges[a : b + 1] - edges[a]]
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    part = rows.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*[part.field(c) for c in keep], lists], names=[*keep, "ids"])
 
-    return run
+def joined(tokens: tuple[bytes, ...], ids: list[int]) -> bytes:
+    """Decoding: the bytes of the tokens one after the other."""
+    return b"".join(map(tokens.__getitem__, ids))
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -230,7 +240,7 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
         import pyarrow as pa
 
         for batch in batches:
-            out = [b"".join([tokens[i] for i in ids or ()]) for ids in batch.column("ids").to_pylist()]
+            out = [joined(tokens, ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())])
@@ -238,23 +248,23 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    decoded = decode(encode(docs, path, pattern), path, ("doc_id", "ids"))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: encoded, then decoded from the ids, in one pass."""
+    tokens = load(path)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in batch.column("ids")]
+        for rows, ids, edges in _parts(batches):
+            each = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]),
+                    rows.field("doc_id"),
+                    pa.array([len(x) for x in each], pa.int64()),
+                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
+                    pa.array([hashlib.sha256(joined(tokens, x.tolist())).hexdigest() for x in each], pa.string()),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return decoded.mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return _folded(docs, path, pattern, ("doc_id",)).mapInArrow(run, schema)
