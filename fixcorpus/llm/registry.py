@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, secrets, toxicity, urlrules
+from . import bpe, decontam, htmltext, secrets, substrings, suffixes, toxicity, urlrules
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -23,6 +27,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judged(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +53,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(docs, ledger, path="doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_html_text, op6_url_filter, op8_decontaminate, op9_toxicity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_suffix_dedup, op5_html_text, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_toxicity, op10_secret_scan)}
 ORACLES = {"op6_url_filter": urlrules.sql(), "op10_secret_scan": secrets.sql()}
