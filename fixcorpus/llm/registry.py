@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, secrets, substrings, suffixes, toxicity, urlrules
+from . import bpe, decontam, htmltext, quality, secrets, substrings, suffixes, toxicity, urlrules
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,5 +57,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(docs, ledger, path="doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_suffix_dedup, op5_html_text, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_toxicity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op4_suffix_dedup, op5_html_text, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_toxicity, op10_secret_scan)}
 ORACLES = {"op6_url_filter": urlrules.sql(), "op10_secret_scan": secrets.sql()}
