@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, quality, secrets, substrings, suffixes, toxicity, urlrules
+from . import bpe, decontam, htmltext, neardup, quality, secrets, substrings, suffixes, toxicity, urlrules
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents"), width=4, percent=80).drop("fp")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(docs, ledger, path="doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op4_suffix_dedup, op5_html_text, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_toxicity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_minhash_dedup, op4_suffix_dedup, op5_html_text, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_toxicity, op10_secret_scan)}
 ORACLES = {"op6_url_filter": urlrules.sql(), "op10_secret_scan": secrets.sql()}
