@@ -76,12 +76,15 @@ def _literal(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(kind)
 
 
-#: Stands before and after the symbols of a piece; no pair with it has a rank.
-EDGE = 65_535
+#: Stands before and after the symbols of a piece, and for a missing rank; no pair with it has a rank.
+NONE = 65_535
+#: A cell of the fold holds the rank of the pair that it begins, its place in the piece and its token, in this order of
+#: bits, so the smallest cell is the leftmost pair of lowest rank.
+_RANK, _PLACE = 46, 16
 
 
 def rank_lookup(path: str):
-    """Array of pairs (a << 16 | b) -> array of the ranks of the tokens that they make; null where there is none."""
+    """(pair a << 16 | b, rest of a cell) -> the cell with the rank of the token that the pair makes."""
     steps, entries = rank_table(path)
     size, buckets = len(entries), len(steps)
     step_of, entry_of = _literal(steps, "array<int>"), _literal(entries, "array<bigint>")
@@ -90,38 +93,46 @@ def rank_lookup(path: str):
         step = F.get(step_of, (key * 40_503 % F.lit(4_294_967_291) % buckets).cast("int"))
         return F.get(entry_of, ((key * 48_271 % size + step * (key * 69_621 % (size - 1) + 1)) % size).cast("int"))
 
-    def lookup(keys: Column) -> Column:
-        return let(keys, lambda ks: F.zip_with(ks, F.transform(ks, entry), lambda k, e: F.when(F.shiftright(e, 16) == k, e.bitwiseAND(F.lit(65_535)))))
+    def cell(pair: Column, rest: Column) -> Column:
+        rank = lambda e: F.when(F.shiftright(e, 16) == pair, e.bitwiseAND(F.lit(65_535))).otherwise(F.lit(NONE).cast("bigint"))
+        return let(entry(pair), lambda e: F.shiftleft(rank(e), _RANK).bitwiseOR(rest))
 
-    return lookup
+    return cell
 
 
-def merged(symbols: Column, lookup) -> Column:
-    """The fold: ``symbols``, an array of token ids, after all merges.
+def merged(symbols: Column, cell) -> Column:
+    """The fold: ``symbols``, an array of token ids, after all merges. A merge renews two cells."""
+    token = lambda c: c.bitwiseAND(F.lit(65_535))
+    below = lambda c: c.bitwiseAND(F.lit((1 << _RANK) - 1))
+    pair = lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)
+    none = F.lit(NONE << _RANK)
 
-    The state holds the symbols between two edges, and the rank of each neighbouring pair; a merge renews two ranks.
-    """
-    def one(state: Column, _: Column) -> Column:
+    def one(cells: Column, _: Column) -> Column:
         def merge(best: Column) -> Column:
-            s, ranks = state["s"], state["r"]
+            new = F.shiftright(best, _RANK)
 
             def put(at: Column) -> Column:
-                pairs = F.array(F.shiftleft(F.get(s, at - 2), 16).bitwiseOR(best), F.shiftleft(best, 16).bitwiseOR(F.get(s, at + 1)))
-                return F.struct(
-                    F.concat(F.slice(s, F.lit(1), at - 1), F.array(best), F.slice(s, at + 2, F.size(s))).alias("s"),
-                    F.concat(F.slice(ranks, F.lit(1), at - 2), lookup(pairs), F.slice(ranks, at + 2, F.size(ranks))).alias("r"),
+                left = F.get(cells, at - 2)
+                two = F.array(
+                    F.struct(pair(token(left), new).alias("pair"), below(left).alias("rest")),
+                    F.struct(pair(new, token(F.get(cells, at + 1))).alias("pair"), below(best).bitwiseAND(F.lit(-65_536)).bitwiseOR(new).alias("rest")),
                 )
+                return F.concat(F.slice(cells, F.lit(1), at - 2), F.transform(two, lambda x: cell(x["pair"], x["rest"])), F.slice(cells, at + 2, F.size(cells)))
 
-            return F.when(best.isNull(), state).otherwise(let(F.array_position(ranks, best).cast("int"), put))
+            return F.when(best >= none, cells).otherwise(let(F.array_position(cells, best).cast("int"), put))
 
-        return let(F.array_min(state["r"]), merge)
+        return let(F.array_min(cells), merge)
 
     def started(s: Column) -> Column:
-        ranks = lookup(F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - 3)), F.struct(s.alias("s"), ranks.alias("r")), one, lambda state: F.slice(state["s"], F.lit(2), F.size(state["s"]) - 2))
+        pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: pair(a.cast("bigint"), F.coalesce(b, F.lit(NONE)).cast("bigint")))
+        cells = F.transform(pairs, lambda x, i: cell(x, F.shiftleft((i + 1).cast("bigint"), _PLACE).bitwiseOR(F.shiftright(x, 16))))
+        edge = F.array(F.lit(NONE << _RANK | NONE))
+        last = F.array(F.lit(NONE << _RANK | ((1 << _RANK - _PLACE) - 1) << _PLACE | NONE))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - 1)), F.concat(edge, cells, last), one, lambda c: F.transform(F.slice(c, F.lit(2), F.size(c) - 2), lambda x: token(x).cast("int"))
+        )
 
-    edge = F.array(F.lit(EDGE).cast("bigint"))
-    return let(F.concat(edge, symbols, edge), started).cast("array<int>")
+    return let(symbols, started)
 
 
 #: White space as Unicode has it; Java's \\s knows ASCII only, and its Unicode mode slows every class down.
@@ -151,7 +162,7 @@ def _folded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]) ->
     """A row for each batch of documents: their ``keep`` columns, the places of their pieces among the distinct words, and the words' tokens."""
     kinds = T.StructType([docs.schema[c] for c in keep])
     pieces = docs.select(F.struct(*keep).alias("row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"))
-    words = T.ArrayType(T.ArrayType(T.LongType()))
+    words = T.ArrayType(T.ArrayType(T.IntegerType()))
     batches = pieces.mapInArrow(
         _distinct(load(path)),
         T.StructType([T.StructField("rows", T.ArrayType(kinds)), T.StructField("index", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("words", words)]),
@@ -174,7 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
 
 def _distinct(tokens: tuple[bytes, ...]):
-    byte_ids = np.zeros(256, dtype=np.int64)
+    byte_ids = np.zeros(256, dtype=np.int32)
     for i, t in enumerate(tokens):
         if len(t) == 1:
             byte_ids[t[0]] = i
@@ -190,10 +201,9 @@ def _distinct(tokens: tuple[bytes, ...]):
             words = pieces.flatten().cast(pa.binary()).dictionary_encode()
             index = words.indices.to_numpy(zero_copy_only=False).astype("<i4")
             kept = words.dictionary
-            sizes = np.array([len(w) for w in kept.to_pylist()], dtype=np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            data = byte_ids[np.frombuffer(b"".join(kept.to_pylist()), dtype=np.uint8)]
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(data, pa.int64()))
+            offsets = np.frombuffer(kept.buffers()[1], np.int32)[kept.offset : kept.offset + len(kept) + 1] if len(kept) else np.zeros(1, np.int32)
+            data = byte_ids[np.frombuffer(kept.buffers()[2], np.uint8)[: offsets[-1]]] if offsets[-1] else byte_ids[:0]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(data, pa.int32()))
             whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
                 [whole(batch.column("row")), pa.array([index.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), whole(lists)], names=["rows", "index", "counts", "words"]

@@ -110,19 +110,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     end. Documents pass once for each ``BLOCK`` test items; nothing is shuffled.
     """
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema[item_col], T.StructField("distance", T.LongType()), T.StructField("end_word", T.LongType())])
+    lowered = docs.select("doc_id", F.lower("text").alias("text"))
+    parts = [lowered.mapInArrow(_finder(m, item_col), schema) for m in matchers(benchmark, similarity, min_words, item_col)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` in which no test item is found."""
+    def run(matcher: Items):
+        def keep(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                free = np.ones(batch.num_rows, bool)
+                for at, texts in text_tiles(batch, "_lower"):
+                    hashes, of, _, _ = word_hashes(texts)
+                    free[[at + m[0] for m in matcher.matches(hashes, of, len(texts))]] = False
+                yield batch.filter(pa.array(free)).drop_columns(["_lower"])
+
+        return keep
+
+    out = docs
+    for m in matchers(benchmark, similarity, min_words, item_col):
+        out = out.withColumn("_lower", F.lower("text")).mapInArrow(run(m), docs.schema)
+    return out
+
+
+def matchers(benchmark: DataFrame, similarity: float, min_words: int, item_col: str) -> Iterator[Items]:
+    """All test items, at most about ``BLOCK`` at a time."""
     items = benchmark.select(item_col, F.lower("text").alias("text")).where(F.col("text").isNotNull())
     blocks = max(1, -(-items.count() // BLOCK))
-    parts = []
     for i in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(item_col, "text"), F.lit(blocks)) == i).distinct().collect()
         rows = sorted(((r[0], encoded([r[1]])) for r in rows), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
         prepared = [(k, word_hashes(t)[0].tolist()) for k, t in rows]
-        matcher = Items([(k, w) for k, w in prepared if len(w) >= max(1, min_words)], similarity)
-        parts.append(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_finder(matcher, item_col), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        yield Items([(k, w) for k, w in prepared if len(w) >= max(1, min_words)], similarity)
 
 
 def _finder(matcher: Items, item_col: str):

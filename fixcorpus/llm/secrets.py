@@ -119,11 +119,15 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
     """(path, found): every version with the spans that the ledger has for its blob under the current rules.
 
-    ``found`` holds structs (start, order, kind, end), by start and then by the order of the rules. Only blobs with
-    spans are joined back.
+    Only blobs with spans are joined back.
     """
+    return blobs_of(versions, path, text).select("path", "blob").join(hits(ledger, rules), "blob", "left")
+
+
+def hits(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, found) of blobs with spans: structs (start, order, kind, end), by start and then by the order of the rules."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (f"{r.kind}\x00{r.version}", i)])
-    hits = (
+    return (
         ledger.where(F.size("spans") > 0)
         .withColumn("order", F.try_element_at(order, F.concat_ws("\x00", "rule", "version")))
         .where(F.col("order").isNotNull())
@@ -131,7 +135,6 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
         .groupBy("blob")
         .agg(F.array_sort(F.collect_set(F.struct("start", "order", "kind", "end"))).alias("found"))
     )
-    return blobs_of(versions, path, text).select("path", "blob").join(hits, "blob", "left")
 
 
 def joined(found: Column) -> Column:
@@ -150,8 +153,8 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``found`` (path = doc_id) replaced by ``mark``; overlapping spans become one."""
+def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span that the ledger has for its text replaced by ``mark``; overlapping spans become one."""
     def cutout(text: Column, spans: Column) -> Column:
         step = lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -159,10 +162,10 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFra
         )
         return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    hits = found.where(F.col("found").isNotNull()).select(F.col("path").alias("_path"), F.col("found").alias("_found")).dropDuplicates(["_path"])
-    out = docs.join(hits, docs["doc_id"] == hits["_path"], "left")
-    out = out.withColumn("text", F.when(F.col("_found").isNotNull(), cutout(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits(ledger, rules).toDF("_blob", "_found"), "_blob", "left")
+    found = F.col("_found").isNotNull()
+    out = out.withColumn("text", F.when(found, cutout(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 _BASE_SQL = {"assign": (RULES[0].pattern, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}
