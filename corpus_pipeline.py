@@ -10,23 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixcorpus.llm import bpe, decontam, neardup, secrets, toxicity
-from fixcorpus.llm.common import stored, table
+from fixcorpus.llm.common import fresh, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model learns from labelled documents among ``docs``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    return toxicity.harmless(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id; documents without words stay."""
     rows = neardup.grouped(docs, width=5, percent=80).where("kept")
     empty = F.when(F.col("n_shingles") == 0, F.col("fp"))
-    chosen = rows.groupBy("doc_id", "component_id", empty.alias("_empty")).agg(F.min("fp").alias("_fp")).select(F.col("doc_id").alias("_id"), "_fp")
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    kept = own.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    own, id_, fp = fresh(docs, "_own"), fresh(docs, "_id"), fresh(docs, "_fp")
+    chosen = rows.groupBy("doc_id", "component_id", empty.alias("_empty")).agg(F.min("fp").alias(fp)).select(F.col("doc_id").alias(id_), fp)
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(fp)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

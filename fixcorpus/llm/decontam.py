@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encoded, sliding_hash, text_tiles, word_hashes
+from .common import encoded, fresh, sliding_hash, text_tiles, word_hashes
 
 #: Test items are matched this many at a time: what each task receives stays below a few MB however many there are.
 BLOCK = 5_000
@@ -120,22 +120,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` in which no test item is found."""
+    lower = fresh(docs, "_lower")
+
     def run(matcher: Items):
         def keep(batches):
             import pyarrow as pa
 
             for batch in batches:
                 free = np.ones(batch.num_rows, bool)
-                for at, texts in text_tiles(batch, "_lower"):
+                for at, texts in text_tiles(batch, lower):
                     hashes, of, _, _ = word_hashes(texts)
                     free[[at + m[0] for m in matcher.matches(hashes, of, len(texts))]] = False
-                yield batch.filter(pa.array(free)).drop_columns(["_lower"])
+                yield batch.filter(pa.array(free)).drop_columns([lower])
 
         return keep
 
     out = docs
     for m in matchers(benchmark, similarity, min_words, item_col):
-        out = out.withColumn("_lower", F.lower("text")).mapInArrow(run(m), docs.schema)
+        out = out.withColumn(lower, F.lower("text")).mapInArrow(run(m), docs.schema)
     return out
 
 

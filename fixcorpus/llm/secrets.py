@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 BASE_KINDS = ("assign", "access", "hex")
 LEDGER = "blob string, rule string, version string, spans array<struct<start:int,end:int>>"
@@ -162,10 +162,11 @@ def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
         )
         return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    out = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits(ledger, rules).toDF("_blob", "_found"), "_blob", "left")
-    found = F.col("_found").isNotNull()
-    out = out.withColumn("text", F.when(found, cutout(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    blob, found = fresh(docs, "_blob"), fresh(docs, "_found")
+    out = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits(ledger, rules).toDF(blob, found), blob, "left")
+    some = F.col(found).isNotNull()
+    out = out.withColumn("text", F.when(some, cutout(F.col("text"), F.col(found))).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 _BASE_SQL = {"assign": (RULES[0].pattern, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}

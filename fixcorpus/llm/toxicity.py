@@ -148,6 +148,24 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scorer(model, keep), T.StructType(fields))
 
 
+def harmless(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` scored below ``threshold``."""
+    used = np.flatnonzero(model.weights)
+    weights, bias = model.weights[used], model.bias
+
+    def run(batches):
+        import pyarrow as pa
+
+        whole = np.zeros(BUCKETS)
+        whole[used] = weights
+        own = Model(whole, bias)
+        for batch in batches:
+            scores = [own.scores(texts)[0] for _, texts in text_tiles(batch)]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _sentences(text: bytes) -> list[tuple[int, int]]:
     plain = text.translate(_PLAIN)
     out, at = [], 0
