@@ -43,9 +43,10 @@ def represented(pairs: DataFrame, options: regions.Options = regions.Options(),
 def build(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """All pairs in one table: stage and reason of those removed; input, output, token counts and split of the others.
 
-    A stage tags only rows that no earlier stage removed, so the counts of the report add up by construction.
+    A stage tags only rows that no earlier stage removed, so the counts of the report add up by construction. The rows
+    with line differences, and the finished rows, are persisted, since later steps read them more than once.
     """
-    cleaned = cleaning.clean(pairs, settings.rules)
+    cleaned = cleaning.clean(pairs, settings.rules).persist()
     alive = cleaned.where("reason IS NULL")
     twins = corpus.duplicates(alive.select("ord", "bug_id", "buggy_code", "fixed_code", "suspicious_start", "suspicious_end"), settings.strategy).select("ord", "duplicate_of")
     rows = cleaned.join(twins.where("duplicate_of IS NOT NULL"), "ord", "left")
@@ -63,7 +64,7 @@ def build(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = corpus.measured(rows)
     long = F.when(F.col("reason").isNull(), corpus.length_reason(settings.limits))
     rows = rows.withColumns({"stage": F.when(long.isNotNull(), "lengths").otherwise(F.col("stage")), "reason": F.coalesce(long, "reason")})
-    rows = rows.withColumn("group_key", corpus.group_key(F.col("project"), F.col("file_path"), F.col("bug_id")))
+    rows = rows.withColumn("group_key", corpus.group_key(F.col("project"), F.col("file_path"), F.col("bug_id"))).persist()
     kept = rows.where("reason IS NULL")
     ratios = dict(settings.ratios)
     split = corpus.split_groups(kept, "group_key", ratios, settings.seed) if settings.by_project else corpus.split_records(kept, "bug_id", ratios, settings.seed)
