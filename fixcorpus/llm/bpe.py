@@ -34,11 +34,16 @@ def load(path: str) -> tuple[bytes, ...]:
     return tuple(ranks[i] for i in range(len(ranks)))
 
 
+#: Bits of a place in the hash's table and of a bucket, and where they stand in the product.
+_PLACES, _BUCKETS, _PLACE_AT, _BUCKET_AT = 18, 15, 12, 33
+
+
 @functools.lru_cache(4)
-def rank_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """A perfect hash of all pairs of tokens that make a token: steps by bucket, and entries pair << 16 | rank.
+def rank_table(path: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """A perfect hash of all pairs of tokens that make a token: a factor, steps by bucket, and entries pair << 16 | rank.
 
-    A pair (a, b) is a * 65536 + b. Its place is found by ``place``; an empty place holds -1.
+    A pair (a, b) is a << 16 | b. Its place is one part of its product with the factor, changed by the step of the
+    bucket that another part names. Empty places hold 0, which no pair but the first could take for an entry.
     """
     tokens = load(path)
     rank = {t: i for i, t in enumerate(tokens)}
@@ -50,25 +55,29 @@ def rank_table(path: str) -> tuple[np.ndarray, np.ndarray]:
                 keys.append(a << 16 | b)
                 values.append(i)
     keys, values = np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64)
-    size = len(keys) * 5 // 4 | 1
-    while any(size % p == 0 for p in range(3, int(size**0.5) + 1, 2)):
-        size += 2
-    buckets = len(keys) // 3 + 1
-    bucket, first, stride = keys * 40_503 % 4_294_967_291 % buckets, keys * 48_271 % size, keys * 69_621 % (size - 1) + 1
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets + 1))
-    groups = sorted((order[a:b] for a, b in zip(edges, edges[1:], strict=False)), key=len, reverse=True)
-    entries, steps = np.full(size, -1, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
-    for group in groups:
-        step = 0
-        while True:
-            at = ((first[group] + step * stride[group]) % size).tolist()
-            if len(set(at)) == len(at) and all(entries[p] == -1 for p in at):
+    places, buckets = 1 << _PLACES, 1 << _BUCKETS
+    assert 3 * len(keys) < 2 * places, "the table is too small for this vocabulary"
+    for factor in (2_147_483_629, 1_999_999_973, 1_640_531_527, 1_500_450_271, 1_299_709_087):
+        product = keys * factor
+        bucket, first = product >> _BUCKET_AT & buckets - 1, product >> _PLACE_AT & places - 1
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets + 1))
+        groups = sorted((order[a:b] for a, b in zip(edges, edges[1:], strict=False)), key=len, reverse=True)
+        entries, steps = np.zeros(places, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        taken = np.zeros(places, dtype=bool)
+        for group in groups:
+            if len(set(first[group].tolist())) < len(group):
                 break
-            step += 1
-        entries[at] = keys[group] << 16 | values[group]
-        steps[bucket[group[0]]] = step
-    return steps, entries
+            step = 0
+            while taken[first[group] ^ step].any():
+                step += 1
+            at = first[group] ^ step
+            taken[at] = True
+            entries[at] = keys[group] << 16 | values[group]
+            steps[bucket[group[0]]] = step
+        else:
+            return factor, steps, entries
+    raise ValueError("no factor gives a perfect hash")
 
 
 def _literal(values: np.ndarray, kind: str) -> Column:
@@ -85,17 +94,16 @@ _RANK, _PLACE = 46, 16
 
 def rank_lookup(path: str):
     """(pair a << 16 | b, rest of a cell) -> the cell with the rank of the token that the pair makes."""
-    steps, entries = rank_table(path)
-    size, buckets = len(entries), len(steps)
-    step_of, entry_of = _literal(steps, "array<int>"), _literal(entries, "array<bigint>")
+    factor, steps, entries = rank_table(path)
+    step_of, entry_of = _literal(steps, "array<bigint>"), _literal(entries, "array<bigint>")
+    part = lambda pair, at, bits: F.shiftright(pair * factor, at).bitwiseAND(F.lit((1 << bits) - 1))
 
-    def entry(key: Column) -> Column:
-        step = F.get(step_of, (key * 40_503 % F.lit(4_294_967_291) % buckets).cast("int"))
-        return F.get(entry_of, ((key * 48_271 % size + step * (key * 69_621 % (size - 1) + 1)) % size).cast("int"))
+    def entry(pair: Column) -> Column:
+        return F.get(entry_of, part(pair, _PLACE_AT, _PLACES).bitwiseXOR(F.get(step_of, part(pair, _BUCKET_AT, _BUCKETS))))
 
     def cell(pair: Column, rest: Column) -> Column:
-        rank = lambda e: F.when(F.shiftright(e, 16) == pair, e.bitwiseAND(F.lit(65_535))).otherwise(F.lit(NONE).cast("bigint"))
-        return let(entry(pair), lambda e: F.shiftleft(rank(e), _RANK).bitwiseOR(rest))
+        # an entry of another pair differs above the rank's bits
+        return F.shiftleft(F.least(F.lit(NONE).cast("bigint"), entry(pair).bitwiseXOR(F.shiftleft(pair, 16))), _RANK).bitwiseOR(rest)
 
     return cell
 
@@ -107,30 +115,30 @@ def merged(symbols: Column, cell) -> Column:
     pair = lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)
     none = F.lit(NONE << _RANK)
 
-    def one(cells: Column, _: Column) -> Column:
-        def merge(best: Column) -> Column:
-            new = F.shiftright(best, _RANK)
+    def with_best(cells: Column) -> Column:
+        return let(cells, lambda c: F.struct(c.alias("cells"), F.array_min(c).alias("best")))
 
-            def put(at: Column) -> Column:
-                left = F.get(cells, at - 2)
-                two = F.array(
-                    F.struct(pair(token(left), new).alias("pair"), below(left).alias("rest")),
-                    F.struct(pair(new, token(F.get(cells, at + 1))).alias("pair"), below(best).bitwiseAND(F.lit(-65_536)).bitwiseOR(new).alias("rest")),
-                )
-                return F.concat(F.slice(cells, F.lit(1), at - 2), F.transform(two, lambda x: cell(x["pair"], x["rest"])), F.slice(cells, at + 2, F.size(cells)))
+    def one(state: Column, _: Column) -> Column:
+        cells, best = state["cells"], state["best"]
+        new = F.shiftright(best, _RANK)
 
-            return F.when(best >= none, cells).otherwise(let(F.array_position(cells, best).cast("int"), put))
+        def put(at: Column) -> Column:
+            left = F.get(cells, at - 2)
+            two = F.array(
+                F.struct(pair(token(left), new).alias("pair"), below(left).alias("rest")),
+                F.struct(pair(new, token(F.get(cells, at + 1))).alias("pair"), best.bitwiseAND(F.lit((1 << _RANK) - 65_536)).bitwiseOR(new).alias("rest")),
+            )
+            return with_best(F.concat(F.slice(cells, F.lit(1), at - 2), F.transform(two, lambda x: cell(x["pair"], x["rest"])), F.slice(cells, at + 2, F.size(cells))))
 
-        return let(F.array_min(cells), merge)
+        return F.when(best >= none, state).otherwise(let(F.array_position(cells, best).cast("int"), put))
 
     def started(s: Column) -> Column:
         pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: pair(a.cast("bigint"), F.coalesce(b, F.lit(NONE)).cast("bigint")))
         cells = F.transform(pairs, lambda x, i: cell(x, F.shiftleft((i + 1).cast("bigint"), _PLACE).bitwiseOR(F.shiftright(x, 16))))
         edge = F.array(F.lit(NONE << _RANK | NONE))
         last = F.array(F.lit(NONE << _RANK | ((1 << _RANK - _PLACE) - 1) << _PLACE | NONE))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - 1)), F.concat(edge, cells, last), one, lambda c: F.transform(F.slice(c, F.lit(2), F.size(c) - 2), lambda x: token(x).cast("int"))
-        )
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - 1))
+        return F.aggregate(steps, with_best(F.concat(edge, cells, last)), one, lambda state: F.transform(F.slice(state["cells"], F.lit(2), F.size(state["cells"]) - 2), lambda x: token(x).cast("int")))
 
     return let(symbols, started)
 
