@@ -28,7 +28,7 @@ STEPS = 4
 LEAST = 200
 #: Squared distance beyond which a document is an outlier. Far above any quantile of a normal sample of this dimension
 #: (the 0.999999 quantile is 37), since clean text has longer tails.
-CUTOFF = 100.0
+CUTOFF = 120.0
 #: Names, and the smallest standard deviation each is taken to have, so that a statistic that hardly varies isn't decisive.
 STATISTICS = {"s_size": 0.3, "s_length": 0.08, "s_symbols": 0.05, "s_lines": 0.1, "s_repeats": 0.1}
 
