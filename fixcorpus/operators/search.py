@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
+from ..functions.text import let, py_strip
 
 # Words of an issue that don't count.
 IGNORED = tuple("the and for with from that this where when into should could would have has does are was were bug buggy code issue function method file repository".split())
@@ -63,15 +63,17 @@ def issue_tokens(text: Column) -> Column:
 
 def heuristic_score(line: Column) -> Column:
     """Points for what a line looks like."""
-    stripped = py_strip(line)
-    low = F.lower(stripped)
     points = lambda test, n: F.when(test, n).otherwise(0.0)
-    comment = stripped.startswith("#") | stripped.startswith("//")
-    total = points(low.contains("todo"), 3.0) + points(low.contains("fixme"), 3.0) + points(low.contains("bug"), 3.0) + points(low == "pass", 2.0)
-    total += points(comment & low.rlike(r"\b(if|else|for|while|return|try|except|catch|def|class)\b"), 3.0)
-    total += points(low.rlike(r"\breturn\s+(none|null|nil|false|0)\b"), 1.0)
-    total += points(low.contains("not in"), 0.5) + points(low.contains("=="), 0.5) + points(low.contains("!="), 0.5)
-    return F.when(stripped == "", 0.0).otherwise(total)
+
+    def total(low: Column) -> Column:
+        out = points(low.contains("todo"), 3.0) + points(low.contains("fixme"), 3.0) + points(low.contains("bug"), 3.0) + points(low == "pass", 2.0)
+        comment = low.startswith("#") | low.startswith("//")
+        out += points(comment & low.rlike(r"\b(if|else|for|while|return|try|except|catch|def|class)\b"), 3.0)
+        out += points(low.contains("return") & low.rlike(r"\breturn\s+(none|null|nil|false|0)\b"), 1.0)
+        out += points(low.contains("not in"), 0.5) + points(low.contains("=="), 0.5) + points(low.contains("!="), 0.5)
+        return F.when(low == "", 0.0).otherwise(out)
+
+    return let(F.lower(py_strip(line)), total)
 
 
 def line_score(line: Column, tokens: Column) -> Column:
