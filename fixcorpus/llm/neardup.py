@@ -10,9 +10,9 @@ error. Keys enumerate the allowed errors: a chunk without its first value, witho
 within reach meets in some key.
 
 Groups of copies share keys, and their pairs grow with the square of their number, so links are sought in rounds. First,
-each class is tried against the nearest of the smallest classes in its keys. Components are made of the confirmed
-links, and from then on only pairs of different components are tried, the nearest ``tries`` of each class in each key,
-four times as many in each round, until a round has left no pair within reach untried. So no component is lost, and
+each class is tried against one of the smallest classes of its keys, the one that it shares most with. Components are made of the confirmed
+links, and from then on only pairs of different components are tried, the nearest ``tries`` of each component for each class in each key,
+32 times as many in each round, until a round has left no pair within reach untried. So no component is lost, and
 copies need not be expanded into all pairs.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is its own component; repeated rows
@@ -34,6 +34,8 @@ from .common import cut, distinct, mix, sliding_hash, stored, text_tiles, word_h
 from .repeats import by_key
 
 SIZE = 128
+#: Texts of up to so many classes (24 bytes each) are picked out in the scan by a broadcast; beyond it, by a join.
+FETCH = 100_000
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, SIZE, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(1, 2**63, SIZE, dtype=np.uint64)
 
@@ -78,9 +80,10 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
                 some = [s for s in sets if len(s)]
                 rows = iter(signature(some)) if some else iter(())
                 for s in sets:
+                    row = next(rows) if len(s) else None
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sigs.append(next(rows).tobytes() if len(s) else None)
+                    sigs.append(row.tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("fp"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "fp", "n", "digest", "sig"]
             )
@@ -89,17 +92,21 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(run, T.StructType(kinds))
 
 
-def keys_of(classes: DataFrame, reach: int) -> DataFrame:
-    """(key, node): for each chunk of the signature and each value left out of it."""
+def chunk_edges(reach: int) -> list[int]:
     chunks = reach // 2 + 1
-    edges = [i * SIZE // chunks for i in range(chunks + 1)]
+    return [i * SIZE // chunks for i in range(chunks + 1)]
+
+
+def keys_of(classes: DataFrame, reach: int) -> DataFrame:
+    """(slot, key, node): for each chunk of the signature and each value left out of it, whose number is the slot."""
+    edges = chunk_edges(reach)
     value = lambda i: F.substring("sig", 2 * i + 1, 2)
     keys = []
     for c, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
         for out in range(a, z):
             left, right = (F.substring("sig", 2 * a + 1, 2 * (out - a)), F.substring("sig", 2 * out + 3, 2 * (z - out - 1)))
             keys.append(F.xxhash64(F.lit(c), F.lit(out - a), F.concat(left, right)))
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "node")
+    return classes.select(F.posexplode(F.array(*keys)).alias("slot", "key"), "node")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,49 +131,73 @@ def near(pairs: DataFrame, classes: DataFrame, reach: int, similarity: float) ->
     return rows.mapInArrow(run, "a long, b long, distance long")
 
 
-def first_pairs(keys: DataFrame, classes: DataFrame, reach: int, similarity: float) -> DataFrame:
-    """Each class with the nearest of the smallest classes of its keys."""
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(slot, key, node, b): keys that more than one class has, with the smallest of them."""
     from pyspark.sql import Window
 
-    pivots = keys.withColumn("b", F.min("node").over(Window.partitionBy("key"))).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    return near(pivots, classes, reach, similarity).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b")
+    whole = Window.partitionBy("key")
+    return keys.withColumns({"b": F.min("node").over(whole), "_last": F.max("node").over(whole)}).where("b <> _last").drop("_last")
+
+
+def first_pairs(shared: DataFrame, classes: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """Each class with one of the smallest classes of its keys: the one with which it shares most."""
+    counted = shared.where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("m")).select("a", "m.b")
+    return near(best, classes, reach, similarity).select("a", "b")
 
 
 def later_pairs(keys: DataFrame, classes: DataFrame, parts: DataFrame, tries: int, reach: int, similarity: float) -> DataFrame:
-    """(a, b): in each key, the ``tries`` nearest classes of other components of each class; a = -1 tells that there were more."""
+    """(a, b): in each key, the ``tries`` nearest classes of each other component for each class; a = -1 tells of more.
+
+    A pair counts in the first key that it shares only, as its signatures tell.
+    """
     from pyspark.sql import Window
 
-    rows = keys.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    rows = keys.drop("b").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     whole = Window.partitionBy("key")
-    mixed = rows.withColumns({"low": F.min("part").over(whole), "high": F.max("part").over(whole)}).where("low <> high").select("key", "node", "part")
+    mixed = rows.withColumns({"low": F.min("part").over(whole), "high": F.max("part").over(whole)}).where("low <> high").select("slot", "key", "node", "part")
     full = mixed.join(classes.select("node", "n", "sig"), "node").repartition("key").sortWithinPartitions("key", "n", "node")
 
-    def bucket(node, part, n, sig):
+    edges = np.array(chunk_edges(reach))
+
+    def first_slots(differs):
+        """The first slot that two signatures share, by the places where they differ."""
+        errors = np.add.reduceat(differs, edges[:-1], axis=1, dtype=np.int64)
+        where = np.add.reduceat(differs * np.arange(SIZE), edges[:-1], axis=1)
+        return np.where(errors == 0, edges[:-1], np.where(errors == 1, where, SIZE)).min(axis=1)
+
+    def bucket(slot, node, part, n, sig):
         out, more = [], False
         end = np.searchsorted(n, n / similarity + 1e-6, side="right")
-        for a in range(0, len(node), 64):
-            z = min(a + 64, len(node))
+        step = max(1, min(64, 100_000 // len(node)))
+        for a in range(0, len(node), step):
+            z = min(a + step, len(node))
             to = int(end[a:z].max())
             d = distances(sig[a:z, None, :], sig[None, a:to, :])
             ok = (d <= reach) & (part[a:z, None] != part[None, a:to]) & (np.arange(a, to)[None, :] > np.arange(a, z)[:, None]) & (np.arange(a, to)[None, :] < end[a:z, None])
             for i in np.flatnonzero(ok.any(axis=1)):
                 hits = np.flatnonzero(ok[i])
-                if len(hits) > tries:
-                    hits, more = hits[np.argsort(d[i, hits], kind="stable")[:tries]], True
-                out += [(int(node[a + i]), int(node[a + j])) for j in hits]
+                hits = hits[first_slots(sig[a + i] != sig[a + hits]) == slot]
+                order = np.lexsort((d[i, hits], part[a + hits]))
+                hits = hits[order]
+                other = part[a + hits]
+                begin = np.concatenate([[True], other[1:] != other[:-1]]) if len(hits) else np.zeros(0, bool)
+                place = np.arange(len(hits)) - np.maximum.accumulate(np.where(begin, np.arange(len(hits)), 0)) if len(hits) else hits
+                more = more or bool((place >= tries).any())
+                out += [(int(node[a + i]), int(node[a + j])) for j in hits[place < tries]]
         return out, more
 
     def run(batches):
         import pyarrow as pa
 
         for batch in by_key(batches, ("key",)):
-            col = {c: batch.column(c).to_numpy() for c in ("key", "node", "part", "n")}
+            col = {c: batch.column(c).to_numpy() for c in ("slot", "key", "node", "part", "n")}
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
             edge = np.flatnonzero(np.concatenate([[True], col["key"][1:] != col["key"][:-1], [True]]))
             found, left = set(), False
             for a, z in zip(edge, edge[1:], strict=False):
                 if z - a > 1:
-                    pairs, more = bucket(col["node"][a:z], col["part"][a:z], col["n"][a:z], sig[a:z])
+                    pairs, more = bucket(int(col["slot"][a]), col["node"][a:z], col["part"][a:z], col["n"][a:z], sig[a:z])
                     found.update(pairs)
                     left |= more
             rows = sorted((max(p), min(p)) for p in found) + [(-1, -1)] * left
@@ -179,6 +210,8 @@ def later_pairs(keys: DataFrame, classes: DataFrame, parts: DataFrame, tries: in
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, counted on the whole sets."""
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "doc_id", "fp"), "node"), "wanted")
+    if wanted.count() <= FETCH:
+        wanted = F.broadcast(wanted)
     own = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"), "text")
     texts = own.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_fp") == F.col("fp"))).select("node", "text").dropDuplicates(["node"])
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -223,7 +256,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     some = sets.where("n > 0")
     chosen = some.groupBy("digest").agg(F.min("row").alias("row"))
     classes = stored(some.join(chosen.withColumnRenamed("digest", "_d"), "row").select(F.col("row").alias("node"), "doc_id", "fp", "n", "digest", "sig"), "classes")
-    keys = keys_of(classes, reach)
+    keys = stored(shared_keys(keys_of(classes, reach)), "keys")
 
     pairs = cut(first_pairs(keys, classes, reach, similarity))
     links = cut(confirmed(pairs, docs, classes, width, percent))
@@ -239,7 +272,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         else:
             links = cut(links.union(confirmed(new, docs, classes, width, percent)))
             tried = tried.union(new)
-        tries *= 4
+        tries *= 32
 
     named = classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
     rows = some.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("least"))
