@@ -40,6 +40,19 @@ class Rule:
         return f"{self.pattern}|{self.group}|{self.least}"
 
 
+#: The line that opens a private key.
+_KEY = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: What stands between the lines of a key: white space, or its escapes and quotes in a string of a program.
+_BREAK = r"""(?:[\s"',+]|\\[nrt])"""
+#: A key up to its END line, if no other line of five dashes comes before; else its header fields and lines of base64, the
+#: last of which may be short. The search for dashes stops at the next ones, so that all keys of a text take one pass.
+_KEY_BODY = (
+    r"(?:(?>[\s\S]*?-----)END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}{{0,40}}+[A-Z][A-Za-z-]{{1,30}}:\x20[^\n\\]*+){{0,10}}+"
+    rf"(?:{_BREAK}{{1,40}}+[A-Za-z0-9+/]{{20,}}+={{0,2}}+){{1,400}}+"
+    r"""(?:(?:\r?\n[ \t]*+|\\n)[A-Za-z0-9+/]{1,19}+={0,2}+(?=["',]*+(?:[ \t]*+(?:[\r\n]|\z)|\\)))?+)?+"""
+)
+
 #: The base rules. For access and hex, a run that is too short can hold no match, so the length is part of the pattern.
 RULES = (
     Rule(
@@ -51,7 +64,7 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]{16,}", lambda t: t.contains("AKIA")),
     Rule("hex", r"[0-9a-f]{24,}", lambda t: t.rlike(r"(?<![0-9a-f])[0-9a-f]{24}")),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", lambda t: t.contains("PRIVATE KEY-----")),
+    Rule("pem", _KEY + _KEY_BODY, lambda t: t.contains("PRIVATE KEY-----")),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lambda t: t.contains("eyJ")),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", lambda t: t.rlike("gh[pousr]_")),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", lambda t: t.contains("xox")),
@@ -169,7 +182,8 @@ def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
     return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-_BASE_SQL = {"assign": (RULES[0].pattern, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}
+#: DuckDB's expressions have no atomic groups, so the SQL has the first line of a private key only.
+_BASE_SQL = {"assign": (RULES[0].pattern, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24), "pem": (_KEY, 0, 0)}
 
 
 def sql() -> str:
