@@ -31,7 +31,7 @@ ZONES = frozenset("article main nav footer header aside form section".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "title", "option", "optgroup", "legend"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -101,7 +101,8 @@ def blocks(page: str) -> list[Block]:
         for key, *values in _ATTRIBUTE.findall(m[4]):
             if key.lower() == "hidden":
                 hidden = True
-            names.update(_NAME.findall("".join(values).lower()))
+            elif key.lower() in ("class", "id", "role"):
+                names.update(_NAME.findall("".join(values).lower()))
         stack.append((name, frozenset(names), hidden))
         links += name == "a"
     if at < len(page):

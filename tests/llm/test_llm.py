@@ -285,6 +285,17 @@ def test_page_text():
     assert wrong <= 0.01 * sum(len(y) for _, y in test)
 
 
+@pytest.mark.parametrize("attribute", ['style="overflow-x:hidden"', 'aria-hidden="false"', "data-hidden='0'", "data-x=hidden", 'title="the hidden id=nav"', "href=a/hidden"])
+def test_only_the_hidden_attribute_hides(attribute):
+    page = "<body {}><article {}><h1>Title</h1><p>First one here, with some words.</p></article></body>"
+    shown = htmltext.main_text(page.format("", ""), htmltext.default_field())
+    assert shown == "Title\nFirst one here, with some words."
+    assert htmltext.main_text(page.format(attribute, attribute), htmltext.default_field()) == shown
+    assert {x for b in htmltext.blocks(page.format(attribute, attribute)) for x in b.names} == set()
+    for hiding in ("hidden", "HIDDEN=''", 'class="a"hidden', 'hidden="until-found"', f"{attribute} hidden"):
+        assert htmltext.blocks(page.format("", hiding)) == [], hiding
+
+
 def test_viterbi_finds_the_best_chain():
     import itertools
 
