@@ -26,11 +26,14 @@ from .common import SPACE, let, stored
 HALF = 0.75
 STEPS = 4
 LEAST = 200
-#: Squared distance beyond which a document is an outlier. Far above any quantile of a normal sample of this dimension
-#: (the 0.999999 quantile is 37), since clean text has longer tails.
-CUTOFF = 120.0
+#: Squared distance beyond which a document is an outlier: the 0.999999 quantile of the chi-square distribution with five
+#: degrees of freedom, 35.888, times the factor by which the nearest ``HALF`` of a normal sample makes its scatter too
+#: small, 0.75 / P(chi-square with seven degrees <= 6.626) = 1.4121.
+CUTOFF = 50.677
 #: Names, and the smallest standard deviation each is taken to have, so that a statistic that hardly varies isn't decisive.
-STATISTICS = {"s_size": 0.3, "s_length": 0.08, "s_symbols": 0.05, "s_lines": 0.1, "s_repeats": 0.1}
+#: Each statistic can pass the cutoff on its own: symbols from a share of 0.046 of the characters, repeated lines from a
+#: share of 0.51, words in repeated windows from one of 0.43, in a group where clean text has none.
+STATISTICS = {"s_size": 0.3, "s_length": 0.08, "s_symbols": 0.03, "s_lines": 0.1, "s_repeats": 0.08}
 
 
 def repeated_words(words: Column) -> Column:
@@ -83,15 +86,19 @@ def measured(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """Transformed statistics: logarithms of sizes, square roots of shares."""
+    """Transformed statistics: logarithms of sizes, square root of the symbols' share, -log(1 - share) of repeats.
+
+    The last grows without bound as a text becomes all repeats, and a single repeat in a short text stays small.
+    """
+    unique = lambda part, whole: F.log(whole / F.greatest(whole - F.col(part), F.lit(1.0)))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return stats.withColumns(
         {
             "s_size": F.log(n),
             "s_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
             "s_symbols": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double")),
-            "s_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1)).cast("double")),
-            "s_repeats": F.sqrt(F.col("n_repeat_words") / n),
+            "s_lines": unique("n_dup_lines", F.greatest(F.col("_lines"), F.lit(1)).cast("double")),
+            "s_repeats": unique("n_repeat_words", n),
         }
     )
 

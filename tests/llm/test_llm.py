@@ -67,6 +67,20 @@ def test_quality_base_and_outliers(spark):
     assert not any(got[600 + i]["kept"] for i in range(5)) and not got[700]["kept"] and not got[701]["kept"]
 
 
+def test_quality_rejects_menus_and_repeated_lines(spark):
+    rng = random.Random(14)
+    rows = [(i, ".\n".join(words(rng, rng.randint(8, 14), 4000) for _ in range(rng.randint(8, 20))), "en", "s", 0) for i in range(600)]
+    # one line in three given twice, as clean texts have it
+    rows += [(600 + i, f"{a}\n{a}\n" + words(rng, 70, 4000), "en", "s", 0) for i, a in enumerate(words(rng, 9, 4000) for _ in range(5))]
+    menus = [(700 + i, words(rng, 20, 4000) + "\n" + " | ".join(words(rng, 1, 4000) for _ in range(60)), "en", "s", 0) for i in range(20)]
+    lines = [(800 + i, "\n".join(words(rng, 1, 12) for _ in range(60)), "en", "s", 0) for i in range(20)]
+    almost = [(900 + i, f"{a} {words(rng, 2, 4000)} {a} {words(rng, 26, 4000)}", "en", "s", 0) for i, a in enumerate(words(rng, 13, 4000) for _ in range(5))]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows + menus + lines + almost, DOCS)).collect()}
+    assert all(got[i]["kept"] for i, *_ in rows)
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i, *_ in menus + lines + almost)
+
+
 def test_quality_inverse(spark):
     from pyspark.sql import functions as F
 
