@@ -329,11 +329,16 @@ def method_spans(spark, sf):
 
 @query()
 def build_corpus(spark, sf):
-    d = F.col("doc_id")
-    head = F.concat(F.lit("class A {\n  int first(int a) {\n    return a + "), d % 400, F.lit(";\n  }\n"))
-    rows = table(spark, sf, "documents").select(
+    """Documents as programs: each line a call with the line as its text, and a line that the whole text chooses is fixed."""
+    d, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    literal = lambda x: F.concat(F.lit('    log("'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('");'))
+    rows = table(spark, sf, "documents").withColumn("a", F.concat(F.transform(text.split_lines(whole), literal), F.array(F.lit("    return a;"))))
+    rows = rows.withColumn("k", (1 + F.crc32(F.encode(whole, "utf-8")) % F.size("a")).cast("int"))
+    rows = rows.withColumn("b", regions.splice(F.col("a"), F.col("k"), F.col("k"), F.array(F.concat(F.lit("    if (a > 0)"), F.get("a", F.col("k") - 1)))))
+    program = lambda lines: F.concat(F.lit("class A {\n  int first(int a) {\n"), F.array_join(lines, "\n"), F.lit("\n  }\n}"))
+    rows = rows.select(
         d.alias("ord"), d.cast("string").alias("bug_id"), F.col("source").alias("project"), F.concat(F.lit("src/A"), d, F.lit(".java")).alias("file_path"),
-        F.concat(head, F.lit("}")).alias("buggy_code"), F.concat(F.replace(head, F.lit("a +"), F.lit("a -")), F.lit("}")).alias("fixed_code"),
+        program("a").alias("buggy_code"), program("b").alias("fixed_code"),
         F.lit(None).cast("int").alias("suspicious_start"), F.lit(None).cast("int").alias("suspicious_end"),
     )
     return building.build(rows).select("ord", "stage", "reason", "input", "output", "input_tokens", "output_tokens", "split")

@@ -314,3 +314,41 @@ def test_imports_without_training_data_folder(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'token_count' in e.queries() and not any(k.startswith('op') and k[2:3].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_build_corpus_reads_the_whole_text(spark, tmp_path):
+    import difflib
+    import random
+    import re
+    import zlib
+
+    from fixcorpus.plans import queries
+
+    rng = random.Random(5)
+    line = lambda: rng.choice(["", "x", 'say "no" // here', "a\\b { (", "  same  "]) + rng.choice(["", f" w{rng.randrange(40)}"])
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    texts += texts[:30] + [texts[0] + "\n" + texts[0] + " end", "\n".join(["x"] * 30), "", "\n".join(f"line {i}" for i in range(3000)), "word " * 3000]
+    rows = [(i, x, f"s{i % 9}") for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["ord"]: r for r in queries.build_corpus(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, *_ in rows}
+    seen, renders = {}, 0
+    for i, x, _ in rows:
+        a = [*['    log("' + s.replace("\\", "\\\\").replace('"', '\\"') + '");' for s in (x[:-1] if x.endswith("\n") else x).split("\n") if x], "    return a;"]
+        k = zlib.crc32(x.encode()) % len(a)
+        b = [*a[:k], "    if (a > 0)" + a[k], *a[k + 1 :]]
+        first = seen.setdefault(re.sub(r"\s+", " ", "\n".join(a) + "\1" + "\n".join(b)), i)
+        if first != i:
+            assert got[i]["reason"] == "duplicate", x
+            continue
+        frame = lambda lines: ["class A {", "  int first(int a) {", *lines, "  }", "}"]
+        a, b = frame(a), frame(b)
+        ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
+        if sum(o[2] - o[1] + o[4] - o[3] for o in ops) > 50:
+            assert got[i]["reason"] == "diff_too_large"
+            continue
+        assert got[i]["output"] == "\n".join(b[min(o[3] for o in ops) : max(o[4] for o in ops)]), x
+        assert got[i]["stage"] in (None, "lengths") and (got[i]["split"] is None) == (got[i]["reason"] is not None)
+        renders += got[i]["reason"] is None
+    assert renders > 400 and got[len(rows) - 1]["reason"] in ("input_too_long", "output_too_long")
+    assert sum(r["reason"] == "duplicate" for r in got.values()) >= 30
