@@ -295,25 +295,61 @@ f AS (SELECT doc_id, a, k, a[k + 1] || '!' AS new FROM e WHERE NOT list_contains
 
 @query(_EDITED + " SELECT doc_id, (k + 1)::BIGINT AS first, (k + 1)::BIGINT AS last, 2::BIGINT AS size FROM f")
 def changed_span(spark, sf):
+    return _changed_span(_edited(spark, sf))
+
+
+def _changed_span(rows: DataFrame) -> DataFrame:
     span = diff.changed_span(F.col("ops"))
-    return _edited(spark, sf).select("doc_id", span["start"].cast("long").alias("first"), span["end"].cast("long").alias("last"), diff.diff_size(F.col("ops")).cast("long").alias("size"))
+    return rows.select("doc_id", span["start"].cast("long").alias("first"), span["end"].cast("long").alias("last"), diff.diff_size(F.col("ops")).cast("long").alias("size"))
 
 
 @query(_EDITED + " SELECT doc_id, new AS target, false AS outside FROM f")
 def or2_target(spark, sf):
-    rows = _edited(spark, sf).withColumn("r", diff.aligned(F.col("ops"), F.col("k") + 1, F.col("k") + 1, F.size("b")))
+    return _or2_target(_edited(spark, sf))
+
+
+def _or2_target(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("r", diff.aligned(F.col("ops"), F.col("k") + 1, F.col("k") + 1, F.size("b")))
     return rows.select("doc_id", F.array_join(F.slice("b", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), "\n").alias("target"), F.col("r.outside").alias("outside"))
 
 
 @query(_EDITED + """ SELECT doc_id, k::BIGINT AS buggy_start, (k + 1)::BIGINT AS buggy_end, sha256(array_to_string(a[1:k] || ['# BUGGY CODE', CASE WHEN a[k + 1] = '' THEN '#' ELSE '# ' || a[k + 1] END, '<FILL_ME>'] || a[k + 2:len(a)], chr(10))) AS input, new AS output FROM f""")
 def pycorpus_rows(spark, sf):
+    return _pycorpus_rows(_edited(spark, sf))
+
+
+def _pycorpus_rows(rows: DataFrame) -> DataFrame:
     ch = diff.changes(F.col("ops"))
-    rows = _edited(spark, sf).withColumns({"i1": F.array_min(F.transform(ch, lambda o: o["i1"])), "i2": F.array_max(F.transform(ch, lambda o: o["i2"])), "j1": F.array_min(F.transform(ch, lambda o: o["j1"])), "j2": F.array_max(F.transform(ch, lambda o: o["j2"]))})
+    rows = rows.withColumns({"i1": F.array_min(F.transform(ch, lambda o: o["i1"])), "i2": F.array_max(F.transform(ch, lambda o: o["i2"])), "j1": F.array_min(F.transform(ch, lambda o: o["j1"])), "j2": F.array_max(F.transform(ch, lambda o: o["j2"]))})
     marked = F.transform(F.slice("a", F.col("i1") + 1, F.col("i2") - F.col("i1")), lambda x: F.when(x == "", "#").otherwise(F.concat(F.lit("# "), x)))
     prompt = F.concat(F.slice("a", F.lit(1), F.col("i1")), F.array(F.lit("# BUGGY CODE")), marked, F.array(F.lit("<FILL_ME>")), F.slice("a", F.col("i2") + 1, F.size("a")))
     return rows.select("doc_id", F.col("i1").cast("long").alias("buggy_start"), F.col("i2").cast("long").alias("buggy_end"), F.sha2(F.array_join(prompt, "\n"), 256).alias("input"), F.array_join(F.slice("b", F.col("j1") + 1, F.col("j2") - F.col("j1")), "\n").alias("output"))
 
 
+def _edited_whole(spark, sf) -> DataFrame:
+    """All documents, with a line changed; repeated lines make the line difference ambiguous, so there is no SQL. An empty text has no lines and gains one."""
+    rows = table(spark, sf, "documents").select("doc_id", text.split_lines(F.coalesce("text", F.lit(""))).alias("a"))
+    rows = rows.withColumn("k", F.when(F.size("a") > 0, F.col("doc_id") % F.size("a")).otherwise(0).cast("int"))
+    rows = rows.withColumn("new", F.concat(F.coalesce(F.get("a", F.col("k")), F.lit("")), F.lit("!")))
+    rows = rows.withColumn("b", F.when(F.size("a") > 0, regions.splice(F.col("a"), F.col("k") + 1, F.col("k") + 1, F.array("new"))).otherwise(F.array("new")))
+    return rows.withColumn("ops", diff.opcodes("a", "b"))
+
+
+@query()
+def changed_span_whole(spark, sf):
+    return _changed_span(_edited_whole(spark, sf))
+
+
+@query()
+def or2_target_whole(spark, sf):
+    return _or2_target(_edited_whole(spark, sf))
+
+
+@query()
+def pycorpus_rows_whole(spark, sf):
+    return _pycorpus_rows(_edited_whole(spark, sf))
+
+
 @query()
 def opcodes(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", text.split_lines(F.col("text")).alias("a"))

@@ -1,7 +1,11 @@
 """Operators, sources and the whole build."""
 
+import difflib
+import hashlib
 import json
 import random
+import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fixcorpus.operators import cleaning, corpus, runs, search
 from fixcorpus.plans import build as building
+from fixcorpus.plans import queries
 from fixcorpus.sources import records
 from fixcorpus.streaming import duplicates as streaming
 
@@ -317,13 +322,6 @@ def test_imports_without_training_data_folder(tmp_path):
 
 
 def test_build_corpus_reads_the_whole_text(spark, tmp_path):
-    import difflib
-    import random
-    import re
-    import zlib
-
-    from fixcorpus.plans import queries
-
     rng = random.Random(5)
     line = lambda: rng.choice(["", "x", 'say "no" // here', "a\\b { (", "  same  "]) + rng.choice(["", f" w{rng.randrange(40)}"])
     texts = ["\n".join(line() for _ in range(rng.randint(1, 40))) for _ in range(500)]
@@ -352,3 +350,28 @@ def test_build_corpus_reads_the_whole_text(spark, tmp_path):
         renders += got[i]["reason"] is None
     assert renders > 400 and got[len(rows) - 1]["reason"] in ("input_too_long", "output_too_long")
     assert sum(r["reason"] == "duplicate" for r in got.values()) >= 30
+
+
+def test_edits_of_all_documents(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choice(["", "", "x", "x!", "y", f"w{rng.randrange(9)}"]) for _ in range(rng.randint(1, 12))) for _ in range(300)] + ["", None, "x\nx\nx", "x\nx!"]
+    rows = [(i, x) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    span, target, made = ({r["doc_id"]: r for r in f(spark, str(tmp_path)).collect()} for f in (queries.changed_span_whole, queries.or2_target_whole, queries.pycorpus_rows_whole))
+    assert set(span) == set(target) == set(made) == {i for i, _ in rows}
+    for i, x in rows:
+        x = x or ""
+        a = (x[:-1] if x.endswith("\n") else x).split("\n") if x else []
+        k = i % len(a) if a else 0
+        b = [*a[:k], a[k] + "!", *a[k + 1 :]] if a else ["!"]
+        ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
+        i1, i2, j1, j2 = min(o[1] for o in ops), max(o[2] for o in ops), min(o[3] for o in ops), max(o[4] for o in ops)
+        first, last = (max(1, i1), max(1, i1)) if i2 <= i1 else (i1 + 1, i2)
+        assert (span[i]["first"], span[i]["last"], span[i]["size"]) == (first, last, sum(o[2] - o[1] + o[4] - o[3] for o in ops)), x
+        outside = any(not k <= o[1] <= k + 1 if o[1] == o[2] else not (o[1] >= k and o[2] <= k + 1) for o in ops)
+        assert target[i]["outside"] == outside, x
+        if not outside:
+            assert target[i]["target"] == "\n".join(b[k : k + 1]) or (i1, i2) != (k, k + 1), x
+        prompt = [*a[:i1], "# BUGGY CODE", *["#" if s == "" else "# " + s for s in a[i1:i2]], "<FILL_ME>", *a[i2:]]
+        want = (i1, i2, hashlib.sha256("\n".join(prompt).encode()).hexdigest(), "\n".join(b[j1:j2]))
+        assert tuple(made[i])[1:] == want, x
