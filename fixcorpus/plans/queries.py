@@ -563,6 +563,12 @@ def token_accuracy(spark, sf):
     return runs.accuracies(rows).select(F.round("token_accuracy", 9).alias("token_accuracy"), F.round("sequence_accuracy", 9).alias("sequence_accuracy"))
 
 
+@query()
+def perplexity_whole(spark, sf):
+    """The perplexity of every event, infinite where the bound query says so."""
+    return table(spark, sf, "events").select("event_id", runs.perplexity(F.col("value")).alias("perplexity"))
+
+
 @query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN false ELSE true END AS hit FROM documents""")
 def exact_match(spark, sf):
     t = F.col("text")

@@ -3,6 +3,7 @@
 import difflib
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -375,3 +376,13 @@ def test_edits_of_all_documents(spark, tmp_path):
         prompt = [*a[:i1], "# BUGGY CODE", *["#" if s == "" else "# " + s for s in a[i1:i2]], "<FILL_ME>", *a[i2:]]
         want = (i1, i2, hashlib.sha256("\n".join(prompt).encode()).hexdigest(), "\n".join(b[j1:j2]))
         assert tuple(made[i])[1:] == want, x
+
+
+def test_perplexity_of_all_events(spark, tmp_path):
+    rows = [(i, v) for i, v in enumerate([0.0, 0.5, 2.0, 19.99, 20.0, 45.25, 59.9, 60.0, 60.1, 99.0, -1.0, None])]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["perplexity"] for r in queries.perplexity_whole(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, v in rows:
+        want = None if v is None else math.inf if v > 60 else math.exp(v)
+        assert got[i] == want or math.isclose(got[i], want, rel_tol=1e-12), v
