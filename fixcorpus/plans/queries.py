@@ -75,6 +75,14 @@ def token_limit_reject(spark, sf):
     return corpus.measured(rows).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def token_limit_reject_whole(spark, sf):
+    """Reasons where the output is the whole text."""
+    rows = table(spark, sf, "documents").select(F.col("text").alias("input"), F.col("text").alias("output"))
+    reason = corpus.length_reason(corpus.Limits(1024, 256, 900, 20))
+    return corpus.measured(rows).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _stats_sql(by: str) -> str:
     nearest = ", ".join(f"list_sort(list(n))[(round_even({f} * (count(*) - 1), 0))::BIGINT + 1] AS p{int(f * 100)}" for f in (0.90, 0.95, 0.99))
     return f"""WITH d AS (SELECT {by}, {_count('text')} AS n FROM documents) SELECT {by}, count(*) AS count, sum(n)::BIGINT AS total, min(n) AS min, max(n) AS max,

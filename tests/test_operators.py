@@ -386,3 +386,16 @@ def test_perplexity_of_all_events(spark, tmp_path):
     for i, v in rows:
         want = None if v is None else math.inf if v > 60 else math.exp(v)
         assert got[i] == want or math.isclose(got[i], want, rel_tol=1e-12), v
+
+
+def test_token_limits_of_whole_outputs(spark, tmp_path):
+    # one token for each short word; 1500 blanks hide the later words from a prefix
+    counts = [(0, 0), (19, 0), (20, 0), (256, 0), (257, 0), (30, 300), (30, 100), (600, 600)]
+    rows = [(i, " ".join(["a"] * a) + (" " * 1500 + " ".join(["a"] * b) if b else "")) for i, (a, b) in enumerate(counts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for a, b in counts:
+        n = a + b
+        want["input_too_long" if n > 1024 else "output_too_long" if n > 256 or n < 20 else "input_too_long" if 2 * n > 900 else "kept"] += 1
+    assert {r["reason"]: r["n"] for r in queries.token_limit_reject_whole(spark, str(tmp_path)).collect()} == want
+    assert {r["reason"]: r["n"] for r in queries.token_limit_reject(spark, str(tmp_path)).collect()} != want
