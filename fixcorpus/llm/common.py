@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,18 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine only where the session names none."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master, whose tasks run in this process, gets a temporary one; a cluster is
+    refused, since executors on other machines couldn't read it.
+    """
+    context = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        context = spark.sparkContext
-        made = context._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="fixcorpus-"))
-            made = context._jsc.sc().getCheckpointDir()
-        return made.get()
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(there)
-    return there
+    known = context._jsc.sc().getCheckpointDir()
+    if there:
+        if known.isEmpty():
+            context.setCheckpointDir(there)
+        return there
+    if not known.isEmpty():
+        return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fixcorpus-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,14 +48,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables written by ``stored`` and not yet dropped.
+_tables: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read back, so that its size is known to the planner."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, but: int = 0) -> None:
+    """Delete the tables of ``stored``, except for the last ``but``. Nothing that is still to be computed may read them."""
+    for path in _tables[: len(_tables) - but]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _tables.remove(path)
+
+
+#: Bits of the filter that ``hinted`` broadcasts: 4 MB at most, however many keys there are.
+FILTER_BITS = 1 << 25
+
+
+def hinted(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false only if ``key`` (long) isn't in the one column of ``wanted``.
+
+    The keys become a bitmap of ``FILTER_BITS`` bits, so what is broadcast is bounded; with more keys than bits, more
+    rows are true that needn't be.
+    """
+    place = lambda c: F.pmod(c, F.lit(FILTER_BITS)) + 1
+    own = place(F.col(wanted.columns[0]))
+    number, bits = fresh(rows, "_number"), fresh(rows, "_bits")
+    maps = wanted.groupBy(F.bitmap_bucket_number(own).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias(bits))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    true = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col(number), "left")
+    return joined.withColumn(name, true).drop(number, bits)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, made longer until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -9,33 +9,44 @@ A signature is split into more than ``reach / 2`` chunks, so of two signatures w
 error. Keys enumerate the allowed errors: a chunk without its first value, without its second, and so on. Every pair
 within reach meets in some key.
 
-Groups of copies share keys, and their pairs grow with the square of their number, so links are sought in rounds. First,
-each class is tried against one of the smallest classes of its keys, the one that it shares most with. Components are made of the confirmed
-links, and from then on only pairs of different components are tried, the nearest ``tries`` of each component for each class in each key,
-32 times as many in each round, until a round has left no pair within reach untried. So no component is lost, and
-copies need not be expanded into all pairs.
-
-Defined results: a null or empty text has no shingles, is linked with nothing and is its own component; repeated rows
-and rows that share an id are rows of their own, and each is kept if its id is its component's smallest; null ids count
-last, and are kept only where the set is empty or no row of the component has an id; further columns are ignored; an
-empty table gives an empty result.
+Pairs are never emitted, since those of a group grow with the square of its size. What is looked for are the components
+of links, and a component needs one tree of them. So both steps search breadth-first, from a class to those not reached
+yet (``linked``), and emit a class and the root of its tree:
+
+1. ``clusters``: among the classes of a key, a step leads to signatures within reach (compared by their low bytes, which
+   can only make them nearer) and of fitting set sizes. Trees that share a class make a cluster.
+2. ``confirmed``: among the classes of a cluster, a step leads to sets of the wanted similarity, counted on the whole sets
+   of the texts, which are sent once for each class.
+
+A key or cluster larger than ``UNIT`` is dealt out in blocks, and some of its classes (``PIVOTS``) go to each block. Only
+where that leaves a group in more than one tree, its largest tree is compared with the rest, block by block (``connected``).
+
+Shingles are compared as 64-bit hashes. Defined results: a null or empty text has no shingles, is linked with nothing and
+is its own component; repeated rows and rows that share an id are rows of their own, and each is kept if its id is its
+component's smallest; null ids count last, and are kept only where the set is empty or no row of the component has an id;
+further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, distinct, mix, sliding_hash, stored, text_tiles, word_hashes
+from .common import cut, distinct, hinted, mix, sliding_hash, stored, text_tiles, word_hashes
 from .repeats import by_key
 
 SIZE = 128
-#: Texts of up to so many classes (24 bytes each) are picked out in the scan by a broadcast; beyond it, by a join.
-FETCH = 100_000
+#: Classes of one group that a task compares with each other, and shingles in their sets; larger groups are dealt out.
+UNIT = 4096
+WEIGHT = 2_000_000
+PIVOTS = 16
+#: Groups of up to so many classes have all their signatures compared at once.
+SMALL = 24
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, SIZE, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(1, 2**63, SIZE, dtype=np.uint64)
 
@@ -59,12 +70,14 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def signature(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 16-bit MinHash values for each set that isn't empty."""
+    """A row of 16-bit MinHash values for each set that isn't empty: the low bytes of all values, then the high ones."""
     values = np.concatenate(sets)
     begin = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.empty((len(sets), SIZE), dtype="<u2")
+    out = np.empty((len(sets), 2 * SIZE), dtype=np.uint8)
     for i in range(SIZE):
-        out[:, i] = (mix(np.minimum.reduceat(values * _FACTORS[i] + _SHIFTS[i], begin)) & np.uint64(0xFFFF)).astype("<u2")
+        least = mix(np.minimum.reduceat(values * _FACTORS[i] + _SHIFTS[i], begin))
+        out[:, i] = (least & np.uint64(0xFF)).astype(np.uint8)
+        out[:, SIZE + i] = (least >> np.uint64(8) & np.uint64(0xFF)).astype(np.uint8)
     return out
 
 
@@ -98,137 +111,120 @@ def chunk_edges(reach: int) -> list[int]:
 
 
 def keys_of(classes: DataFrame, reach: int) -> DataFrame:
-    """(slot, key, node): for each chunk of the signature and each value left out of it, whose number is the slot."""
+    """(key, node): for each chunk of the signature and each value left out of it."""
     edges = chunk_edges(reach)
-    value = lambda i: F.substring("sig", 2 * i + 1, 2)
     keys = []
     for c, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
         for out in range(a, z):
-            left, right = (F.substring("sig", 2 * a + 1, 2 * (out - a)), F.substring("sig", 2 * out + 3, 2 * (z - out - 1)))
-            keys.append(F.xxhash64(F.lit(c), F.lit(out - a), F.concat(left, right)))
-    return classes.select(F.posexplode(F.array(*keys)).alias("slot", "key"), "node")
+            rest = [F.substring("sig", at + 1, to - at) for k in (0, SIZE) for at, to in ((k + a, k + out), (k + out + 1, k + z)) if to > at]
+            keys.append(F.xxhash64(F.lit(c), F.lit(out - a), F.concat(*rest)))
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "node")
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a != b).sum(axis=-1)
-
-
-def near(pairs: DataFrame, classes: DataFrame, reach: int, similarity: float) -> DataFrame:
-    """(a, b, distance) of pairs whose set sizes and signatures allow the similarity."""
-    left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
-    rows = pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "sa", "sb")
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` whose key more than one class has.
 
+    The rows of a key stream through one task in order; none but the last is held.
+    """
     def run(batches):
         import pyarrow as pa
 
+        def rows(key, node):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
+
+        key, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False
         for batch in batches:
-            read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SIZE)  # noqa: E731, B023
-            d = distances(read("sa"), read("sb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.int64())], names=["a", "b", "distance"]).filter(pa.array(d <= reach))
+            if not batch.num_rows:
+                continue
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            node = np.concatenate([node, batch.column("node").to_numpy()])
+            same = key[1:] == key[:-1]
+            shared = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+            yield rows(key[:-1][shared[:-1]], node[:-1][shared[:-1]])
+            key, node, before = key[-1:], node[-1:], bool(shared[-1])
+        if before:
+            yield rows(key, node)
 
-    return rows.mapInArrow(run, "a long, b long, distance long")
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """(slot, key, node, b): keys that more than one class has, with the smallest of them."""
-    from pyspark.sql import Window
+def linked(label: np.ndarray, step: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (root, member) of trees over all rows, in which ``step(i, others)`` says which others i leads to.
 
-    whole = Window.partitionBy("key")
-    return keys.withColumns({"b": F.min("node").over(whole), "_last": F.max("node").over(whole)}).where("b <> _last").drop("_last")
+    Rows of one label are of one tree from the start.
+    """
+    edges: list[tuple[int, int]] = []
+    _, label = np.unique(label, return_inverse=True)
+    apart = int(label.max()) + 1 == len(label)
+    rest = np.arange(len(label))
+    while len(rest):
+        root = rest[0]
+        if apart:
+            queue, rest = [root], rest[1:]
+        else:
+            mates = label[rest] == label[root]
+            queue, rest = rest[mates].tolist(), rest[~mates]
+        while queue and len(rest):
+            hit = step(int(queue.pop()), rest)
+            if not hit.any():
+                continue
+            if not apart:
+                hit = np.isin(label[rest], label[rest[hit]])
+            found, rest = rest[hit], rest[~hit]
+            edges += [(int(root), int(i)) for i in found.tolist()]
+            queue += found.tolist()
+    return edges
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node that isn't the smallest of its component, for edges (a, b)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
 
 
-def first_pairs(shared: DataFrame, classes: DataFrame, reach: int, similarity: float) -> DataFrame:
-    """Each class with one of the smallest classes of its keys: the one with which it shares most."""
-    counted = shared.where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("m")).select("a", "m.b")
-    return near(best, classes, reach, similarity).select("a", "b")
+_EDGES = "node long, other long"
 
 
-def later_pairs(keys: DataFrame, classes: DataFrame, parts: DataFrame, tries: int, reach: int, similarity: float) -> DataFrame:
-    """(a, b): in each key, the ``tries`` nearest classes of each other component for each class; a = -1 tells of more.
+def edges_in(units: DataFrame, pairs: Callable) -> DataFrame:
+    """(node, other): trees over the rows of each unit (grp, block); ``pairs(columns, edge)`` finds the edges of some units.
 
-    A pair counts in the first key that it shares only, as its signatures tell.
+    ``edge`` holds where each unit begins and ends. Trees of one task that share a node are made one, so that it sends
+    a node once.
     """
-    from pyspark.sql import Window
-
-    rows = keys.drop("b").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    whole = Window.partitionBy("key")
-    mixed = rows.withColumns({"low": F.min("part").over(whole), "high": F.max("part").over(whole)}).where("low <> high").select("slot", "key", "node", "part")
-    full = mixed.join(classes.select("node", "n", "sig"), "node").repartition("key").sortWithinPartitions("key", "n", "node")
-
-    edges = np.array(chunk_edges(reach))
-
-    def first_slots(differs):
-        """The first slot that two signatures share, by the places where they differ."""
-        errors = np.add.reduceat(differs, edges[:-1], axis=1, dtype=np.int64)
-        where = np.add.reduceat(differs * np.arange(SIZE), edges[:-1], axis=1)
-        return np.where(errors == 0, edges[:-1], np.where(errors == 1, where, SIZE)).min(axis=1)
-
-    def bucket(slot, node, part, n, sig):
-        out, more = [], False
-        end = np.searchsorted(n, n / similarity + 1e-6, side="right")
-        step = max(1, min(64, 100_000 // len(node)))
-        for a in range(0, len(node), step):
-            z = min(a + step, len(node))
-            to = int(end[a:z].max())
-            d = distances(sig[a:z, None, :], sig[None, a:to, :])
-            ok = (d <= reach) & (part[a:z, None] != part[None, a:to]) & (np.arange(a, to)[None, :] > np.arange(a, z)[:, None]) & (np.arange(a, to)[None, :] < end[a:z, None])
-            for i in np.flatnonzero(ok.any(axis=1)):
-                hits = np.flatnonzero(ok[i])
-                hits = hits[first_slots(sig[a + i] != sig[a + hits]) == slot]
-                order = np.lexsort((d[i, hits], part[a + hits]))
-                hits = hits[order]
-                other = part[a + hits]
-                begin = np.concatenate([[True], other[1:] != other[:-1]]) if len(hits) else np.zeros(0, bool)
-                place = np.arange(len(hits)) - np.maximum.accumulate(np.where(begin, np.arange(len(hits)), 0)) if len(hits) else hits
-                more = more or bool((place >= tries).any())
-                out += [(int(node[a + i]), int(node[a + j])) for j in hits[place < tries]]
-        return out, more
-
     def run(batches):
         import pyarrow as pa
 
-        for batch in by_key(batches, ("key",)):
-            col = {c: batch.column(c).to_numpy() for c in ("slot", "key", "node", "part", "n")}
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
-            edge = np.flatnonzero(np.concatenate([[True], col["key"][1:] != col["key"][:-1], [True]]))
-            found, left = set(), False
-            for a, z in zip(edge, edge[1:], strict=False):
-                if z - a > 1:
-                    pairs, more = bucket(int(col["slot"][a]), col["node"][a:z], col["part"][a:z], col["n"][a:z], sig[a:z])
-                    found.update(pairs)
-                    left |= more
-            rows = sorted((max(p), min(p)) for p in found) + [(-1, -1)] * left
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return full.mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, counted on the whole sets."""
-    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "doc_id", "fp"), "node"), "wanted")
-    if wanted.count() <= FETCH:
-        wanted = F.broadcast(wanted)
-    own = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"), "text")
-    texts = own.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_fp") == F.col("fp"))).select("node", "text").dropDuplicates(["node"])
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        def sent(found):
+            node, root = forest(*map(np.concatenate, zip(*found, strict=True)))
+            for at in range(0, len(node), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 50_000]), pa.array(root[at : at + 50_000])], names=["node", "other"])
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 64):
-                left, right = (shingle_sets([t.encode() for t in batch.column(c).slice(at, 64).to_pylist()], width) for c in ("ta", "tb"))
-                for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[at + i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+        found, held = [], 0
+        for batch in by_key(batches, ("grp", "block")):
+            grp, block = batch.column("grp").to_numpy(), batch.column("block").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (block[1:] != block[:-1]), [True]]))
+            for a, b in pairs(batch, edge):
+                found.append((a, b))
+                held += len(a)
+            if held > 500_000:
+                yield from sent(found)
+                found, held = [], 0
+        if held:
+            yield from sent(found)
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return units.repartition("grp", "block").sortWithinPartitions("grp", "block", "node").mapInArrow(run, _EDGES)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,7 +232,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each step takes the smallest label among the neighbours and then that label's own label.
     """
-    both = cut(links.union(links.select("b", "a")).toDF("node", "other"))
+    both = cut(links.union(links.select("other", "node")).toDF("node", "other").distinct())
     parts = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("part")))
     while True:
         heard = both.join(parts.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("part").alias("heard"))
@@ -248,6 +244,123 @@ def components(links: DataFrame) -> DataFrame:
             return parts
 
 
+def connected(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], pairs: Callable) -> DataFrame:
+    """(node, part): components of what ``pairs`` finds among the rows of each group.
+
+    ``rows``: (grp, node, weight), weights adding up to 1 for what one task may compare. ``payload`` adds the columns that
+    ``pairs`` needs.
+    """
+    heavy = stored(rows.groupBy("grp").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).where("total > 1").withColumnRenamed("grp", "_grp"), "heavy")
+    many = not heavy.isEmpty()
+    units = rows.withColumn("block", F.lit(0).cast("long"))
+    if many:
+        dealt = rows.join(heavy, F.col("grp") == F.col("_grp"), "left")
+        blocks = F.ceil(F.coalesce("total", F.lit(1.0))).cast("long")
+        pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.col("n") / PIVOTS).cast("long")) == 0
+        at = F.when((blocks > 1) & pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks)))
+        units = dealt.select("grp", "node", F.explode(at).alias("block"))
+    first = cut(edges_in(payload(units.select("grp", "block", "node").withColumn("part", F.col("node"))), pairs))
+    parts = components(first)
+    if not many:
+        return parts
+    # groups that are still in several trees: the largest against the rest, and the rest among themselves
+    named = rows.join(heavy.select("_grp"), F.col("grp") == F.col("_grp")).join(parts, "node", "left").select("grp", "node", "weight", F.coalesce("part", "node").alias("part"))
+    named = stored(named, "trees")
+    sums = named.groupBy("grp", "part").agg(F.sum("weight").alias("w")).groupBy("grp").agg(F.max(F.struct("w", "part")).alias("m"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("trees"))
+    sums = sums.where("trees > 1").select(F.col("grp").alias("_grp"), F.col("m.part").alias("_main"), F.ceil("m.w").cast("long").alias("_mains"), F.greatest(F.lit(1), F.ceil(F.col("w") - F.col("m.w"))).cast("long").alias("_rests"))
+    sums = stored(sums, "sums")
+    if sums.isEmpty():
+        return parts
+    split = named.join(sums, F.col("grp") == F.col("_grp"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("part") == F.col("_main"), F.col("_mains")).otherwise(F.col("_rests")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    unit = lambda kind, i, j: F.xxhash64(F.lit(kind), i, j)
+    among = F.transform(upto(F.col("_rests")), lambda j: unit("rest", F.least(F.col("_own"), j), F.greatest(F.col("_own"), j)))
+    at = F.when(F.col("part") == F.col("_main"), F.transform(upto(F.col("_rests")), lambda j: unit("main", F.col("_own"), j))).otherwise(
+        F.concat(F.transform(upto(F.col("_mains")), lambda i: unit("main", i, F.col("_own"))), among)
+    )
+    units = split.withColumn("_own", own).select("grp", F.explode(at).alias("block"), "node", "part")
+    second = cut(edges_in(payload(units), pairs))
+    return components(first.union(second))
+
+
+def clusters(classes: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """(node, part): components of signatures within reach, found among the classes of each key."""
+    keys = stored(shared_keys(keys_of(classes, reach)).select(F.col("key").alias("grp"), "node", F.lit(1.0 / UNIT).alias("weight")), "keys")
+    own = classes.select("node", F.col("n").cast("int").alias("n"), F.substring("sig", 1, SIZE).alias("low"))
+
+    def pairs(batch, edge):
+        node, part, n = (batch.column(c).to_numpy() for c in ("node", "part", "n"))
+        low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, SIZE)
+        fits = lambda x, y: np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6
+        near = lambda x, y: np.count_nonzero(low[x] != low[y], axis=-1) <= reach
+        size = np.diff(edge)
+        for k in range(2, SMALL + 1):
+            begin = edge[:-1][size == k]
+            i, j = np.triu_indices(k, 1)
+            for at in range(0, len(begin), max(1, 50_000 // len(i))):
+                own = begin[at : at + max(1, 50_000 // len(i)), None]
+                x, y = (own + i).ravel(), (own + j).ravel()
+                ok = fits(x, y)
+                x, y = x[ok], y[ok]
+                ok = near(x, y) & (part[x] != part[y])
+                if ok.any():
+                    yield node[x[ok]], node[y[ok]]
+        for a, z in zip(edge[:-1][size > SMALL].tolist(), edge[1:][size > SMALL].tolist(), strict=True):
+            def step(i, rest, a=a):
+                out = fits(a + i, a + rest)
+                out[out] = near(a + i, a + rest[out])
+                return out
+
+            found = np.array(linked(part[a:z], step), np.int64).reshape(-1, 2) + a
+            if len(found):
+                yield node[found[:, 0]], node[found[:, 1]]
+
+    return connected(keys, lambda units: units.join(own, "node"), pairs)
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, part): components of 100 * intersection >= percent * union, counted on whole sets, among the classes of each cluster."""
+    wanted = stored(parts.join(classes.select("node", "doc_id", "fp", "n"), "node"), "wanted")
+    key = F.xxhash64("doc_id", "fp")
+    own = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    own = hinted(own, key, wanted.select(key.alias("key")), "_wanted").where("_wanted").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "text")
+    texts = stored(own.join(wanted.select("node", "doc_id", "fp"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_fp") == F.col("fp"))).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    rows = wanted.select(F.col("part").alias("grp"), "node", F.greatest(F.lit(1.0 / UNIT), F.col("n") / WEIGHT).alias("weight"))
+
+    def pairs(batch, edge):
+        node, part = batch.column("node").to_numpy(), batch.column("part").to_numpy()
+        texts = batch.column("text")
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if z - a < 2:
+                continue
+            sets = [s for at in range(a, z, 64) for s in shingle_sets([t.encode() for t in texts.slice(at, min(64, z - at)).to_pylist()], width)]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            end = np.cumsum(size)
+            begin = end - size
+            mark = np.zeros(int(ids.max()) + 1, np.int64)
+
+            def step(i, rest, size=size, ids=ids, begin=begin, end=end, mark=mark):
+                out = 100 * np.minimum(size[i], size[rest]) >= percent * np.maximum(size[i], size[rest])
+                some = rest[out]
+                if len(some):
+                    mark[ids[begin[i] : end[i]]] = 1
+                    sizes = size[some]
+                    ends = np.cumsum(sizes)
+                    places = np.repeat(begin[some] - (ends - sizes), sizes) + np.arange(ends[-1])
+                    both = np.add.reduceat(mark[ids[places]], ends - sizes)
+                    mark[ids[begin[i] : end[i]]] = 0
+                    out[out] = 100 * both >= percent * (size[i] + sizes - both)
+                return out
+
+            found = np.array(linked(part[a:z], step), np.int64).reshape(-1, 2) + a
+            if len(found):
+                yield node[found[:, 0]], node[found[:, 1]]
+
+    return connected(rows, lambda units: units.join(texts, "node"), pairs)
+
+
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, fp, n_shingles, component_id, kept) of every row of ``docs``."""
     similarity = percent / 100
@@ -256,23 +369,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     some = sets.where("n > 0")
     chosen = some.groupBy("digest").agg(F.min("row").alias("row"))
     classes = stored(some.join(chosen.withColumnRenamed("digest", "_d"), "row").select(F.col("row").alias("node"), "doc_id", "fp", "n", "digest", "sig"), "classes")
-    keys = stored(shared_keys(keys_of(classes, reach)), "keys")
-
-    pairs = cut(first_pairs(keys, classes, reach, similarity))
-    links = cut(confirmed(pairs, docs, classes, width, percent))
-    tried, tries = pairs, 4
-    while True:
-        parts = components(links)
-        found = cut(later_pairs(keys, classes, parts, tries, reach, similarity))
-        more = not found.where("a = -1").isEmpty()
-        new = cut(found.where("a >= 0").join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if not more:
-                break
-        else:
-            links = cut(links.union(confirmed(new, docs, classes, width, percent)))
-            tried = tried.union(new)
-        tries *= 32
+    parts = confirmed(docs, classes, clusters(classes, reach, similarity), width, percent)
 
     named = classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
     rows = some.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("least"))
