@@ -69,6 +69,20 @@ def drop_stored(spark: SparkSession, but: int = 0) -> None:
         _tables.remove(path)
 
 
+#: Rows of one Arrow batch: documents are long, and a batch of them is held several times over on its way.
+ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ROWS`` rows, if they may be larger, and the texts that describe plans to 100 KB.
+
+    The driver keeps a plan's description for each query, and a literal rank map makes one of several MB.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.maxPlanStringLength", 100_000)):
+        if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 #: Bits of the filter that ``hinted`` broadcasts: 4 MB at most, however many keys there are.
 FILTER_BITS = 1 << 25
 
@@ -133,7 +147,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def tiles(texts: list[bytes], most: int = 1 << 20):
+def tiles(texts: list[bytes], most: int = 1 << 18):
     """(first, end) of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
     first, size = 0, 0
     for i, t in enumerate(texts):
@@ -195,11 +209,15 @@ def package_dir() -> str:
     return os.path.dirname(os.path.abspath(__file__))
 
 
-def text_tiles(batch, column: str = "text", most: int = 1 << 20):
+def text_tiles(batch, column: str = "text", most: int = 1 << 18):
     """(first row, texts as UTF-8) of a record batch, about ``most`` bytes at a time; a null is empty."""
+    yield from column_tiles(batch.column(column), most)
+
+
+def column_tiles(column, most: int = 1 << 18):
     import pyarrow as pa
 
-    values = batch.column(column).cast(pa.binary())
+    values = column.cast(pa.binary())
     for at in range(0, len(values), 512):
         texts = [v or b"" for v in values.slice(at, 512).to_pylist()]
         for a, b in tiles(texts, most):

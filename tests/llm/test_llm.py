@@ -102,9 +102,14 @@ def test_quality_odd(odd, none):
 # -- tokens ----------------------------------------------------------------------------------------
 
 
-def test_bpe_matches_library(spark, odd, none):
+@pytest.mark.parametrize("small", [False, True])
+def test_bpe_matches_library(spark, monkeypatch, odd, none, small):
     import base64
 
+    if small:
+        for name, value in (("SAMPLE", 40), ("WORDS", 5), ("REMEMBERED", 30), ("BATCH", 7)):
+            monkeypatch.setattr(bpe, name, value)
+
     tokenizers = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
     path = tokenizers.path("byte_bpe_50k.tiktoken")
@@ -113,7 +118,7 @@ def test_bpe_matches_library(spark, odd, none):
     library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(3)
     texts = ["".join(chr(rng.choice([32, 10, 39, 65, 97, 115, 116, 48, 0xE9, 0x4E2D, 0x1F600, 0x300, 0xA0, 0x2003])) for _ in range(rng.randint(0, 80))) for _ in range(200)]
-    texts += ["aaaaaaaaaaaaaaaaaaaaaaa", "ababababab", "  \n\n  x", "<|endoftext|>", "it's we'll THEY'RE", "x" * 700]
+    texts += ["aaaaaaaaaaaaaaaaaaaaaaa", "ababababab", "  \n\n  x", "<|endoftext|>", "it's we'll THEY'RE", "x" * 700, "\x1c a\x85b \u2003c", *["the same words again and again"] * 30, *[words(rng, 40, 30) for _ in range(30)]]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r for r in bpe.digest(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizers.PATTERN).collect()}
     for i, t in rows:
@@ -155,8 +160,8 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
-def test_near_duplicates(spark):
-    rng = random.Random(4)
+def near_rows(seed):
+    rng = random.Random(seed)
     base = [words(rng, rng.randint(20, 120), 900) for _ in range(6)]
     passage, rows = words(rng, 50, 900), []
     for i in range(260):
@@ -173,10 +178,54 @@ def test_near_duplicates(spark):
         else:
             t = words(rng, rng.randint(2, 20), 900) + " " + passage
         rows.append((i, t))
+    return rows
+
+
+@pytest.mark.parametrize(("unit", "small"), [(4096, 24), (5, 2)])
+def test_near_duplicates(spark, monkeypatch, unit, small):
+    """With small bounds, groups are dealt out in blocks, and their trees meet in a second round."""
+    monkeypatch.setattr(neardup, "UNIT", unit)
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    rows = near_rows(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80).collect()}
     assert got == brute_components(rows, 4, 80)
 
 
+def test_trees_of_links():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30):
+        near = rng.random((n, n)) < 0.05
+        near |= near.T
+        label = rng.integers(0, n, n)
+        for labels in (np.arange(n), label):
+            edges = neardup.linked(labels, lambda i, rest: near[i, rest])
+            want = near | (labels[:, None] == labels)
+            for _ in range(6):
+                want = want @ want
+            have = np.eye(n, dtype=bool) | (labels[:, None] == labels)
+            for a, b in edges:
+                have[a, b] = have[b, a] = True
+            for _ in range(6):
+                have = have @ have
+            assert (want | np.eye(n, dtype=bool) == have).all() and len(edges) < n
+    node, root = neardup.forest(np.array([5, 9, 7, 1]), np.array([9, 7, 5, 2]))
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {7: 5, 9: 5, 2: 1}
+
+
+def test_bounded_filter(spark, monkeypatch):
+    from fixcorpus.llm import common
+
+    rows = spark.range(-500, 500).withColumnRenamed("id", "k")
+    wanted = spark.range(-500, 500, 7)
+    got = {r["k"]: r["there"] for r in common.hinted(rows, rows["k"], wanted, "there").collect()}
+    assert len(got) == 1000 and {k for k, there in got.items() if there} == set(range(-500, 500, 7))
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
+    got = {r["k"]: r["there"] for r in common.hinted(rows, rows["k"], wanted, "there").collect()}
+    assert len(got) == 1000 and all(got[k] for k in range(-500, 500, 7))
+    assert not any(r["there"] for r in common.hinted(rows, rows["k"], wanted.limit(0), "there").collect())
+
+
 def test_near_duplicates_odd(odd, none):
     rows = neardup.grouped(odd, 4, 80).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in odd_rows())
@@ -375,7 +424,7 @@ def word_distance(item, text):
 
 def test_contamination(spark, odd, none):
     rng = random.Random(8)
-    items = [(i, words(rng, rng.randint(3, 70), 30)) for i in range(30)]
+    items = [(i, words(rng, rng.randint(3, 70), 30)) for i in range(30)] + [(30, "w7")]
     rows = []
     for i in range(120):
         w = rng.choice(items)[1].split()
@@ -389,14 +438,17 @@ def test_contamination(spark, odd, none):
     for d, text in rows:
         for i, item in items:
             n = len(item.split())
-            if n >= 5 and (k := word_distance(item.split(), text.lower().split())) <= int(n * 0.2 + 1e-9):
+            if (k := word_distance(item.split(), text.lower().split())) <= int(n * 0.2 + 1e-9):
                 want[d, i] = k
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(docs, tests).collect()}
     assert got == want and len(want) > 20
     assert {r["doc_id"] for r in decontam.clean(docs, tests).collect()} == {d for d, _ in rows} - {d for d, _ in want}
     odd_items = spark.createDataFrame([(1, None), (2, ""), (3, "other words here"), (None, "a b c"), (3, "other words here")], "item_id long, text string")
-    assert decontam.contaminated(odd, odd_items, min_words=3).count() == 4
-    assert decontam.clean(odd, odd_items, min_words=3).count() == len(odd_rows()) - 4
+    assert decontam.contaminated(odd, odd_items).count() == 4
+    assert decontam.clean(odd, odd_items).count() == len(odd_rows()) - 4
+    named = spark.createDataFrame([("x", "other words here"), (None, "a b c")], "item_id string, text string")
+    assert {r["item_id"] for r in decontam.contaminated(odd, named).collect()} == {"x", None}
+    assert decontam.clean(none, tests).count() == 0 and decontam.clean(odd, odd_items.limit(0)).count() == len(odd_rows())
     assert decontam.contaminated(none, tests).count() == 0 and decontam.contaminated(docs, odd_items.limit(0)).count() == 0
 
 
@@ -428,6 +480,30 @@ def test_toxicity_learns_sentences(spark, odd, none):
     assert toxicity.score(none, toxicity.train(none, truth)).count() == 0
 
 
+def test_toxicity_gradient():
+    """Against finite differences of the mean negative log likelihood."""
+    rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 6, 14))
+    sentence, feature = np.sort(rng.integers(0, 14, 60)).astype(np.int32), rng.integers(0, 9, 60).astype(np.int32)
+    y = np.array([1, 0, 1, 0, 0, 1.0])
+
+    def loss(v):
+        total = toxicity.losses(v[:-1], v[-1], sentence, feature, doc, y)
+        return np.where(y > 0, -np.log(-np.expm1(-total)), total).mean()
+
+    v = rng.normal(size=10) * 0.3
+    got = toxicity.gradient(v[:-1], v[-1], sentence, feature, doc, y, part=7)
+    want = [(loss(v + e) - loss(v - e)) / 2e-6 for e in np.eye(10) * 1e-6]
+    assert np.allclose(got, want, atol=1e-7)
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b."), (1, "c d."), (2, None)], "doc_id long, text string")
+    for rows in ([], [(1, 1)], [(1, None), (2, 0)]):
+        model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        assert [r["score"] < 1e-9 for r in toxicity.score(docs, model).collect()] == [True] * 3
+
+
 # -- secrets ---------------------------------------------------------------------------------------
 
 BASE = {"assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]+", 0, 24)}
