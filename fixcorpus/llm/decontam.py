@@ -4,22 +4,25 @@ A test item of n words is found wherever a passage lies within floor(n * (1 - si
 error budget of k, the item is split into k + 1 pieces; one of them must stand unchanged in any such passage. Exact
 piece hits come from sorted hashes of word sequences; around each hit, Myers' bit-parallel distance decides.
 
-Words are runs without white space, in lower case. Defined results: null texts and items without words or with
-fewer than ``min_words`` match nothing; repeated item ids act as one item each; a document's row holds its id, null
-included, once for each item; repeated document rows repeat; further columns are ignored; empty tables give no rows.
+Words are runs without white space, in lower case, compared as 64-bit hashes. An item of fewer than five words has no
+budget at 0.8, so it is found exactly. Ids of items may be of any type. Defined results: null texts and items without
+words match nothing; repeated item ids act as one item each; a document's row holds its id, null included, once for each
+item; repeated document rows repeat; further columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encoded, fresh, sliding_hash, text_tiles, word_hashes
+from .common import column_tiles, encoded, sliding_hash, text_tiles, word_hashes
 
 #: Test items are matched this many at a time: what each task receives stays below a few MB however many there are.
 BLOCK = 5_000
@@ -103,7 +106,7 @@ class Items:
                 yield text, item, best[0], best[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, item_col: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, distance, end_word) of every document and test item found in it.
 
     ``distance`` is the smallest number of word edits, ``end_word`` the number of words up to the first such passage's
@@ -111,37 +114,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema[item_col], T.StructField("distance", T.LongType()), T.StructField("end_word", T.LongType())])
     lowered = docs.select("doc_id", F.lower("text").alias("text"))
-    parts = [lowered.mapInArrow(_finder(m, item_col), schema) for m in matchers(benchmark, similarity, min_words, item_col)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` in which no test item is found."""
-    lower = fresh(docs, "_lower")
-
-    def run(matcher: Items):
-        def keep(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                free = np.ones(batch.num_rows, bool)
-                for at, texts in text_tiles(batch, lower):
+    parts = [lowered.mapInArrow(_finder(m, item_col, schema), schema) for m in matchers(benchmark, similarity, item_col)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` in which no test item is found. Only texts go to Python, and only decisions come back."""
+    def free(matcher: Items):
+        @F.arrow_udf("boolean")
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                out = np.ones(len(column), bool)
+                for at, texts in column_tiles(column):
                     hashes, of, _, _ = word_hashes(texts)
-                    free[[at + m[0] for m in matcher.matches(hashes, of, len(texts))]] = False
-                yield batch.filter(pa.array(free)).drop_columns([lower])
+                    out[[at + m[0] for m in matcher.matches(hashes, of, len(texts))]] = False
+                yield pa.array(out)
 
-        return keep
+        return run
 
     out = docs
-    for m in matchers(benchmark, similarity, min_words, item_col):
-        out = out.withColumn(lower, F.lower("text")).mapInArrow(run(m), docs.schema)
+    for m in matchers(benchmark, similarity, item_col):
+        out = out.where(free(m)(F.lower("text")))
     return out
 
 
-def matchers(benchmark: DataFrame, similarity: float, min_words: int, item_col: str) -> Iterator[Items]:
+def matchers(benchmark: DataFrame, similarity: float, item_col: str) -> Iterator[Items]:
     """All test items, at most about ``BLOCK`` at a time."""
     items = benchmark.select(item_col, F.lower("text").alias("text")).where(F.col("text").isNotNull())
     blocks = max(1, -(-items.count() // BLOCK))
@@ -149,13 +146,15 @@ def matchers(benchmark: DataFrame, similarity: float, min_words: int, item_col:
         rows = items.where(F.pmod(F.xxhash64(item_col, "text"), F.lit(blocks)) == i).distinct().collect()
         rows = sorted(((r[0], encoded([r[1]])) for r in rows), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
         prepared = [(k, word_hashes(t)[0].tolist()) for k, t in rows]
-        yield Items([(k, w) for k, w in prepared if len(w) >= max(1, min_words)], similarity)
+        yield Items([(k, w) for k, w in prepared if w], similarity)
 
 
-def _finder(matcher: Items, item_col: str):
-    def find(batches):
-        import pyarrow as pa
+def _finder(matcher: Items, item_col: str, schema: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    item_type = to_arrow_type(schema[item_col].dataType)
+
+    def find(batches):
         for batch in batches:
             ids, out = batch.column("doc_id"), []
             for at, texts in text_tiles(batch):
@@ -164,7 +163,7 @@ def _finder(matcher: Items, item_col: str):
                     out.append((at + text, matcher.items[item][0], distance, end))
             out = list({(r[0], r[1]): r for r in sorted(out, key=lambda r: (r[0], -r[2]))}.values())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())],
+                [ids.take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], item_type), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())],
                 names=["doc_id", item_col, "distance", "end_word"],
             )
 
