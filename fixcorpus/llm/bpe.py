@@ -1,10 +1,14 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding: Spark cuts each text into pieces by the tokenizer's pattern; the distinct pieces of each batch of documents
-become arrays of byte tokens; a higher-order function folds over each array, merging the leftmost pair of lowest rank
-until no pair has a rank. The rank map is a literal of the plan: a perfect hash, packed as two arrays of integers.
-Pieces are taken as distinct within a batch, so that nothing is shuffled and no dictionary of the corpus is needed.
-Decoding concatenates the bytes of each token.
+Encoding: texts are cut into pieces by the tokenizer's pattern; the distinct pieces of some documents at a time become
+arrays of byte tokens; a higher-order function folds over each array, merging the leftmost pair of lowest rank until no
+pair has a rank. The rank map is a literal of the plan: a perfect hash, packed as two arrays of integers.
+
+Common words are folded once: a dictionary is made beforehand of the words that a bounded sample of documents repeats
+most (``SAMPLE`` documents, ``WORDS`` words), and goes to all tasks. The others are folded where they are found; a task
+remembers up to ``REMEMBERED`` of them.
+So the documents aren't shuffled, and what is sent doesn't grow with the corpus. The tokens of a word don't depend on
+where it is folded. Decoding concatenates the bytes of each token.
 
 The cost of a piece grows with the square of its length in bytes; pieces are words, numbers or runs of symbols.
 
@@ -17,13 +21,23 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let
+from .common import let, small_batches, stored
+
+#: Documents from which the dictionary of common words is made, and words in it (about 20 bytes each): bounds of a cache,
+#: on which no result depends.
+SAMPLE = 32_000
+WORDS = 250_000
+REMEMBERED = 200_000
+#: Documents handled at a time.
+BATCH = 256
 
 
 @functools.lru_cache(4)
@@ -34,21 +48,23 @@ def load(path: str) -> tuple[bytes, ...]:
     return tuple(ranks[i] for i in range(len(ranks)))
 
 
-#: Bits of a place in the hash's table and of a bucket, and where they stand in the product.
-_PLACES, _BUCKETS, _PLACE_AT, _BUCKET_AT = 18, 15, 12, 33
+#: Stands before and after the symbols of a piece, and for a missing rank; no pair with it has a rank.
+NONE = 65_535
+#: Bits of a place in the hash's table, and of a bucket; together, those of a pair of tokens.
+_PLACES, _BUCKETS = 17, 15
 
 
 @functools.lru_cache(4)
 def rank_table(path: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """A perfect hash of all pairs of tokens that make a token: a factor, steps by bucket, and entries pair << 16 | rank.
+    """A perfect hash of all pairs of tokens that make a token: a factor, steps by bucket, and entries bucket << 16 | rank.
 
-    A pair (a, b) is a << 16 | b. Its place is one part of its product with the factor, changed by the step of the
-    bucket that another part names. Empty places hold 0, which no pair but the first could take for an entry.
+    A pair (a, b) is a << 16 | b. Its product with the odd factor, modulo 2**32, is a bijection: the upper bits are the
+    bucket, and the lower ones, changed by the bucket's step, the place. So place and bucket tell the pair. Empty
+    places hold ``NONE``.
     """
-    tokens = load(path)
-    rank = {t: i for i, t in enumerate(tokens)}
+    rank = {t: i for i, t in enumerate(load(path))}
     keys, values = [], []
-    for i, t in enumerate(tokens):
+    for i, t in enumerate(load(path)):
         for cut in range(1, len(t)):
             a, b = rank.get(t[:cut]), rank.get(t[cut:])
             if a is not None and b is not None:
@@ -56,24 +72,26 @@ def rank_table(path: str) -> tuple[int, np.ndarray, np.ndarray]:
                 values.append(i)
     keys, values = np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64)
     places, buckets = 1 << _PLACES, 1 << _BUCKETS
-    assert 3 * len(keys) < 2 * places, "the table is too small for this vocabulary"
+    assert 8 * len(keys) < 7 * places, "the table is too small for this vocabulary"
     for factor in (2_147_483_629, 1_999_999_973, 1_640_531_527, 1_500_450_271, 1_299_709_087):
-        product = keys * factor
-        bucket, first = product >> _BUCKET_AT & buckets - 1, product >> _PLACE_AT & places - 1
+        product = keys * factor & 0xFFFFFFFF
+        bucket, first = product >> _PLACES, product & places - 1
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets + 1))
         groups = sorted((order[a:b] for a, b in zip(edges, edges[1:], strict=False)), key=len, reverse=True)
-        entries, steps = np.zeros(places, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        entries, steps = np.full(places, NONE, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
         taken = np.zeros(places, dtype=bool)
         for group in groups:
-            if len(set(first[group].tolist())) < len(group):
+            for begin in range(0, places, 512):
+                free = ~taken[first[group, None] ^ np.arange(begin, begin + 512)].any(axis=0)
+                if free.any():
+                    break
+            else:
                 break
-            step = 0
-            while taken[first[group] ^ step].any():
-                step += 1
+            step = begin + int(free.argmax())
             at = first[group] ^ step
             taken[at] = True
-            entries[at] = keys[group] << 16 | values[group]
+            entries[at] = bucket[group] << 16 | values[group]
             steps[bucket[group[0]]] = step
         else:
             return factor, steps, entries
@@ -85,8 +103,6 @@ def _literal(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(kind)
 
 
-#: Stands before and after the symbols of a piece, and for a missing rank; no pair with it has a rank.
-NONE = 65_535
 #: A cell of the fold holds the rank of the pair that it begins, its place in the piece and its token, in this order of
 #: bits, so the smallest cell is the leftmost pair of lowest rank.
 _RANK, _PLACE = 46, 16
@@ -95,15 +111,17 @@ _RANK, _PLACE = 46, 16
 def rank_lookup(path: str):
     """(pair a << 16 | b, rest of a cell) -> the cell with the rank of the token that the pair makes."""
     factor, steps, entries = rank_table(path)
-    step_of, entry_of = _literal(steps, "array<bigint>"), _literal(entries, "array<bigint>")
-    part = lambda pair, at, bits: F.shiftright(pair * factor, at).bitwiseAND(F.lit((1 << bits) - 1))
-
-    def entry(pair: Column) -> Column:
-        return F.get(entry_of, part(pair, _PLACE_AT, _PLACES).bitwiseXOR(F.get(step_of, part(pair, _BUCKET_AT, _BUCKETS))))
+    step_of, entry_of = _literal(steps, "array<int>"), _literal(entries, "array<int>")
 
     def cell(pair: Column, rest: Column) -> Column:
-        # an entry of another pair differs above the rank's bits
-        return F.shiftleft(F.least(F.lit(NONE).cast("bigint"), entry(pair).bitwiseXOR(F.shiftleft(pair, 16))), _RANK).bitwiseOR(rest)
+        def found(product: Column) -> Column:
+            bucket = F.shiftright(product, _PLACES)
+            place = product.bitwiseAND(F.lit((1 << _PLACES) - 1)).bitwiseXOR(F.get(step_of, bucket))
+            # an entry of another pair differs above the rank's bits
+            rank = F.least(F.lit(NONE).cast("bigint"), F.get(entry_of, place).bitwiseXOR(F.shiftleft(bucket, 16)))
+            return F.shiftleft(rank, _RANK).bitwiseOR(rest)
+
+        return let((pair * factor).bitwiseAND(F.lit(0xFFFFFFFF)), found)
 
     return cell
 
@@ -143,79 +161,154 @@ def merged(symbols: Column, cell) -> Column:
     return let(symbols, started)
 
 
-#: White space as Unicode has it; Java's \\s knows ASCII only, and its Unicode mode slows every class down.
-_SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+class Known:
+    """A dictionary: words (an Arrow array of bytes), the number of tokens of each, and all tokens one after the other."""
 
+    def __init__(self, words, sizes: np.ndarray, tokens: np.ndarray):
+        self.words, self.sizes, self.tokens = words, sizes, tokens
+
+
+def dictionary(docs: DataFrame, path: str, pattern: str) -> Known:
+    """The commonest words of a sample of the documents, each found twice at least, folded once for all tasks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def counted(batches):
+        import regex
+
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            texts = batch.column("text")
+            for at in range(0, len(texts), 1024):
+                counts = Counter(chain.from_iterable(find(t) for t in texts.slice(at, 1024).to_pylist() if t))
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    small_batches(docs.sparkSession)
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    found = docs.select("text").sample(share, seed=1).mapInArrow(counted, "word string, n long")
+    words = stored(found.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") < 256)), "words")
+    often, total = 2, 0
+    for n, k in words.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        total += k
+        if total > WORDS:
+            often = n + 1
+            break
+    byte_ids = _byte_ids(load(path))
+
+    def symbols(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _symbols(batch.column("word").cast(pa.binary()), byte_ids)], names=["word", "symbols"])
+
+    def packed(batches):
+        for batch in batches:
+            found = batch.column("word").cast(pa.binary())
+            lists = batch.column("tokens")
+            parts = [b"".join(found.to_pylist()), pc.binary_length(found).to_numpy().astype("<u1").tobytes(), pc.list_value_length(lists).to_numpy().astype("<u1").tobytes()]
+            parts.append(lists.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["words", "bytes", "sizes", "tokens"])
+
+    lookup = rank_lookup(path)
+    # stored, so that the plan with the rank map has no exchange and is planned only once
+    made = words.where(F.col("n") >= often).select("word").repartition(words.sparkSession.sparkContext.defaultParallelism)
+    made = stored(made.mapInArrow(symbols, "word string, symbols array<int>"), "symbols")
+    rows = made.select("word", merged(F.col("symbols"), lookup).alias("tokens")).mapInArrow(packed, "words binary, bytes binary, sizes binary, tokens binary").collect()
+    joint = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind)
+    edges = np.concatenate([[0], np.cumsum(joint("bytes", "<u1"), dtype=np.int32)]).astype(np.int32)
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(b"".join(bytes(r["words"]) for r in rows))])
+    return Known(found, joint("sizes", "<u1"), joint("tokens", "<u2"))
 
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern for Java: \\s and \\S spelled out, within classes and outside."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two == "\\s":
-            out.append(_SPACE if inside else f"[{_SPACE}]")
-        elif two == "\\S":
-            out.append(f"[^{_SPACE}]")
-        elif two[0] == "\\":
-            out.append(two)
-        else:
-            inside = two[0] == "[" or (inside and two[0] != "]")
-            out.append(two[0])
-            i -= 1
-        i += 2
-    return "".join(out)
 
+def _folded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], known: Known) -> DataFrame:
+    """Of each document: a struct of its ``keep`` columns, the numbers of its pieces' words, and the tokens of its new words.
 
-def _folded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]) -> DataFrame:
-    """A row for each batch of documents: their ``keep`` columns, the places of their pieces among the distinct words, and the words' tokens."""
-    kinds = T.StructType([docs.schema[c] for c in keep])
-    pieces = docs.select(F.struct(*keep).alias("row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"))
+    The ``known`` words have the first numbers, then those that the task has met since a row with ``anew``.
+    """
+    small_batches(docs.sparkSession)
+    row = T.StructType([docs.schema[c] for c in keep])
     words = T.ArrayType(T.ArrayType(T.IntegerType()))
-    batches = pieces.mapInArrow(
-        _distinct(load(path)),
-        T.StructType([T.StructField("rows", T.ArrayType(kinds)), T.StructField("index", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("words", words)]),
+    found = docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(
+        _distinct(_byte_ids(load(path)), known.words, pattern),
+        T.StructType([T.StructField("row", row), T.StructField("anew", T.BooleanType()), T.StructField("index", T.BinaryType()), T.StructField("words", words)]),
     )
     lookup = rank_lookup(path)
-    return batches.select("rows", "index", "counts", F.transform("words", lambda w: merged(w, lookup)).alias("tokens"))
+    return found.select("row", "anew", "index", F.transform("words", lambda w: merged(w, lookup)).alias("tokens"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with ids, the token ids of the whole text."""
+    known = dictionary(docs, path, pattern)
+    own = known.sizes, known.tokens
+
     def run(batches):
         import pyarrow as pa
 
-        for rows, ids, edges in _parts(batches):
+        for rows, ids, edges in _parts(batches, *own):
             lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in keep], lists], names=[*keep, "ids"])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return _folded(docs, path, pattern, keep).mapInArrow(run, schema)
+    return _folded(docs, path, pattern, keep, known).mapInArrow(run, schema)
 
 
-def _distinct(tokens: tuple[bytes, ...]):
-    byte_ids = np.zeros(256, dtype=np.int32)
+def _byte_ids(tokens: tuple[bytes, ...]) -> np.ndarray:
+    out = np.zeros(256, dtype=np.int32)
     for i, t in enumerate(tokens):
         if len(t) == 1:
-            byte_ids[t[0]] = i
+            out[t[0]] = i
+    return out
 
+
+def _symbols(words, byte_ids: np.ndarray):
+    """The byte tokens of each word (an Arrow array of bytes)."""
+    import pyarrow as pa
+
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = byte_ids[np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]] if offsets[-1] > offsets[0] else byte_ids[:0]
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(data, pa.int32()))
+
+
+def _distinct(byte_ids: np.ndarray, known, pattern: str):
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+        import regex
+
+        find = regex.compile(pattern).findall
+        numbers: dict[str, int] = {}  # of the task's words, in the order in which they were met
+        final = np.zeros(0, np.int32)  # their numbers in the rows
+        met = 0  # of them, words that aren't known
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pieces = batch.column("pieces")
-            counts = np.diff(pieces.offsets.to_numpy()).astype("<i4")
-            words = pieces.flatten().cast(pa.binary()).dictionary_encode()
-            index = words.indices.to_numpy(zero_copy_only=False).astype("<i4")
-            kept = words.dictionary
-            offsets = np.frombuffer(kept.buffers()[1], np.int32)[kept.offset : kept.offset + len(kept) + 1] if len(kept) else np.zeros(1, np.int32)
-            data = byte_ids[np.frombuffer(kept.buffers()[2], np.uint8)[: offsets[-1]]] if offsets[-1] else byte_ids[:0]
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(data, pa.int32()))
-            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays(
-                [whole(batch.column("row")), pa.array([index.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), whole(lists)], names=["rows", "index", "counts", "words"]
-            )
+            for first in range(0, batch.num_rows, BATCH):
+                part = batch.slice(first, BATCH)
+                if len(numbers) > REMEMBERED:
+                    numbers, final, met = {}, final[:0], 0
+                anew = np.zeros(part.num_rows, bool)
+                anew[0] = not len(final)
+                index, counts, upto = [], [0], [len(final)]
+                for text in part.column("text").to_pylist():
+                    pieces = find(text or "")
+                    index.append(np.fromiter((numbers.setdefault(p, len(numbers)) for p in pieces), np.int32, len(pieces)))
+                    counts.append(len(pieces))
+                    upto.append(len(numbers))
+                words = pa.array(list(islice(numbers, len(final), None)), pa.string()).cast(pa.binary())
+                there = pc.index_in(words, value_set=known)
+                new = there.is_null().to_numpy(zero_copy_only=False)
+                before = np.concatenate([[0], np.cumsum(new)])
+                own = np.where(new, len(known) + met + before[:-1], there.fill_null(0).to_numpy(zero_copy_only=False))
+                edges = before[np.array(upto) - len(final)]
+                final = np.concatenate([final, own.astype(np.int32)])
+                met += int(before[-1])
+                places = final[np.concatenate(index)].astype("<i4")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("row"),
+                        pa.array(anew),
+                        pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * np.cumsum(counts)).astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())]),
+                        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), _symbols(words.filter(pa.array(new)), byte_ids)),
+                    ],
+                    names=["row", "anew", "index", "words"],
+                )
 
     return run
 
@@ -227,22 +320,24 @@ def ragged(offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return np.repeat(offsets[chosen] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _parts(batches):
+def _parts(batches, known_sizes: np.ndarray, known_tokens: np.ndarray):
     """(rows, ids, edges) of some documents at a time: document i has ids[edges[i]:edges[i + 1]]."""
+    base, values = np.concatenate([[0], np.cumsum(known_sizes, dtype=np.int64)]), known_tokens.astype(np.int32)
     for batch in batches:
-        for i in range(batch.num_rows):
-            rows = batch.column("rows").slice(i, 1).flatten()
-            index = np.frombuffer(batch.column("index")[i].as_py(), "<i4")
-            counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
-            tokens = batch.column("tokens").slice(i, 1).flatten()
-            base = tokens.offsets.to_numpy().astype(np.int64)
-            values = tokens.values.to_numpy(zero_copy_only=False)
-            pieces = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            for a in range(0, len(counts), 256):
-                b = min(a + 256, len(counts))
-                chosen = index[pieces[a] : pieces[b]]
-                ends = np.concatenate([[0], np.cumsum(base[chosen + 1] - base[chosen])])
-                yield rows.slice(a, b - a), values[ragged(base, chosen)].astype(np.int32), ends[pieces[a : b + 1] - pieces[a]]
+        anew = batch.column("anew").to_numpy(zero_copy_only=False)
+        cuts = sorted({*range(0, batch.num_rows, BATCH), *np.flatnonzero(anew).tolist(), batch.num_rows})
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if anew[a]:
+                base, values = base[: len(known_sizes) + 1], values[: len(known_tokens)]
+            tokens = batch.column("tokens").slice(a, z - a).flatten()
+            if len(tokens):
+                base = np.concatenate([base, base[-1] + np.cumsum(np.diff(tokens.offsets.to_numpy()), dtype=np.int64)])
+                values = np.concatenate([values, tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+            parts = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column("index").slice(a, z - a)]
+            pieces = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+            chosen = np.concatenate(parts)
+            ends = np.concatenate([[0], np.cumsum(base[chosen + 1] - base[chosen])])
+            yield batch.column("row").slice(a, z - a), values[ragged(base, chosen)], ends[pieces]
 
 
 def joined(tokens: tuple[bytes, ...], ids: list[int]) -> bytes:
@@ -268,11 +363,13 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: encoded, then decoded from the ids, in one pass."""
     tokens = load(path)
+    known = dictionary(docs, path, pattern)
+    own = known.sizes, known.tokens
 
     def run(batches):
         import pyarrow as pa
 
-        for rows, ids, edges in _parts(batches):
+        for rows, ids, edges in _parts(batches, *own):
             each = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -285,4 +382,4 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return _folded(docs, path, pattern, ("doc_id",)).mapInArrow(run, schema)
+    return _folded(docs, path, pattern, ("doc_id",), known).mapInArrow(run, schema)
