@@ -80,7 +80,10 @@ def fingerprint(buggy: Column, fixed: Column, strategy: str = "normalized", star
 
 
 def looks_like_test(path: Column, source: Column) -> Column:
-    """Test code by its path, its file name, or an annotation or class name in the first 40 lines."""
+    """Test code by its path, its file name, or an annotation or class name in the first 40 lines.
+
+    Fixed values: the folders, endings, annotations and the number of lines.
+    """
     path = F.coalesce(path, F.lit(""))
     head = F.array_join(F.slice(split_lines(source), 1, 40), "\n")
     return (

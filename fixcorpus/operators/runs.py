@@ -52,6 +52,7 @@ def verdicts(changes: DataFrame, keys: tuple[str, ...] = (), reproduction: DataF
     problems = F.concat_ws(" and ", F.when(broke, text("broke ", c("pass_to_fail"), " previously passing test(s)")), F.when(added, text("added ", c("added_failing"), " failing test(s)")))
     partly = (c("fail_to_pass") > 0) & (c("repro") > 0) & (c("repro_failing") > 0)
     status = F.when(broke | added, "failed").when(partly, "unverified").when(c("fail_to_pass") > 0, "solved").otherwise("unverified")
+    # The sentences, which are part of the result.
     reason = (
         F.when(broke | added, text("The patch ", problems, "."))
         .when(partly, text("Nothing broke and ", c("fail_to_pass"), " test(s) now pass, but ", c("repro_failing"), " of the issue's ", c("repro"), " reproduction test(s) still fail."))
@@ -66,9 +67,16 @@ def verdicts(changes: DataFrame, keys: tuple[str, ...] = (), reproduction: DataF
     return out.withColumns({"status": status, "reason": reason}).drop("n_before")
 
 
+# Endings of exceptions' names.
+EXCEPTIONS = ("Error", "Exception", "Exit", "Interrupt")
+
+
 def failure_type(patch: Column, patch_error: Column, patch_status: Column, stage: Column, broken: Column, failed: Column, messages: Column) -> Column:
     """What kind of failure an attempt was; ``messages`` are those of its failed tests, ``broken`` and ``failed`` counts."""
-    exception = lambda m: m.rlike(r"^[A-Za-z_][\w.]*(?:Error|Exception|Exit|Interrupt)\b") & ~m.startswith("AssertionError")
+    # an exception stands first: a part of a dotted name with one of the endings, and something before the ending
+    parts = lambda m: F.split(F.regexp_extract(m, r"^([A-Za-z_][A-Za-z0-9_.]*)", 1), r"\.")
+    ends = lambda p, i: F.array_contains(F.transform(F.array(*map(F.lit, EXCEPTIONS)), lambda e: p.endswith(e) & ((i > 0) | (p != e))), True)
+    exception = lambda m: F.array_contains(F.transform(parts(m), ends), True) & ~m.startswith("AssertionError")
     said = F.filter(messages, lambda m: m.isNotNull() & (m != ""))
     return (
         F.when(F.trim(F.coalesce(patch, F.lit(""))) == "", F.when(patch_error.contains("not valid Python"), "syntax_error").when(F.coalesce(patch_error, F.lit("")) != "", "compilation_error").otherwise("unknown"))

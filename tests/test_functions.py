@@ -205,3 +205,20 @@ def test_unified_and_similarity(spark):
     got = [r[0] for r in df.select(diff.unified("p", "a", "b")).collect()]
     assert got == ["--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n a\n-b\n\\ No newline at end of file\n+c\n\\ No newline at end of file\n", "", None]
     assert [round(r[0], 3) for r in df.select(diff.similarity("a", "b")).collect()] == [0.667, 1.0, 1.0]
+
+
+def test_java_signatures():
+    from fixcorpus.functions.java import find_methods, signature
+
+    yes = {
+        "  public static int add(int a, int b) {": "add", "Foo() {": "Foo", "  private <T extends A & B> List<T> of(Map<String, int[]> m) throws IOException, a.B {": "of",
+        "public <T> T f(@A(1) T x){": "f", "int[] g() { return null; }": "g", "  final void h ( ) {": "h", "boolean é$1(long... x) {": "é$1",
+    }
+    no = ["x = f(a) {", "@Test void f() {", "} else if (a) {", "f(a); {", "void f(int a;) {", "void f(a {", "f(a) + 1 {", "class A {", "foo.bar(x) {", "void f() throws {"]
+    for line, name in yes.items():
+        assert signature(line) == (name, line.index("{")), line
+    assert not [x for x in no if signature(x)]
+    source = "class A {\n  void f() {\n    if (a) {\n    }\n  }\n  void g() { /* } */ String s = \"}\";\n  }\n  void open() {\n"
+    assert find_methods(source) == [{"name": "f", "start_line": 2, "end_line": 5}, {"name": "g", "start_line": 6, "end_line": 7}]
+    deep = "void f() {\n" * 20_000
+    assert find_methods(deep) == []
