@@ -14,8 +14,10 @@ each ``size - gram`` symbols, and all work is done on blocks:
    many contenders is dealt out by window offset.
 4. ``applied`` joins the covered spans back to the texts.
 
-Documents are ordered by id, null last; rows with one id are told apart by a hash of their text, and rows with one id
-and one text are one document. Block contents are compared as 128 bits of hash, windows symbol by symbol.
+Only texts that have contenders, or spans, are shuffled: a filter of bounded size tells most of the others.
+
+Documents are ordered by id, null last; rows with one id are told apart by a hash of their text (31 bits), and rows with
+one id and one text are one document. Block contents are compared as 128 bits of hash, windows symbol by symbol.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _VALUES, _powers, cut, mix, text_tiles, word_hashes
+from .common import _VALUES, _powers, hinted, mix, stored, text_tiles, word_hashes
 
 LAST = (1 << 63) - 1
 FLUSH = 500_000
 #: Contenders of one anchor that one task compares; beyond it they are dealt out by window offset.
 GROUP = 20_000
 KEYS = ("doc", "fp")
-_FOUND = "kind int, h long, b long, doc long, fp long, p int, end int, off int, slices int"
+#: What is shuffled by anchor, kept narrow: ``at`` is fp << 32 | p, and ``span`` the number of windows - 1, and the anchor's
+#: offset: n << 15 | off. A covered span has -1 there, and its end for b.
+_BLOCKS = "h long, b long, doc long, at long, span int"
+_FOUND = "kind int, h long, doc long, fp long, p int, end int, off int, slices int"
 
 
 @dataclass(frozen=True)
@@ -124,15 +129,21 @@ def union_spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return key[first], start[first], (reach - shift)[last]
 
 
-def _batch(kind, h, b, doc, fp, p, end, off, slices=None):
+def _blocks(h, b, doc, fp, p, span):
+    import pyarrow as pa
+
+    at = fp.astype(np.int64) << 32 | p.astype(np.int64)
+    columns = [*(pa.array(np.asarray(x, dtype=np.int64)) for x in (h, b, doc, at)), pa.array(np.asarray(span, dtype=np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "b", "doc", "at", "span"])
+
+
+def _batch(kind, h, doc, fp, p, end, off=None, slices=None):
     import pyarrow as pa
 
     n = len(h)
-    arrays = [pa.array(np.full(n, kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32))]
-    arrays += [pa.array(np.asarray(x, dtype=np.int64)) for x in (h, b, doc, fp)]
-    arrays += [pa.array(np.asarray(x, dtype=np.int32)) for x in (p, end, off)]
-    arrays.append(pa.array(np.ones(n, np.int32) if slices is None else slices.astype(np.int32)))
-    return pa.RecordBatch.from_arrays(arrays, names=["kind", "h", "b", "doc", "fp", "p", "end", "off", "slices"])
+    arrays = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (h, doc, fp))]
+    arrays += [pa.array(np.zeros(n, np.int32) if x is None else np.asarray(x, dtype=np.int32)) for x in (p, end, off, slices)]
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "h", "doc", "fp", "p", "end", "off", "slices"])
 
 
 def _sliced(batch, most: int = 50_000):
@@ -141,23 +152,24 @@ def _sliced(batch, most: int = 50_000):
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
-    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
+    fp = F.xxhash64(text_col).bitwiseAND(F.lit(0x7FFFFFFF))
+    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), fp.alias("fp"), F.col(text_col).alias("text"))
 
 
 def blocks_of(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Kind 0: the first block of its content in a task. Kind 1: a covered span (p, end)."""
+    """The first block of its content in a task, and spans that such blocks cover."""
     def flush(rows: list[tuple[np.ndarray, ...]]):
         h, b, doc, fp, p, n, off, row = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.lexsort((p, fp, doc, b, h))
         h, b, doc, fp, p, n, off, row = (x[order] for x in (h, b, doc, fp, p, n, off, row))
         covered, again, _ = later(h, b, doc, fp, p, kind)
         keep = ~covered & ~again
-        yield from _sliced(_batch(0, h[keep], b[keep], doc[keep], fp[keep], p[keep], p[keep] + n[keep], off[keep]))
+        yield from _sliced(_blocks(h[keep], b[keep], doc[keep], fp[keep], p[keep], n[keep].astype(np.int64) << 15 | off[keep]))
         if covered.any():
             key, start, end = union_spans(row[covered], p[covered], p[covered] + n[covered] + kind.size)
             at = np.zeros(int(row.max()) + 1, np.int64)
             at[row] = np.arange(len(row))
-            yield from _sliced(_batch(1, mix(key.astype(np.uint64)).view(np.int64), np.zeros(len(key)), doc[at[key]], fp[at[key]], start, end, np.zeros(len(key))))
+            yield from _sliced(_blocks(mix(key.astype(np.uint64)).view(np.int64), end, doc[at[key]], fp[at[key]], start, np.full(len(key), -1)))
 
     def run(batches):
         rows, held, seen = [], 0, 0
@@ -177,7 +189,7 @@ def blocks_of(docs: DataFrame, kind: Kind) -> DataFrame:
         if rows:
             yield from flush(rows)
 
-    return docs.mapInArrow(run, _FOUND)
+    return docs.mapInArrow(run, _BLOCKS)
 
 
 def by_key(batches, names: tuple[str, ...]) -> Iterator:
@@ -210,17 +222,20 @@ def resolved(found: DataFrame, kind: Kind) -> DataFrame:
     """Kind 1: covered spans. Kind 2: contenders, with the number of slices that their anchor is dealt out to."""
     def run(batches):
         for batch in by_key(batches, ("h",)):
-            col = {n: batch.column(n).to_numpy() for n in batch.schema.names}
-            spans = col["kind"] == 1
+            col = {n: batch.column(n).to_numpy() for n in ("h", "b", "doc", "span")}
+            at = batch.column("at").to_numpy()
+            col |= {"fp": at >> 32, "p": at & 0xFFFFFFFF}
+            spans = col["span"] < 0
             if spans.any():
                 x = {n: v[spans] for n, v in col.items()}
-                yield from _sliced(_batch(1, *(x[n] for n in ("h", "b", "doc", "fp", "p", "end", "off"))))
+                yield from _sliced(_batch(1, x["h"], x["doc"], x["fp"], x["p"], x["b"]))
             x = {n: v[~spans] for n, v in col.items()}
             if not len(x["h"]):
                 continue
+            x |= {"end": x["p"] + (x["span"] >> 15), "off": x["span"] & 0x7FFF}
             covered, again, _ = later(x["h"], x["b"], x["doc"], x["fp"], x["p"], kind)
             if covered.any():
-                yield from _sliced(_batch(1, *(x[n][covered] for n in ("h", "b", "doc", "fp", "p")), x["end"][covered] + kind.size, x["off"][covered]))
+                yield from _sliced(_batch(1, *(x[n][covered] for n in ("h", "doc", "fp", "p")), x["end"][covered] + kind.size))
             x = {n: v[~covered & ~again] for n, v in x.items()}
             new = np.concatenate([[True], x["h"][1:] != x["h"][:-1]])
             group = np.cumsum(new) - 1
@@ -229,9 +244,9 @@ def resolved(found: DataFrame, kind: Kind) -> DataFrame:
             contends = (np.bincount(group, weights=differs) > 0)[group]
             if contends.any():
                 slices = np.minimum(-(-rows // GROUP), kind.spread)[group]
-                yield from _sliced(_batch(2, *(x[n][contends] for n in ("h", "b", "doc", "fp", "p", "end", "off")), slices[contends]))
+                yield from _sliced(_batch(2, *(x[n][contends] for n in ("h", "doc", "fp", "p", "end", "off")), slices[contends]))
 
-    return found.repartition("h").sortWithinPartitions("h", "b", "doc", "fp", "p").mapInArrow(run, _FOUND)
+    return found.repartition("h").sortWithinPartitions("h", "b", "doc", "at").mapInArrow(run, _FOUND)
 
 
 _CONTENT = "h long, slice int, doc long, fp long, p int, n int, off int, content binary"
@@ -240,7 +255,8 @@ _CONTENT = "h long, slice int, doc long, fp long, p int, n int, off int, content
 def contents(docs: DataFrame, contenders: DataFrame, kind: Kind) -> DataFrame:
     """Symbols of each contender's windows: bytes, or words joined by one space; a row for each slice of offsets."""
     wanted = contenders.groupBy("doc", "fp").agg(F.collect_list(F.struct("h", "p", "end", "off", "slices")).alias("wanted"))
-    joined = docs.join(wanted, [*KEYS])
+    asked = contenders.select(F.xxhash64(*KEYS).alias("key")).distinct()
+    joined = hinted(docs, F.xxhash64(*KEYS), asked, "_asked").where("_asked").drop("_asked").join(wanted, [*KEYS])
 
     def run(batches):
         import pyarrow as pa
@@ -293,7 +309,7 @@ def contests(rows: DataFrame, kind: Kind, classes: Callable[[list[bytes], np.nda
             covered, _, _ = later(np.zeros(len(row), np.int64), named[order], doc[order], fp[order], p[order], kind)
             hit = order[covered]
             key, start, end = union_spans(row[hit], p[hit].astype(np.int64), p[hit].astype(np.int64) + kind.size)
-            yield from _sliced(_batch(1, h[key], np.zeros(len(key)), doc_of[key], fp_of[key], start, end, np.zeros(len(key))))
+            yield from _sliced(_batch(1, h[key], doc_of[key], fp_of[key], start, end))
 
     return rows.repartition("h", "slice").sortWithinPartitions("h", "slice").mapInArrow(run, _FOUND)
 
@@ -327,15 +343,20 @@ def branching(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: np
 
 def covered_spans(docs: DataFrame, kind: Kind, classes) -> DataFrame:
     """(doc, fp, spans): the covered spans (p, end) of each document that has any."""
-    found = cut(resolved(blocks_of(docs, kind), kind))
+    if kind.size > 0x7FFF:
+        raise ValueError("windows of so many symbols aren't supported")
+    found = stored(resolved(blocks_of(docs, kind), kind), "found")
     more = contests(contents(docs, found.where("kind = 2"), kind), kind, classes)
     spans = found.where("kind = 1").select(*KEYS, "p", "end").unionByName(more.select(*KEYS, "p", "end"))
-    return spans.groupBy(*KEYS).agg(F.collect_list(F.struct("p", "end")).alias("spans"))
+    return stored(spans.groupBy(*KEYS).agg(F.collect_list(F.struct("p", "end")).alias("spans")), "spans")
 
 
 def applied(docs: DataFrame, spans: DataFrame, use, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``use(id, text, merged spans)`` of every row."""
-    own = keyed(docs, id_col, text_col, F.col(id_col).alias("_id"))
+    """``use(text, merged spans)`` of every row; rows that surely have no spans aren't shuffled."""
+    key = F.xxhash64(*KEYS)
+    own = hinted(keyed(docs, id_col, text_col, F.col(id_col).alias("_id")), key, spans.select(key.alias("key")), "_some")
+    some = own.where("_some").join(spans, [*KEYS], "left").select("_id", "text", "spans")
+    rest = own.where("not _some").select("_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
     def run(batches):
         import pyarrow as pa
@@ -357,4 +378,4 @@ def applied(docs: DataFrame, spans: DataFrame, use, schema: T.StructType, id_col
                 arrays.append(pa.array(c, pa.int64() if isinstance(f.dataType, T.LongType) else pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return own.join(spans, [*KEYS], "left").select("_id", "text", "spans").mapInArrow(run, schema)
+    return some.union(rest).mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Substring deduplication of words.
 
 A word is removed if it lies in a window of ``size`` words whose sequence also starts in a document with a smaller id.
-Candidates come from ``repeats``. Their suffixes are split by prefixes of varying length: a set of suffixes that is
+Candidates come from ``repeats``, which settles equal blocks by 128 bits of hash. The suffixes of the others are split by prefixes of varying length: a set of suffixes that is
 larger than ``MEMORY`` is divided by its next word until it fits. Over each group a suffix tree grows from the top: a
 node holds the suffixes that agree so far, its edge is as long as they agree, and its children differ in the next word.
 Internal nodes ``size`` words deep or deeper are the repeats: their suffixes start with equal windows.

@@ -1,7 +1,8 @@
 """Suffix-array deduplication of bytes.
 
 A byte is removed if it lies in a string of ``size`` bytes that also starts earlier: in a smaller document, or earlier
-in the same one. Candidates come from ``repeats``; their suffixes are put in order by deep-shallow sorting. A multikey
+in the same one. Candidates come from ``repeats``, which settles equal
+blocks by 128 bits of hash; the suffixes of the others are put in order by deep-shallow sorting. A multikey
 quicksort, with 8 bytes as one character, orders them to a shallow depth. Groups that still agree there have long
 common prefixes; a blind trie over each group, which keeps only branching depths and branching bytes, orders the rest.
 Strings are judged to ``size`` bytes, so suffixes that agree so far are one class.
