@@ -48,21 +48,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Tables written by ``stored`` and not yet dropped.
+#: Places of tables given out by ``scratch`` and not yet dropped.
 _tables: list[str] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the shared folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read back, so that its size is known to the planner."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession, but: int = 0) -> None:
-    """Delete the tables of ``stored``, except for the last ``but``. Nothing that is still to be computed may read them."""
+    """Delete the tables of ``scratch`` and ``stored``, except for the last ``but``. Nothing that is still to be computed may read them."""
     for path in _tables[: len(_tables) - but]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, let
@@ -73,19 +73,42 @@ RULES = (
 _SPANS = "array<struct<start:int,end:int>>"
 
 
+#: Values that ``running`` handles at a time: its cost is linear up to that many, and then grows with n * (n / BLOCK).
+BLOCK = 256
+
+
+def blocked(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` values."""
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
+
+
+def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or maxima, of an array of integers: within blocks, then over the blocks' last ones."""
+    plain = lambda a, b: F.when(a.isNotNull(), both(a, b))
+
+    def appended(block: Column) -> Column:
+        # get() is null before the first value, and so is what ``both`` makes of it
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, v: F.array_append(acc, F.coalesce(plain(F.get(acc, F.size(acc) - 1), v), v)))
+
+    def joined(blocks: Column) -> Column:
+        before = lambda ends: F.zip_with(blocks, F.concat(F.array(F.lit(None).cast("int")), F.slice(ends, F.lit(1), F.size(ends) - 1)), lambda block, low: F.transform(block, lambda v: F.coalesce(plain(low, v), v)))
+        return F.flatten(let(appended(F.transform(blocks, lambda x: F.element_at(x, -1))), before))
+
+    many = let(F.transform(blocked(values), appended), joined)
+    return F.when(F.size(values) <= BLOCK, appended(values)).otherwise(many)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Matches as (start, end) in code points: what stands between matches and the matches themselves, added up."""
+    """Matches as (start, end) in code points: running sums of the sizes of matches and of what stands between them."""
     pattern = F.lit(rule.pattern)
 
     def laid(parts: Column) -> Column:
-        step = lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + m["size"]).alias("at"),
-            F.when(
-                m["tested"] >= rule.least,
-                F.concat(acc["found"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["size"]).alias("end")))),
-            ).otherwise(acc["found"]).alias("found"),
-        )
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found")), step, lambda acc: acc["found"])
+        def named(ends: Column) -> Column:
+            rows = F.zip_with(parts, ends, lambda p, end: F.struct((end - p["size"]).alias("start"), end.alias("end"), p["tested"]))
+            return F.transform(F.filter(rows, lambda r: r["tested"] >= rule.least), lambda r: F.struct(r["start"], r["end"]))
+
+        return let(running(F.transform(parts, lambda p: p["gap"] + p["size"]), lambda a, b: a + b), named)
 
     sizes = lambda values: F.transform(values, lambda v: F.length(v))
     parts = F.zip_with(
@@ -96,7 +119,7 @@ def spans_of(text: Column, rule: Rule) -> Column:
         sizes(F.split(text, rule.pattern, -1)),
         lambda m, gap: F.when(m.isNotNull(), F.struct(gap.alias("gap"), m["size"], m["tested"])),
     )
-    return F.when(rule.hint(text), let(F.filter(parts, lambda p: p.isNotNull()), laid)).otherwise(F.array().cast(_SPANS))
+    return F.when(rule.hint(text), let(F.filter(parts, lambda p: p.isNotNull()), laid)).otherwise(F.array()).cast(_SPANS)
 
 
 def blobs_of(versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -129,6 +152,21 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return rows.select("blob", F.inline("found"))
 
 
+def read_ledger(spark: SparkSession, at: str) -> DataFrame:
+    """The ledger table at a path; without rows if there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.read.schema(LEDGER).parquet(at)
+    return spark.createDataFrame([], LEDGER)
+
+
+def updated(versions: DataFrame, at: str, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
+    """The ledger table at ``at`` after what it lacks for ``versions`` was scanned and added."""
+    spark = versions.sparkSession
+    scan(versions, read_ledger(spark, at), rules, path, text).write.mode("append").parquet(at)
+    return read_ledger(spark, at)
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
     """(path, found): every version with the spans that the ledger has for its blob under the current rules.
 
@@ -167,19 +205,32 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span that the ledger has for its text replaced by ``mark``; overlapping spans become one."""
+    """``docs`` with every span that the ledger has for its text replaced by ``mark``; overlapping spans become one.
+
+    A column n_chars, if there is one, follows the text.
+    """
     def cutout(text: Column, spans: Column) -> Column:
-        step = lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-        return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        def kept(reach: Column) -> Column:
+            # what stands before each span that begins at or after the ends of all earlier ones, and after the last
+            before = F.concat(F.array(F.lit(0)), reach)
+            rows = F.zip_with(before, spans, lambda a, s: F.struct(a.alias("a"), F.coalesce(s["start"], F.length(text)).alias("z")))
+            return F.filter(rows, lambda r: r["z"] >= r["a"])
+
+        def cut(block: Column) -> Column:
+            first, last = F.element_at(block, 1)["a"], F.element_at(block, -1)["z"]
+            part = F.substring(text, first + 1, last - first)
+            return let(F.struct(part.alias("t"), first.alias("a")), lambda p: F.array_join(F.transform(block, lambda r: F.substring(p["t"], r["a"] - p["a"] + 1, r["z"] - r["a"])), mark))
+
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        return F.array_join(F.transform(let(let(reach, kept), blocked), cut), mark)
 
     blob, found = fresh(docs, "_blob"), fresh(docs, "_found")
     out = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits(ledger, rules).toDF(blob, found), blob, "left")
     some = F.col(found).isNotNull()
     out = out.withColumn("text", F.when(some, cutout(F.col("text"), F.col(found))).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 #: DuckDB's expressions have no atomic groups, so the SQL has the first line of a private key only.
