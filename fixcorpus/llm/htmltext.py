@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,43 +37,71 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("names", "tags", "text", "linked")
+    """Text of a leaf block: its element, and of all elements above it the tags, the names and the innermost zone."""
 
-    def __init__(self, tags: tuple[str, ...], names: frozenset[str], text: str, linked: int):
-        self.tags, self.names, self.text, self.linked = tags, names, text, linked
+    __slots__ = ("linked", "names", "own", "tags", "text", "zone")
 
+    def __init__(self, above: Above, text: str, linked: int):
+        self.own, self.tags, self.names, self.zone = above.own, above.tags, above.names, above.zone
+        self.text, self.linked = text, linked
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+
+class Above:
+    """What is said of an open element and all elements above it. Sets are shared as long as nothing new comes in."""
+
+    __slots__ = ("hidden", "names", "own", "tags", "zone")
+
+    def __init__(self, own: str, tags: frozenset[str], names: frozenset[str], zone: str, hidden: bool):
+        self.own, self.tags, self.names, self.zone, self.hidden = own, tags, names, zone, hidden
+
+    def inside(self, name: str, names: set[str], hidden: bool) -> Above:
+        tags = self.tags if name in self.tags else self.tags | {name}
+        more = self.names if names <= self.names else self.names | names
+        return Above(name, tags, more, name if name in ZONES else self.zone, self.hidden or hidden)
+
+
+_TOP = Above("", frozenset(), frozenset(), "none", False)
+_LISTS = ("ul", "ol", "menu", "dl", "table")
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order. Tags and names that aren't ``known`` count as one each.
+
+    Each element is entered and left once, and places of open elements are kept by tag, so time is linear in the page.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    stack: list[tuple[str, Above]] = []
+    places: dict[str, list[int]] = defaultdict(list)
+    open_blocks: list[int] = []
     parts: list[tuple[str, bool]] = []
-    links = 0
 
     def flush() -> None:
         if parts:
-            text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
-            if text and not any(s[2] for s in stack):
-                linked = sum(len(p.strip()) for p, in_link in parts if in_link)
-                out.append(Block(tuple(s[0] for s in stack), frozenset().union(*(s[1] for s in stack)), text, linked))
+            above = stack[-1][1] if stack else _TOP
+            text = "" if above.hidden else " ".join(entities.unescape("".join(p for p, _ in parts)).split())
+            if text:
+                out.append(Block(above, text, sum(len(p.strip()) for p, in_link in parts if in_link)))
             parts.clear()
 
+    def last(name: str) -> int:
+        return places[name][-1] if places[name] else -1
+
     def close(name: str) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                if any(s[0] in BLOCKS for s in stack[i:]):
-                    flush()
-                links -= sum(s[0] == "a" for s in stack[i:])
-                del stack[i:]
-                return
-            if name not in BLOCKS and stack[i][0] in BLOCKS:
-                return
+        at = last(name)
+        if at < 0 or name not in BLOCKS and open_blocks and open_blocks[-1] > at:
+            return
+        if open_blocks and open_blocks[-1] >= at:
+            flush()
+        while len(stack) > at:
+            gone, _ = stack.pop()
+            places[gone].pop()
+            if open_blocks and open_blocks[-1] == len(stack):
+                open_blocks.pop()
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
+            parts.append((page[at : m.start()], bool(places["a"])))
         at = m.end()
         if not m[3]:
             continue
@@ -83,18 +112,13 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if name == "br":
-            parts.append((" ", links > 0))
+            parts.append((" ", bool(places["a"])))
         if name in BLOCKS:
             flush()
-            if name in CLOSES_P and any(s[0] == "p" for s in stack):
+            if name in CLOSES_P:
                 close("p")
-            if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ("ul", "ol", "menu", "dl", "table"):
-                        break
-                    if stack[i][0] == name:
-                        close(name)
-                        break
+            if name in ("li", "dt", "dd", "tr", "td", "th", "option") and last(name) > max(map(last, _LISTS)):
+                close(name)
         if name in VOID or m[4].endswith("/") and name not in BLOCKS:
             continue
         names, hidden = set(), name in SILENT
@@ -103,10 +127,16 @@ def blocks(page: str) -> list[Block]:
                 hidden = True
             elif key.lower() in ("class", "id", "role"):
                 names.update(_NAME.findall("".join(values).lower()))
-        stack.append((name, frozenset(names), hidden))
-        links += name == "a"
+        tag = name
+        if known is not None:
+            names = {x if x in known else "?" for x in names}
+            tag = name if name in known or name in BLOCKS else "?"
+        if name in BLOCKS:
+            open_blocks.append(len(stack))
+        places[name].append(len(stack))
+        stack.append((name, (stack[-1][1] if stack else _TOP).inside(tag, names, hidden)))
     if at < len(page):
-        parts.append((page[at:], links > 0))
+        parts.append((page[at:], bool(places["a"])))
     flush()
     return out
 
@@ -117,8 +147,7 @@ def features(page: list[Block]) -> list[list[str]]:
         n = len(b.text)
         words = b.text.split()
         ratio = b.linked / n if n else 0
-        own = b.tags[-1] if b.tags else ""
-        f = [f"own={own}", *{f"in={t}" for t in b.tags}, *{f"name={x}" for x in b.names}]
+        f = [f"own={b.own}", *{f"in={t}" for t in b.tags}, *{f"name={x}" for x in b.names}]
         f.append(f"words={min(len(words), 64).bit_length()}")
         f.append("links=" + ("none" if ratio == 0 else "some" if ratio < 0.5 else "most"))
         f.append(f"stops={min(3, sum(b.text.count(c) for c in '.!?'))}")
@@ -130,8 +159,7 @@ def features(page: list[Block]) -> list[list[str]]:
             f.append("first")
         if i == len(page) - 1:
             f.append("last")
-        zone = next((t for t in reversed(b.tags) if t in ZONES), "none")
-        f.append(f"zone={zone}" + ("" if b.names else ",plain"))
+        f.append(f"zone={b.zone}" + ("" if b.names else ",plain"))
         out.append(f)
     return out
 
@@ -141,6 +169,7 @@ class Field:
 
     def __init__(self, weights: dict[str, tuple[float, float]], steps: np.ndarray):
         self.weights, self.steps = weights, steps
+        self.known = frozenset(x.partition("=")[2] for x in weights if x.startswith(("in=", "name=")))
 
     def labels(self, page: list[Block]) -> list[int]:
         """The likeliest labels of the whole chain (Viterbi)."""
@@ -219,7 +248,7 @@ def default_field() -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", field.known)
     return "\n".join(b.text for b, y in zip(found, field.labels(found), strict=True) if y)
 
 

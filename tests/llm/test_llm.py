@@ -359,6 +359,40 @@ def test_only_the_hidden_attribute_hides(attribute):
         assert htmltext.blocks(page.format("", hiding)) == [], hiding
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    field, began = htmltext.default_field(), time.time()
+    article = "<article><h1>Title</h1><p>First one here, with some words.</p></article>"
+    for filler in ("<div>", "<b>", "<x{}>", "<div class=n{}>", "<li>", "<div class=a></i>", "<i><div><b></i>", "</p>", "<a href=x>"):
+        page = "<ul><i>" + "".join(filler.replace("{}", chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26)) for i in range(50_000))
+        htmltext.main_text(article + page, field)
+    assert time.time() - began < 60
+
+
+def test_pages_of_the_tables(spark, data):
+    """Labelled by their source: the layouts of these pages have their text in article, and nothing of it elsewhere."""
+    rows = spark.read.parquet(f"{data}/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.read.parquet(f"{data}/pages.parquet")).collect()}
+    right = 0
+    for r in rows:
+        body = re.search(r"<article[^>]*>(.*?)</article>", r["html"], re.S)
+        if not body or re.search(r"<(?:aside|form|script|nav|div|footer)", body[1]):
+            right += 1
+            continue
+        import html
+
+        want = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h\d|br|li|ul)\b[^>]*>", body[1])]
+        right += got[r["page_id"]] == "\n".join(x for x in want if x)
+    assert right >= 0.98 * len(rows)
+
+
+def test_pages_with_clashing_columns(spark):
+    row = [(1, "u", "<article><p>One two three four five six.</p></article>", "t", 5, "k")]
+    out = htmltext.extract(spark.createDataFrame(row, "page_id long, url string, html string, text string, n_chars long, names string")).first()
+    assert out["text"] == "One two three four five six." and out["n_chars"] == 28
+
+
 def test_viterbi_finds_the_best_chain():
     import itertools
 
