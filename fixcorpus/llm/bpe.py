@@ -21,8 +21,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections import Counter
-from itertools import chain, islice
+from collections import Counter, defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -274,7 +274,7 @@ def _distinct(byte_ids: np.ndarray, known, pattern: str):
         import regex
 
         find = regex.compile(pattern).findall
-        numbers: dict[str, int] = {}  # of the task's words, in the order in which they were met
+        numbers = defaultdict(count().__next__)  # of the task's words, in the order in which they were met
         final = np.zeros(0, np.int32)  # their numbers in the rows
         met = 0  # of them, words that aren't known
 
@@ -282,13 +282,13 @@ def _distinct(byte_ids: np.ndarray, known, pattern: str):
             for first in range(0, batch.num_rows, BATCH):
                 part = batch.slice(first, BATCH)
                 if len(numbers) > REMEMBERED:
-                    numbers, final, met = {}, final[:0], 0
+                    numbers, final, met = defaultdict(count().__next__), final[:0], 0
                 anew = np.zeros(part.num_rows, bool)
                 anew[0] = not len(final)
                 index, counts, upto = [], [0], [len(final)]
                 for text in part.column("text").to_pylist():
                     pieces = find(text or "")
-                    index.append(np.fromiter((numbers.setdefault(p, len(numbers)) for p in pieces), np.int32, len(pieces)))
+                    index.append(np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)))
                     counts.append(len(pieces))
                     upto.append(len(numbers))
                 words = pa.array(list(islice(numbers, len(final), None)), pa.string()).cast(pa.binary())
