@@ -28,7 +28,7 @@ def duplicates(pairs: DataFrame, strategy: str = "normalized", order: str = "ord
     """
     optional = [F.col(c) if c in pairs.columns else None for c in ("suspicious_start", "suspicious_end")]
     marked = pairs.withColumn("_fp", fingerprint(F.col("buggy_code"), F.col("fixed_code"), strategy, *optional))
-    first = marked.groupBy("_fp").agg(F.min(F.struct(F.col(order), F.col(id_col))).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = marked.select("_fp", order, id_col).groupBy("_fp").agg(F.min(F.struct(F.col(order), F.col(id_col))).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return marked.join(first, "_fp", "left").withColumn("duplicate_of", F.when(F.col(order) > F.col(f"_first.{order}"), F.col(f"_first.{id_col}"))).drop("_fp", "_first", "_n")
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, py_strip
 
 # Words of an issue that don't count.
-IGNORED = tuple("the and for with from that this where when into should could would have has does are was were bug buggy code issue function method file repository".split())
+IGNORED = (
+    "the", "and", "for", "with", "from", "that", "this", "where", "when", "into", "should", "could", "would",
+    "have", "has", "does", "are", "was", "were", "bug", "buggy", "code", "issue", "function", "method", "file",
+    "repository",
+)
 # Categories of repair, in the order in which they are tried, with their key words and advice.
 STRATEGIES = (
     ("null_reference", ("none", "null", "nonetype", "attributeerror"), "Add null/None validation before dereferencing."),
@@ -36,11 +42,22 @@ TOOLS = {
 }
 
 
+#: Queries of one block of ``nearest``.
+BLOCK = 500
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, id, score, rank): the exact ``k`` nearest of each stated query, by squared distance or cosine, ties by id.
 
-    The queries are the small side: each task compares its vectors with all of them and keeps the best ``k`` of each.
+    Queries are handled in blocks of about ``BLOCK``, each broadcast: each task compares its vectors with a block and keeps
+    the best ``k`` of each query.
     """
+    blocks = max(1, -(-queries.count() // BLOCK))
+    parts = [queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) for i in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, [_nearest(vectors, part, k, metric, id_col, vector) for part in parts])
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector: str) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     small = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(small), F.lit(True))

@@ -39,9 +39,10 @@ def lookup(record: Column, candidates: tuple[str, ...]) -> Column:
 
 
 def line_number(text: Column) -> tuple[Column, Column]:
-    """(number, is wrong): an integer or an integer-looking text."""
+    """(number, is wrong): an integer or an integer-looking text; one of more than 32 bits is wrong."""
     fits = text.rlike(r"\A\s*-?[0-9]+\s*\z")
-    return F.when(fits, F.trim(text).cast("int")), text.isNotNull() & ~fits
+    number = F.when(fits, F.trim(text).try_cast("int"))
+    return number, text.isNotNull() & number.isNull()
 
 
 def mapped(records: DataFrame, fields: FieldMap = FieldMap(), infer_region: bool = True, record: str = "record") -> DataFrame:

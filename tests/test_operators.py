@@ -381,11 +381,12 @@ def test_edits_of_all_documents(spark, tmp_path):
 def test_perplexity_of_all_events(spark, tmp_path):
     rows = [(i, v) for i, v in enumerate([0.0, 0.5, 2.0, 19.99, 20.0, 45.25, 59.9, 60.0, 60.1, 99.0, -1.0, None])]
     spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r["event_id"]: r["perplexity"] for r in queries.perplexity_whole(spark, str(tmp_path)).collect()}
+    got = {r["event_id"]: r for r in queries.perplexity_bound(spark, str(tmp_path)).collect()}
     assert set(got) == {i for i, _ in rows}
     for i, v in rows:
-        want = None if v is None else math.inf if v > 60 else math.exp(v)
-        assert got[i] == want or math.isclose(got[i], want, rel_tol=1e-12), v
+        bounded = v is not None and v <= 60
+        assert got[i]["unbounded"] == (v is not None and v > 60) and (got[i]["mantissa"] is not None) == bounded
+        assert not bounded or math.isclose(got[i]["mantissa"] * 10.0 ** got[i]["exponent"], math.exp(v), rel_tol=1e-8), v
 
 
 def test_token_limits_of_whole_outputs(spark, tmp_path):
@@ -397,5 +398,20 @@ def test_token_limits_of_whole_outputs(spark, tmp_path):
     for a, b in counts:
         n = a + b
         want["input_too_long" if n > 1024 else "output_too_long" if n > 256 or n < 20 else "input_too_long" if 2 * n > 900 else "kept"] += 1
-    assert {r["reason"]: r["n"] for r in queries.token_limit_reject_whole(spark, str(tmp_path)).collect()} == want
-    assert {r["reason"]: r["n"] for r in queries.token_limit_reject(spark, str(tmp_path)).collect()} != want
+    assert {r["reason"]: r["n"] for r in queries.token_limit_reject(spark, str(tmp_path)).collect()} == want
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 4 = 0")
+    whole = {tuple(r) for r in search.nearest(vectors, asked, 3).collect()}
+    monkeypatch.setattr(search, "BLOCK", 4)
+    assert {tuple(r) for r in search.nearest(vectors, asked, 3).collect()} == whole and len(whole) == 45
+    assert search.nearest(vectors, asked.limit(0), 3).count() == 0 and search.nearest(vectors.limit(0), asked, 3).count() == 0
+
+
+def test_line_numbers_out_of_range(spark):
+    df = spark.createDataFrame([("99999999999",), ("-7",), (" 12 ",), ("x",), (None,)], "t string")
+    number, wrong = records.line_number(F.col("t"))
+    assert [tuple(r) for r in df.select(number, wrong).collect()] == [(None, True), (-7, False), (12, False), (None, True), (None, False)]
