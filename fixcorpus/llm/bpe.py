@@ -108,22 +108,27 @@ def _literal(values: np.ndarray, kind: str) -> Column:
 _RANK, _PLACE = 46, 16
 
 
-def rank_lookup(path: str):
-    """(pair a << 16 | b, rest of a cell) -> the cell with the rank of the token that the pair makes."""
+def with_ranks(path: str, body) -> Column:
+    """``body(cell)``, where cell(pair a << 16 | b, rest of a cell) is the cell with the rank of the token that the pair makes.
+
+    The rank map is a literal that the plan holds once: lambda variables name it.
+    """
     factor, steps, entries = rank_table(path)
-    step_of, entry_of = _literal(steps, "array<int>"), _literal(entries, "array<int>")
 
-    def cell(pair: Column, rest: Column) -> Column:
-        def found(product: Column) -> Column:
-            bucket = F.shiftright(product, _PLACES)
-            place = product.bitwiseAND(F.lit((1 << _PLACES) - 1)).bitwiseXOR(F.get(step_of, bucket))
-            # an entry of another pair differs above the rank's bits
-            rank = F.least(F.lit(NONE).cast("bigint"), F.get(entry_of, place).bitwiseXOR(F.shiftleft(bucket, 16)))
-            return F.shiftleft(rank, _RANK).bitwiseOR(rest)
+    def cell(step_of: Column, entry_of: Column):
+        def made(pair: Column, rest: Column) -> Column:
+            def found(product: Column) -> Column:
+                bucket = F.shiftright(product, _PLACES)
+                place = product.bitwiseAND(F.lit((1 << _PLACES) - 1)).bitwiseXOR(F.get(step_of, bucket))
+                # an entry of another pair differs above the rank's bits
+                rank = F.least(F.lit(NONE).cast("bigint"), F.get(entry_of, place).bitwiseXOR(F.shiftleft(bucket, 16)))
+                return F.shiftleft(rank, _RANK).bitwiseOR(rest)
+
+            return let((pair * factor).bitwiseAND(F.lit(0xFFFFFFFF)), found)
 
-        return let((pair * factor).bitwiseAND(F.lit(0xFFFFFFFF)), found)
+        return made
 
-    return cell
+    return let(_literal(steps, "array<int>"), lambda s: let(_literal(entries, "array<int>"), lambda e: body(cell(s, e))))
 
 
 def merged(symbols: Column, cell) -> Column:
@@ -207,11 +212,10 @@ def dictionary(docs: DataFrame, path: str, pattern: str) -> Known:
             parts.append(lists.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["words", "bytes", "sizes", "tokens"])
 
-    lookup = rank_lookup(path)
     # stored, so that the plan with the rank map has no exchange and is planned only once
     made = words.where(F.col("n") >= often).select("word").repartition(words.sparkSession.sparkContext.defaultParallelism)
     made = stored(made.mapInArrow(symbols, "word string, symbols array<int>"), "symbols")
-    rows = made.select("word", merged(F.col("symbols"), lookup).alias("tokens")).mapInArrow(packed, "words binary, bytes binary, sizes binary, tokens binary").collect()
+    rows = made.select("word", with_ranks(path, lambda cell: merged(F.col("symbols"), cell)).alias("tokens")).mapInArrow(packed, "words binary, bytes binary, sizes binary, tokens binary").collect()
     joint = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind)
     edges = np.concatenate([[0], np.cumsum(joint("bytes", "<u1"), dtype=np.int32)]).astype(np.int32)
     found = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(b"".join(bytes(r["words"]) for r in rows))])
@@ -230,8 +234,8 @@ def _folded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], kno
         _distinct(_byte_ids(load(path)), known.words, pattern),
         T.StructType([T.StructField("row", row), T.StructField("anew", T.BooleanType()), T.StructField("index", T.BinaryType()), T.StructField("words", words)]),
     )
-    lookup = rank_lookup(path)
-    return found.select("row", "anew", "index", F.transform("words", lambda w: merged(w, lookup)).alias("tokens"))
+    tokens = with_ranks(path, lambda cell: F.transform("words", lambda w: merged(w, cell)))
+    return found.select("row", "anew", "index", tokens.alias("tokens"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
