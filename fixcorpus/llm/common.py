@@ -67,9 +67,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, but: int = 0) -> None:
-    """Delete the tables of ``scratch`` and ``stored``, except for the last ``but``. Nothing that is still to be computed may read them."""
-    for path in _tables[: len(_tables) - but]:
+def given_out() -> int:
+    """How many places ``scratch`` has given out that aren't dropped."""
+    return len(_tables)
+
+
+def drop_stored(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Delete the tables given out after the first ``since``, except for the last ``but``. Nothing still to be computed may read them."""
+    for path in _tables[since : len(_tables) - but]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _tables.remove(path)

@@ -679,6 +679,21 @@ def test_pipeline_odd(spark, odd, data):
     assert docs.where("doc_id = 5").count() == 1
 
 
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_pipeline_with_an_empty_table(spark, data, tmp_path, empty):
+    import corpus_pipeline
+    from fixcorpus.llm import common
+
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{data}/{name}.parquet")
+        (rows.limit(0) if name == empty else rows.limit(60)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = common.given_out()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(out) == (empty != "documents")
+    common.drop_stored(spark, before)
+    assert common.given_out() == before
+
+
 def test_registered_sql(spark, data):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
