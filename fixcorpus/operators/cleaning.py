@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import difflib
+import functools
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,16 +74,50 @@ def clean(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     ).drop("_quick", "_a", "_b", "_span")
 
 
+#: Queries of one block of ``similar_texts``.
+BLOCK = 500
+
+
 def similar_texts(queries: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` most similar texts of each query (id, text), by ratio, then id; a stated query set against all rows."""
-    from pyspark.sql import Window
+    """(query, id, similarity, rank): the ``k`` most similar texts of each query (id, text), by ratio, then id.
 
-    rows = F.broadcast(queries.select(F.col("id").alias("query"), F.col("text").alias("_q"))).join(texts.select("id", F.col("text").alias("_t")), F.lit(True))
-    scored = rows.select("query", "id", F.bround(diff.similarity("_q", "_t"), 2).alias("similarity"))
+    A stated query set against all rows, in blocks of at most ``BLOCK`` queries, each a pass over the texts. A task keeps the
+    best ``k`` of each query, and compares in full only texts whose letters alone don't rule them out. Null texts are
+    empty; two empty ones are alike. Repeated rows each count.
+    """
+    number = F.row_number().over(Window.orderBy("id")) - 1
+    named = queries.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_n", number)
+    blocks = max(1, -(-named.count() // BLOCK))
+    parts = []
+    for i in range(blocks):
+        block = [(r["id"], r["text"].lower()) for r in named.where(F.col("_n").between(i * BLOCK, (i + 1) * BLOCK - 1)).collect()]
+        parts.append(_best_of_tasks(block, queries.schema["id"].dataType, texts, k))
+    scored = functools.reduce(DataFrame.unionByName, parts)
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _best_of_tasks(block: list[tuple], kind: T.DataType, texts: DataFrame, k: int) -> DataFrame:
+    schema = T.StructType([T.StructField("query", kind), texts.schema["id"], T.StructField("similarity", T.DoubleType())])
+
+    def ranked(batches):
+        kept = [[] for _ in block]
+        for batch in batches:
+            for own, text in zip(batch["id"], batch["text"], strict=True):
+                matcher = difflib.SequenceMatcher(None, "", (text or "").lower())
+                for best, (_, said) in zip(kept, block, strict=True):
+                    matcher.set_seq1(said)
+                    least = best[-1][0] if len(best) == k else 0.0
+                    if round(matcher.real_quick_ratio(), 2) < -least or round(matcher.quick_ratio(), 2) < -least:
+                        continue
+                    bisect.insort(best, (-round(matcher.ratio(), 2), own))
+                    del best[k:]
+        rows = [(query, own, -score) for (query, _), best in zip(block, kept, strict=True) for score, own in best]
+        yield pd.DataFrame(rows, columns=["query", "id", "similarity"])
+
+    return texts.select("id", "text").mapInPandas(ranked, schema)
+
+
 @F.pandas_udf(T.BooleanType())
 def compiles(source: pd.Series) -> pd.Series:
     """Whether a text is a Python program."""

@@ -283,44 +283,16 @@ def splice_region(spark, sf):
     return _lined(spark, sf).select("doc_id", F.sha2(F.array_join(regions.splice(F.col("lines"), F.col("start"), F.col("end"), new), "\n"), 256).alias("spliced"))
 
 
-def _edited(spark, sf) -> DataFrame:
-    """Documents of distinct lines, one of them changed to a new one."""
-    rows = table(spark, sf, "documents").select("doc_id", text.split_lines(F.col("text")).alias("a"))
-    rows = rows.where(F.size(F.array_distinct("a")) == F.size("a")).withColumn("k", (F.col("doc_id") % F.size("a")).cast("int"))
-    rows = rows.withColumn("new", F.concat(F.get("a", F.col("k")), F.lit("!"))).where(~F.array_contains("a", F.col("new")))
-    rows = rows.withColumn("b", regions.splice(F.col("a"), F.col("k") + 1, F.col("k") + 1, F.array("new")))
-    return rows.withColumn("ops", diff.opcodes("a", "b"))
-
-
-_EDITED = r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS a FROM documents), e AS (SELECT doc_id, a, doc_id % len(a) AS k FROM l WHERE len(list_distinct(a)) = len(a)),
-f AS (SELECT doc_id, a, k, a[k + 1] || '!' AS new FROM e WHERE NOT list_contains(a, a[k + 1] || '!'))"""
-
-
-@query(_EDITED + " SELECT doc_id, (k + 1)::BIGINT AS first, (k + 1)::BIGINT AS last, 2::BIGINT AS size FROM f")
-def changed_span(spark, sf):
-    return _changed_span(_edited(spark, sf))
-
-
 def _changed_span(rows: DataFrame) -> DataFrame:
     span = diff.changed_span(F.col("ops"))
     return rows.select("doc_id", span["start"].cast("long").alias("first"), span["end"].cast("long").alias("last"), diff.diff_size(F.col("ops")).cast("long").alias("size"))
 
 
-@query(_EDITED + " SELECT doc_id, new AS target, false AS outside FROM f")
-def or2_target(spark, sf):
-    return _or2_target(_edited(spark, sf))
-
-
 def _or2_target(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("r", diff.aligned(F.col("ops"), F.col("k") + 1, F.col("k") + 1, F.size("b")))
     return rows.select("doc_id", F.array_join(F.slice("b", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), "\n").alias("target"), F.col("r.outside").alias("outside"))
 
 
-@query(_EDITED + """ SELECT doc_id, k::BIGINT AS buggy_start, (k + 1)::BIGINT AS buggy_end, sha256(array_to_string(a[1:k] || ['# BUGGY CODE', CASE WHEN a[k + 1] = '' THEN '#' ELSE '# ' || a[k + 1] END, '<FILL_ME>'] || a[k + 2:len(a)], chr(10))) AS input, new AS output FROM f""")
-def pycorpus_rows(spark, sf):
-    return _pycorpus_rows(_edited(spark, sf))
-
-
 def _pycorpus_rows(rows: DataFrame) -> DataFrame:
     ch = diff.changes(F.col("ops"))
     rows = rows.withColumns({"i1": F.array_min(F.transform(ch, lambda o: o["i1"])), "i2": F.array_max(F.transform(ch, lambda o: o["i2"])), "j1": F.array_min(F.transform(ch, lambda o: o["j1"])), "j2": F.array_max(F.transform(ch, lambda o: o["j2"]))})
@@ -329,7 +301,7 @@ def _pycorpus_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("i1").cast("long").alias("buggy_start"), F.col("i2").cast("long").alias("buggy_end"), F.sha2(F.array_join(prompt, "\n"), 256).alias("input"), F.array_join(F.slice("b", F.col("j1") + 1, F.col("j2") - F.col("j1")), "\n").alias("output"))
 
 
-def _edited_whole(spark, sf) -> DataFrame:
+def _edited(spark, sf) -> DataFrame:
     """All documents, with a line changed; repeated lines make the line difference ambiguous, so there is no SQL. An empty text has no lines and gains one."""
     rows = table(spark, sf, "documents").select("doc_id", text.split_lines(F.coalesce("text", F.lit(""))).alias("a"))
     rows = rows.withColumn("k", F.when(F.size("a") > 0, F.col("doc_id") % F.size("a")).otherwise(0).cast("int"))
@@ -339,18 +311,18 @@ def _edited_whole(spark, sf) -> DataFrame:
 
 
 @query()
-def changed_span_whole(spark, sf):
-    return _changed_span(_edited_whole(spark, sf))
+def changed_span(spark, sf):
+    return _changed_span(_edited(spark, sf))
 
 
 @query()
-def or2_target_whole(spark, sf):
-    return _or2_target(_edited_whole(spark, sf))
+def or2_target(spark, sf):
+    return _or2_target(_edited(spark, sf))
 
 
 @query()
-def pycorpus_rows_whole(spark, sf):
-    return _pycorpus_rows(_edited_whole(spark, sf))
+def pycorpus_rows(spark, sf):
+    return _pycorpus_rows(_edited(spark, sf))
 
 
 @query()
@@ -449,9 +421,9 @@ def knn_cosine(spark, sf):
 
 @query()
 def similar_lexical(spark, sf):
+    """The documents most like each benchmark item whose id is divisible by 20."""
     issues = table(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("id"), "text")
-    bugs = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return cleaning.similar_texts(issues, bugs)
+    return cleaning.similar_texts(issues, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 _KEYWORDS = " ".join(f"WHEN {' OR '.join(f'''contains(t, '{w}')''' for w in words)} THEN '{name}'" for name, words, _ in search.STRATEGIES if words)

@@ -358,7 +358,7 @@ def test_edits_of_all_documents(spark, tmp_path):
     texts = ["\n".join(rng.choice(["", "", "x", "x!", "y", f"w{rng.randrange(9)}"]) for _ in range(rng.randint(1, 12))) for _ in range(300)] + ["", None, "x\nx\nx", "x\nx!"]
     rows = [(i, x) for i, x in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    span, target, made = ({r["doc_id"]: r for r in f(spark, str(tmp_path)).collect()} for f in (queries.changed_span_whole, queries.or2_target_whole, queries.pycorpus_rows_whole))
+    span, target, made = ({r["doc_id"]: r for r in f(spark, str(tmp_path)).collect()} for f in (queries.changed_span, queries.or2_target, queries.pycorpus_rows))
     assert set(span) == set(target) == set(made) == {i for i, _ in rows}
     for i, x in rows:
         x = x or ""
@@ -415,3 +415,18 @@ def test_line_numbers_out_of_range(spark):
     df = spark.createDataFrame([("99999999999",), ("-7",), (" 12 ",), ("x",), (None,)], "t string")
     number, wrong = records.line_number(F.col("t"))
     assert [tuple(r) for r in df.select(number, wrong).collect()] == [(None, True), (-7, False), (12, False), (None, True), (None, False)]
+
+
+def test_similar_texts_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    said = lambda: " ".join(rng.choice(["null", "index", "Loop", "crash", "x"]) for _ in range(rng.randint(0, 9)))
+    texts = [(i, said()) for i in range(120)] + [(120, None), (121, ""), (122, "null " * 100), (3, "index x")]
+    asked = [(1000 + i, said()) for i in range(7)] + [(2000, None)]
+    monkeypatch.setattr(cleaning, "BLOCK", 3)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string").withColumn("rank", F.lit(0))
+    got = cleaning.similar_texts(frame(asked), frame(texts)).collect()
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio(), 2)
+    for q, text in asked:
+        want = sorted((-ratio(text, t), i) for i, t in texts)[:3]
+        assert [(-r["similarity"], r["id"]) for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == want
+    assert cleaning.similar_texts(frame(asked[:1]), frame([])).count() == cleaning.similar_texts(frame([]), frame(texts)).count() == 0
