@@ -152,3 +152,10 @@ def parse_completion(text: Column, stops: tuple[str, ...] = (), options: Options
     lines = F.filter(lines, lambda x: py_strip(x) != options.fill)
     full = F.filter(F.transform(lines, lambda x, i: F.when(py_strip(x) != "", i)), lambda i: i.isNotNull())
     return F.when(F.size(full) > 0, F.slice(lines, F.coalesce(F.array_min(full), F.lit(0)) + 1, F.coalesce(F.array_max(full) - F.array_min(full), F.lit(0)) + 1)).otherwise(F.array().cast("array<string>"))
+
+
+def fixed_region(lines: Column, start: Column, end: Column) -> Column:
+    """(lines, is_deletion, error) of said bounds on the fixed side; an end just before the start is a deletion."""
+    error = F.when(start < 1, "start_before_first").when(end < start - 1, "end_before_start").when(end > F.size(lines), "end_after_last")
+    own = F.when(error.isNull(), F.slice(lines, F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0))))
+    return F.struct(own.alias("lines"), (F.size(own) == 0).alias("is_deletion"), error.alias("error"))

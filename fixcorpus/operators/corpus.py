@@ -174,3 +174,37 @@ def funnel(tagged: DataFrame, stages: tuple[str, ...]) -> DataFrame:
 
 def removed_by_reason(tagged: DataFrame) -> DataFrame:
     return tagged.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def total_tokens() -> Column:
+    """Tokens of input and output together; null until both are known."""
+    return F.col("input_tokens") + F.col("output_tokens")
+
+
+def token_series(measured_rows: DataFrame) -> DataFrame:
+    """(series, n): input, output and total of all rows, and input_kept of those without a reason; feeds ``token_stats``."""
+    one = lambda name, value: F.struct(F.lit(name).alias("series"), value.alias("n"))
+    kept = F.when(F.col("reason").isNull(), F.col("input_tokens"))
+    series = F.array(one("input", F.col("input_tokens")), one("output", F.col("output_tokens")), one("total", total_tokens()), one("input_kept", kept))
+    return measured_rows.select(F.inline(series)).where("n IS NOT NULL")
+
+
+def truncations(prompt_tokens: Column, completion_tokens: Column, most: int) -> list[Column]:
+    """Aggregates seen and truncated: examples, and those that exceed ``most`` with a token at each end."""
+    return [F.count(F.lit(1)).alias("seen"), F.count_if(prompt_tokens + completion_tokens + 2 > most).alias("truncated")]
+
+
+def empty_splits(records: DataFrame, ratios: dict[str, float]) -> DataFrame:
+    """(split): splits with a positive share that no record is in; none of the shares depends on the records."""
+    wanted = records.sparkSession.createDataFrame([(s,) for s in SPLITS if ratios.get(s, 0) > 0], "split string")
+    return wanted.join(records.select("split").distinct(), "split", "left_anti")
+
+
+def sampled(records: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """A seeded sample of ``n`` records, or all if there are fewer; a smaller one is a part of a larger one."""
+    return records.orderBy(hash_order(seed, F.col(id_col).cast("string")), id_col).limit(n)
+
+
+def trainable(records: DataFrame, most: int, fill: str = "<FILL_ME>") -> DataFrame:
+    """Records whose input has a fill token and whose total length is at most ``most``; unmeasured ones are left out."""
+    return records.where(F.col("input").contains(fill) & (total_tokens() <= most))

@@ -71,13 +71,15 @@ def build(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rows.join(split.select("ord", "split"), "ord", "left").drop("ops", "methods", "error", "duplicate_of")
 
 
-def report(built: DataFrame) -> Report:
+def report(built: DataFrame, ratios: dict[str, float] = dict(Settings.ratios)) -> Report:
     """The report of a build; a few small aggregates."""
     out = Report()
     out.stages = [r.asDict() for r in corpus.funnel(built, STAGES).collect()]
     out.reasons = {r["reason"]: r["n"] for r in corpus.removed_by_reason(built).collect()}
     kept = built.where("reason IS NULL")
     out.splits = {r["split"]: r["n"] for r in corpus.split_counts(kept).collect()}
-    series = kept.select(F.inline(F.array(F.struct(F.lit("input").alias("series"), F.col("input_tokens").alias("n")), F.struct(F.lit("output").alias("series"), F.col("output_tokens").alias("n")))))
-    out.lengths = {r["series"]: r.asDict() for r in corpus.token_stats(series, ["series"]).collect()}
+    # lengths are of all pairs that reached the limits, and of the inputs that were kept
+    reached = built.where((F.col("stage") == "lengths") | F.col("reason").isNull())
+    out.lengths = {r["series"]: r.asDict() for r in corpus.token_stats(corpus.token_series(reached), ["series"]).collect()}
+    out.empty = [r["split"] for r in corpus.empty_splits(kept, ratios).collect()]
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diff, java, regions, text
-from ..operators import cleaning, corpus, runs, search
+from ..operators import cleaning, corpus, pycorpus, runs, search
 from ..sources import records
 from . import build as building
 
@@ -294,11 +294,9 @@ def _or2_target(rows: DataFrame) -> DataFrame:
 
 
 def _pycorpus_rows(rows: DataFrame) -> DataFrame:
-    ch = diff.changes(F.col("ops"))
-    rows = rows.withColumns({"i1": F.array_min(F.transform(ch, lambda o: o["i1"])), "i2": F.array_max(F.transform(ch, lambda o: o["i2"])), "j1": F.array_min(F.transform(ch, lambda o: o["j1"])), "j2": F.array_max(F.transform(ch, lambda o: o["j2"]))})
-    marked = F.transform(F.slice("a", F.col("i1") + 1, F.col("i2") - F.col("i1")), lambda x: F.when(x == "", "#").otherwise(F.concat(F.lit("# "), x)))
-    prompt = F.concat(F.slice("a", F.lit(1), F.col("i1")), F.array(F.lit("# BUGGY CODE")), marked, F.array(F.lit("<FILL_ME>")), F.slice("a", F.col("i2") + 1, F.size("a")))
-    return rows.select("doc_id", F.col("i1").cast("long").alias("buggy_start"), F.col("i2").cast("long").alias("buggy_end"), F.sha2(F.array_join(prompt, "\n"), 256).alias("input"), F.array_join(F.slice("b", F.col("j1") + 1, F.col("j2") - F.col("j1")), "\n").alias("output"))
+    rows = rows.withColumn("region", pycorpus.changed_region(F.col("ops")))
+    made = F.sha2(pycorpus.prompt(F.col("a"), F.col("region")), 256)
+    return rows.select("doc_id", F.col("region.buggy_start").cast("long").alias("buggy_start"), F.col("region.buggy_end").cast("long").alias("buggy_end"), made.alias("input"), pycorpus.target(F.col("b"), F.col("region")).alias("output"))
 
 
 def _edited(spark, sf) -> DataFrame:

@@ -200,6 +200,53 @@ def write_splits(records: DataFrame, folder: str, minimal: bool = False) -> dict
     return counts
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines that aren't blank."""
+    return spark.read.text(path).where(F.trim("value") != "").count()
+
+
+def write_build(built: DataFrame, folder: str, report: Report, minimal: bool = False) -> dict[str, int]:
+    """Everything a build gives: the splits, the rejected pairs if there are any, and the report as JSON and text.
+
+    Each is a folder of part files. Returns the counts by name.
+    """
+    spark = built.sparkSession
+    kept = built.where("reason IS NULL").drop("stage", "reason", "detail")
+    counts = write_splits(kept, folder, minimal)
+    rejected = built.where("reason IS NOT NULL").select("bug_id", "stage", "reason", "detail")
+    if not rejected.isEmpty():
+        rejected.write.mode("overwrite").option("ignoreNullFields", "true").json(f"{folder}/rejected")
+        counts["rejected"] = count_lines(spark, f"{folder}/rejected")
+    whole = {"stages": report.stages, "reasons": report.reasons, "splits": report.splits, "lengths": report.lengths}
+    for name, said in (("report.json", report_json(whole)), ("report.txt", report.text())):
+        spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    return counts
+
+
+def load_split(spark: SparkSession, folder: str, split: str, required: bool = True) -> DataFrame | None:
+    """(input, output, ...) of one split that a build wrote.
+
+    A row without input or output stops the read, as does an empty split that is required. A missing split is None, or
+    an error if it is required.
+    """
+    if split not in ("train", "validation", "test"):
+        raise ValueError(f"unknown split {split!r}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{split}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if required:
+            raise FileNotFoundError(f"no {split} split in {folder}")
+        return None
+    rows = spark.read.json(f"{folder}/{split}")
+    if rows.isEmpty():
+        if required:
+            raise ValueError(f"the {split} split in {folder} is empty")
+        return spark.createDataFrame([], "input string, output string")
+    for name in ("input", "output"):
+        own = F.col(name) if name in rows.columns else F.lit(None).cast("string")
+        rows = rows.withColumn(name, F.coalesce(own, F.raise_error(F.lit(f"a row of the {split} split has no {name}")).cast("string")))
+    return rows
+
+
 def report_json(report: dict) -> str:
     return json.dumps(report, indent=2, default=str, ensure_ascii=False)
 
@@ -212,9 +259,11 @@ class Report:
     reasons: dict[str, int] = field(default_factory=dict)
     splits: dict[str, int] = field(default_factory=dict)
     lengths: dict[str, dict] = field(default_factory=dict)
+    empty: list[str] = field(default_factory=list)
 
     def text(self) -> str:
         lines = [f"{s['stage']:<12} {s['received']:>8} {s['kept']:>8} {s['removed']:>8}" for s in self.stages]
         lines += [f"  {r:<24} {n:>6}" for r, n in sorted(self.reasons.items(), key=lambda x: (-x[1], x[0]))]
         lines += [f"{s:<12} {n:>8}" for s, n in self.splits.items()]
+        lines += [f"{s:<12} no records, though it has a share" for s in self.empty]
         return "\n".join(lines)
