@@ -7,8 +7,9 @@ made, and a document far from its group's centre by Mahalanobis distance is reje
 The estimate follows the fast algorithm's concentration steps. From a start by medians (by counts in fixed bins), each
 step takes the nearest ``HALF`` of a group by the present distance and computes their mean and covariance, which can
 only lower the determinant. Distances are counted in fixed bins as well, so a step is one aggregation that combines
-in each task, over all rows, and nothing depends on the order of rows. Groups with fewer than ``LEAST`` documents use
-their language's estimate, and languages with fewer the whole table's.
+in each task, over all rows, and nothing depends on the order of rows. A group of any size has an estimate of its own, which
+is then pooled with its language's as if the group held ``PRIOR`` further documents like the language's, and the
+language's with the whole table's in the same way: a small group is judged mostly as its language, a large one as itself.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are groups of
 their own; repeated rows and null ids each get their result; further columns are ignored; an empty table gives an
@@ -25,7 +26,7 @@ from .common import SPACE, let, stored
 
 HALF = 0.75
 STEPS = 4
-LEAST = 200
+PRIOR = 200
 #: Squared distance beyond which a document is an outlier: the 0.999999 quantile of the chi-square distribution with five
 #: degrees of freedom, 35.888, times the factor by which the nearest ``HALF`` of a normal sample makes its scatter too
 #: small, 0.75 / P(chi-square with seven degrees <= 6.626) = 1.4121.
@@ -136,8 +137,8 @@ def distance(values: list[Column], centre: Column, inverted: Column) -> Column:
 _LEVELS = ((True, True), (True, False), (False, False))
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, half: float = HALF, least: int = LEAST) -> DataFrame:
-    """(level, lang, source, n, centre, inverted): the estimate of each group with at least ``least`` rows."""
+def estimates(rows: DataFrame, steps: int = STEPS, half: float = HALF, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, total, centre, inverted): the pooled estimate of each group."""
     names = list(STATISTICS)
     d = len(names)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
@@ -164,7 +165,8 @@ def estimates(rows: DataFrame, steps: int = STEPS, half: float = HALF, least: in
         cell = lambda i, j: F.col(f"q{min(i, j)}_{max(i, j)}") / n - mean[i] * mean[j]
         floor = [v * v for v in STATISTICS.values()]
         scatter = F.array(*[F.array(*[F.greatest(cell(i, i), F.lit(0.0)) + floor[i] if i == j else cell(i, j) for j in range(d)]) for i in range(d)])
-        return summed.select("level", "lang", "source", "total", F.array(*mean).alias("centre"), inverse(scatter, d).alias("inverted"))
+        found = summed.select("level", "lang", "source", "total", F.array(*mean).alias("centre"), scatter.alias("scatter"))
+        return found.withColumn("inverted", inverse(F.col("scatter"), d))
 
     # start: per statistic, the median of the group's bins; the scatter from the floor values, doubled
     binned = [F.floor(F.col(c) / (w / 4)).cast("int") for c, w in STATISTICS.items()]
@@ -173,7 +175,6 @@ def estimates(rows: DataFrame, steps: int = STEPS, half: float = HALF, least: in
     medians = (
         counted.groupBy("level", "lang", "source", "k")
         .agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
-        .where(F.col("total") >= least)
         .select(
             "level", "lang", "source", "k", "total",
             F.aggregate(
@@ -186,8 +187,9 @@ def estimates(rows: DataFrame, steps: int = STEPS, half: float = HALF, least: in
     )
     widths = F.array(*[F.lit(w / 4) for w in STATISTICS.values()])
     start = medians.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), F.transform(F.sort_array(F.collect_list(F.struct("k", "at"))), lambda x: (x["at"] + 0.5) * F.get(widths, x["k"])).alias("centre"))
-    wide = [1.0 / (4 * v * v) for v in STATISTICS.values()]
-    current = stored(start.select("level", "lang", "source", "total", "centre", F.array(*[F.array(*[F.lit(wide[i] if i == j else 0.0) for j in range(d)]) for i in range(d)]).alias("inverted")), "mcd")
+    wide = [4 * v * v for v in STATISTICS.values()]
+    diagonal = lambda values: F.array(*[F.array(*[F.lit(values[i] if i == j else 0.0) for j in range(d)]) for i in range(d)])
+    current = stored(start.select("level", "lang", "source", "total", "centre", diagonal(wide).alias("scatter"), diagonal([1 / v for v in wide]).alias("inverted")), "mcd")
 
     for _ in range(steps):
         bin_ = F.floor(F.log2(F.col("far") + 1e-3) * 16).cast("int").alias("bin")
@@ -209,7 +211,21 @@ def estimates(rows: DataFrame, steps: int = STEPS, half: float = HALF, least: in
             ).alias("m"),
         ).select("level", "lang", "source", "total", "m.*")
         current = stored(moments(chosen), "mcd")
-    return current
+    of = lambda level: current.where(F.col("level") == level)
+    languages = pooled(of(1), of(2), F.lit(True), prior)
+    groups = pooled(of(0), languages, F.col("lang").eqNullSafe(F.col("_l")), prior)
+    return stored(groups.select("lang", "source", "total", "centre", inverse(F.col("scatter"), d).alias("inverted")), "mcd")
+
+
+def pooled(groups: DataFrame, parents: DataFrame, on: Column, prior: int) -> DataFrame:
+    """``groups`` with the centre and scatter of their documents and ``prior`` more, which are as their parent's are."""
+    rows = groups.join(parents.select(F.col("lang").alias("_l"), F.col("centre").alias("_c"), F.col("scatter").alias("_m")), on)
+    own = F.col("total") / (F.col("total") + prior)
+    rows = rows.withColumns({"_w": own, "_d": F.zip_with("centre", "_c", lambda a, b: a - b)})
+    w, v = F.col("_w"), 1 - F.col("_w")
+    cell = lambda i, j, x, y: w * F.get(F.get("scatter", i), j) + v * F.get(F.get("_m", i), j) + w * v * x * y
+    scatter = F.transform("_d", lambda x, i: F.transform("_d", lambda y, j: cell(i, j, x, y)))
+    return rows.select("lang", "source", "total", F.zip_with("centre", "_c", lambda a, b: w * a + v * b).alias("centre"), scatter.alias("scatter"))
 
 
 def matched(rows: DataFrame, groups: DataFrame, lang: bool, source: bool, how: str) -> DataFrame:
@@ -223,16 +239,12 @@ def matched(rows: DataFrame, groups: DataFrame, lang: bool, source: bool, how: s
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The base columns of every document with ``distance`` (null where no estimate exists) and ``kept``."""
+    """The base columns of every document with ``distance`` (null if the base rules reject it) and ``kept``."""
     stats = stored(vectors(measured(docs)), "quality")
     passed = stats.where(~F.col("base_failed")).select("lang", "source", *STATISTICS)
     found = estimates(passed)
-    out = stats
-    for level, (lang, source) in enumerate(_LEVELS):
-        out = matched(out, found.where(F.col("level") == level), lang, source, "left").withColumnsRenamed({"centre": f"c{level}", "inverted": f"i{level}"}).drop("total")
-    centre, inverted = F.coalesce("c0", "c1", "c2"), F.coalesce("i0", "i1", "i2")
-    out = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS, centre.alias("c"), inverted.alias("i"))
-    far = distance([F.col(c) for c in STATISTICS], F.col("c"), F.col("i"))
+    out = matched(stats, found, True, True, "left").drop("total")
+    far = distance([F.col(c) for c in STATISTICS], F.col("centre"), F.col("inverted"))
     out = out.withColumn("distance", F.when(F.col("base_failed"), F.lit(None).cast("double")).otherwise(far))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

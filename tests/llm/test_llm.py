@@ -81,6 +81,43 @@ def test_quality_rejects_menus_and_repeated_lines(spark):
     assert not any(got[i]["kept"] for i, *_ in menus + lines + almost)
 
 
+def brute_estimates(groups):
+    """Centre and scatter of each of three levels of groups, by numpy; ``groups`` holds vectors by language and source."""
+    floor = np.array(list(quality.STATISTICS.values()))
+    made = {}
+    for level in range(3):
+        parts = {}
+        for (lang, source), x in groups.items():
+            parts.setdefault(((lang, source), lang, None)[level], []).append(x)
+        for key, x in ((k, np.concatenate(v)) for k, v in parts.items()):
+            bins = np.sort(np.floor(x / (floor / 4)), axis=0)
+            centre, scatter = (bins[(len(x) + 1) // 2 - 1] + 0.5) * (floor / 4), np.diag(4 * floor**2)
+            for _ in range(quality.STEPS):
+                diff = x - centre
+                far = np.floor(np.log2(np.einsum("ni,ij,nj->n", diff, np.linalg.inv(scatter), diff) + 1e-3) * 16)
+                near = x[far <= np.sort(far)[int(np.ceil(len(x) * quality.HALF)) - 1]]
+                centre, scatter = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor**2)
+            made[level, key] = len(x), centre, scatter
+    pool = lambda n, c, m, p, q: (n / (n + quality.PRIOR) * c + quality.PRIOR / (n + quality.PRIOR) * p, n / (n + quality.PRIOR) * m + quality.PRIOR / (n + quality.PRIOR) * q + n * quality.PRIOR / (n + quality.PRIOR) ** 2 * np.outer(c - p, c - p))
+    tongue = {lang: pool(*made[1, lang], *made[2, None][1:]) for lang, _ in groups}
+    return {(lang, source): pool(*made[0, (lang, source)], *tongue[lang]) for lang, source in groups}
+
+
+def test_quality_estimates_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    sizes = {("en", "a"): 400, ("en", "b"): 60, ("de", "a"): 7, ("de", None): 1, (None, "a"): 2, (None, None): 30}
+    groups = {k: np.abs(rng.normal(i + 1, 0.3 * (1 + i % 3), (n, 5))) for i, (k, n) in enumerate(sizes.items())}
+    groups["en", "a"][:60] += 7
+    rows = [(*k, *map(float, v)) for k, x in groups.items() for v in x]
+    table = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} double" for c in quality.STATISTICS))
+    got = {(r["lang"], r["source"]): r for r in quality.estimates(table).collect()}
+    want = brute_estimates(groups)
+    assert set(got) == set(want)
+    for k, (centre, scatter) in want.items():
+        assert got[k]["total"] == sizes[k] and np.allclose(got[k]["centre"], centre, rtol=1e-7), k
+        assert np.allclose(np.array([list(x) for x in got[k]["inverted"]]), np.linalg.inv(scatter), rtol=1e-5, atol=1e-7), k
+
+
 def test_quality_inverse(spark):
     from pyspark.sql import functions as F
 
