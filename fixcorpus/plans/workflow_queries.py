@@ -360,3 +360,46 @@ def last_checkpoint(spark, sf):
     e = F.col("event_id")
     names = table(spark, sf, "events").select("user_id", F.when(e % 4 != 0, F.concat(F.lit("checkpoint-"), e)).otherwise(F.concat(F.lit("old-checkpoint-"), e)).alias("name"))
     return repository.last_checkpoint(names, "user_id")
+
+
+# -- training examples, names and outputs ------------------------------------------------------------
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'src/a/' WHEN 1 THEN 'tests/' ELSE 'src' END || 'f' || page_id || CASE WHEN page_id % 2 = 0 THEN '.py' ELSE '' END AS path FROM pages), b AS (SELECT page_id, regexp_replace(path, '\.[^./]*$', '') AS b FROM p)
+SELECT page_id, replace(CASE WHEN starts_with(b, 'src/') THEN substr(b, 5) ELSE b END, '/', '.') AS module, replace(b, '/', '.') AS prefix FROM b""")
+def module_names(spark, sf):
+    p = F.col("page_id")
+    path = F.concat(_pick(p, ("src/a/", "tests/", "src")), F.lit("f"), p, F.when(p % 2 == 0, ".py").otherwise(""))
+    return table(spark, sf, "pages").select("page_id", workflow.module_of(path).alias("module"), workflow.id_prefix(path).alias("prefix"))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN length(text) > 500 THEN '... (' || (length(text) - 500) || ' characters cut)' || chr(10) || right(text, 500) ELSE text END) AS output FROM documents")
+def capped_output(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(workflow.capped_output(F.col("text"), 500), 256).alias("output"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS prefix, CASE WHEN doc_id % 3 <> 0 THEN source || '<FILL_ME>' END AS suffix FROM documents")
+def infill_parts(spark, sf):
+    parts = workflow.infill_parts(F.concat("text", F.when(F.col("doc_id") % 3 != 0, "<FILL_ME>").otherwise(""), "source", F.when(F.col("doc_id") % 3 != 0, "<FILL_ME>").otherwise("")))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(parts["prefix"], 256).alias("prefix"), parts["suffix"].alias("suffix"))
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id % 60 + 1 AS s, list_transform(embedding, lambda x: floor(x * 100)::INTEGER) AS e FROM embeddings), c AS (SELECT vec_id, s, [1] || e[1:s] AS p, e[s + 1:64] || [2] AS c FROM e),
+x AS (SELECT vec_id, CASE WHEN s <= 17 THEN [] ELSE [1] || p[20:s + 1] END AS p, CASE WHEN s <= 17 THEN c[1:47] || [2] ELSE c END AS c FROM c)
+SELECT vec_id, array_to_string(p || c, ' ') AS ids, array_to_string(list_transform(p, lambda x: -100) || c, ' ') AS labels FROM x""")
+def encoded_examples(spark, sf):
+    level = F.transform("embedding", lambda x: F.floor(x * 100).cast("int"))
+    s = (F.col("vec_id") % 60 + 1).cast("int")
+    rows = table(spark, sf, "embeddings").select("vec_id", F.slice(level, F.lit(1), s).alias("p"), F.slice(level, s + 1, F.lit(64)).alias("c"))
+    made = workflow.encoded_example(F.col("p"), F.col("c"), 48, "left", 1, 2)
+    return rows.select("vec_id", made.alias("m")).select("vec_id", F.array_join("m.input_ids", " ").alias("ids"), F.array_join("m.labels", " ").alias("labels"))
+
+
+@query("""WITH r AS (SELECT vec_id, vec_id % 16 AS batch, vec_id * 7 % 29 + 1 AS n FROM embeddings), w AS (SELECT vec_id, n, (ceil(max(n) OVER (PARTITION BY batch) / 8.0) * 8)::BIGINT AS width FROM r)
+SELECT vec_id, width, n AS attended, array_to_string(list_transform(range(0, n), lambda i: vec_id) || list_transform(range(0, width - n), lambda i: -100), ' ') AS labels FROM w""")
+def padded_batches(spark, sf):
+    v = F.col("vec_id")
+    ids = F.array_repeat(v.cast("int"), (v * 7 % 29 + 1).cast("int"))
+    rows = workflow.padded(table(spark, sf, "embeddings").select("vec_id", (v % 16).alias("batch"), ids.alias("input_ids"), ids.alias("labels")), "batch", 0)
+    attended = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return rows.select("vec_id", F.size("input_ids").cast("long").alias("width"), attended.cast("long").alias("attended"), F.array_join("labels", " ").alias("labels"))
