@@ -75,9 +75,14 @@ def given_out() -> int:
 def drop_stored(spark: SparkSession, since: int, but: int = 0) -> None:
     """Delete the tables given out after the first ``since``, except for the last ``but``. Nothing still to be computed may read them."""
     for path in _tables[since : len(_tables) - but]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _tables.remove(path)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete the table at ``path``. Nothing still to be computed may read it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _tables.remove(path)
 
 
 #: Rows of one Arrow batch: documents are long, and a batch of them is held several times over on its way.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, neardup, quality, secrets, substrings, suffixes, timeencode, toxicity, urlrules
+from . import bpe, decontam, htmltext, neardup, quality, secrets, spelling, substrings, suffixes, timeencode, toxicity, urlrules, warc
 from .common import scratch, table
 
 
@@ -66,5 +66,13 @@ def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeencode.encoded(*[table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_minhash_dedup, op4_suffix_dedup, op5_html_text, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_toxicity, op10_secret_scan, op11_target_encoding)}
-ORACLES = {"op6_url_filter": urlrules.sql(), "op10_secret_scan": secrets.sql(), "op11_target_encoding": timeencode.sql()}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spelling.vocabulary(table(spark, sf_dir, "documents"), every=199))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_minhash_dedup, op4_suffix_dedup, op5_html_text, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_toxicity, op10_secret_scan, op11_target_encoding, op12_warc, op13_spelling_variants)}
+ORACLES = {"op6_url_filter": urlrules.sql(), "op10_secret_scan": secrets.sql(), "op11_target_encoding": timeencode.sql(), "op12_warc": warc.sql(), "op13_spelling_variants": spelling.sql()}
