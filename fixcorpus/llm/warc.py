@@ -54,13 +54,16 @@ def unpacked(data: bytes) -> bytes:
     """The content of a gzip file of any number of members, with padding; other files as they are."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out, rest = [], memoryview(data)
-    while len(rest) and rest[:1] == b"\x1f":
+    out, at, view = [], 0, memoryview(data)
+    while data[at : at + 1] == b"\x1f":
         reader = zlib.decompressobj(31)
-        out.append(reader.decompress(rest))
-        if not reader.eof:
-            raise ValueError("a gzip member is cut off")
-        rest = rest[len(rest) - len(reader.unused_data) :]
+        while not reader.eof:
+            # little at a time, since what is left of it is copied at the member's end
+            part = view[at : at + 16_384]
+            if not len(part):
+                raise ValueError("a gzip member is cut off")
+            out.append(reader.decompress(part))
+            at += len(part) - len(reader.unused_data)
     return b"".join(out)
 
 
