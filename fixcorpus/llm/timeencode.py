@@ -99,7 +99,7 @@ def _gathered(batches, most: int):
     import pyarrow as pa
 
     held, size = [], 0
-    for batch in batches:
+    for batch in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)):
         held.append(batch)
         size += batch.num_rows
         if size >= most:
@@ -159,31 +159,34 @@ class Running:
         return others[0][where], others[1][where]
 
 
-def _pass(batches):
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    chunk = context.partitionId() if context else 0
-    names = [x.split()[0] for x in _PASSED.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64()}
-    schema = pa.schema([(a, kinds[b]) for a, b in (x.split() for x in _PASSED.split(", "))])
-    running, begin = Running(), None
-    for part in _gathered(batches, CHUNK):
-        level, key, time, fold, own_n, own_s = (part.column(c).to_numpy() for c in ("level", "key", "time", "fold", "n", "s"))
-        begin = begin or (level[0], key[0], time[0])
-        n, s = running.counted(level, key, time, fold, own_n, own_s)
-        edge = np.where((level == begin[0]) & (key == begin[1]), np.where(time == begin[2], 1, 2), 0)
-        size = part.num_rows
-        plain = {"level": level, "own_n": own_n, "own_s": own_s, "n": n, "s": s, "edge": edge, "fold": fold, "chunk": np.full(size, chunk)}
-        columns = [part.column(c).combine_chunks() if c in ("sale_id", "item_id", "vendor_id") else pa.array(plain[c], schema.field(c).type) if c in plain else pa.nulls(size, pa.int64()) for c in names]
-        yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=50_000)
-    if begin:
-        last = {"level": running.key[0], "key": running.key[1], "time": running.time, "edge": LAST, "chunk": chunk}
-        whole = running.before + running.at
-        rows = [{"level": begin[0], "key": begin[1], "time": begin[2], "edge": FIRST, "chunk": chunk}]
-        rows += [last | {"fold": f, "n": whole[0, f], "s": whole[1, f], "own_n": running.at[0, f], "own_s": running.at[1, f]} for f in range(FOLDS)]
-        yield pa.RecordBatch.from_arrays([pa.array([None if x.get(c) is None else int(x[c]) for x in rows], schema.field(c).type) for c in names], schema=schema)
+def _passing(most: int):
+    def _pass(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        chunk = context.partitionId() if context else 0
+        names = [x.split()[0] for x in _PASSED.split(", ")]
+        kinds = {"int": pa.int32(), "long": pa.int64()}
+        schema = pa.schema([(a, kinds[b]) for a, b in (x.split() for x in _PASSED.split(", "))])
+        running, begin = Running(), None
+        for part in _gathered(batches, most):
+            level, key, time, fold, own_n, own_s = (part.column(c).to_numpy() for c in ("level", "key", "time", "fold", "n", "s"))
+            begin = begin or (level[0], key[0], time[0])
+            n, s = running.counted(level, key, time, fold, own_n, own_s)
+            edge = np.where((level == begin[0]) & (key == begin[1]), np.where(time == begin[2], 1, 2), 0)
+            size = part.num_rows
+            plain = {"level": level, "own_n": own_n, "own_s": own_s, "n": n, "s": s, "edge": edge, "fold": fold, "chunk": np.full(size, chunk)}
+            columns = [part.column(c).combine_chunks() if c in ("sale_id", "item_id", "vendor_id") else pa.array(plain[c], schema.field(c).type) if c in plain else pa.nulls(size, pa.int64()) for c in names]
+            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=50_000)
+        if begin:
+            last = {"level": running.key[0], "key": running.key[1], "time": running.time, "edge": LAST, "chunk": chunk}
+            whole = running.before + running.at
+            rows = [{"level": begin[0], "key": begin[1], "time": begin[2], "edge": FIRST, "chunk": chunk}]
+            rows += [last | {"fold": f, "n": whole[0, f], "s": whole[1, f], "own_n": running.at[0, f], "own_s": running.at[1, f]} for f in range(FOLDS)]
+            yield pa.RecordBatch.from_arrays([pa.array([None if x.get(c) is None else int(x[c]) for x in rows], schema.field(c).type) for c in names], schema=schema)
+
+    return _pass
 
 
 def _before(passed: DataFrame) -> DataFrame:
@@ -203,11 +206,11 @@ def _before(passed: DataFrame) -> DataFrame:
     return edges.select("chunk", "edge", "fold", *[(F.sum(c).over(all_folds) - F.col(c)).alias(f"add_{c}") for c in ("n", "s")])
 
 
-def counted(rows: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Of each row of the long table: n and s of its history at its level."""
     salt = F.hash("sale_id", "item_id", "vendor_id")
     sorted_ = rows.repartitionByRange("level", "key", "time", salt).sortWithinPartitions("level", "key", "time")
-    passed = stored(sorted_.select("sale_id", "item_id", "vendor_id", "level", "key", "time", "fold", "n", "s").mapInArrow(_pass, _PASSED), "passed")
+    passed = stored(sorted_.select("sale_id", "item_id", "vendor_id", "level", "key", "time", "fold", "n", "s").mapInArrow(_passing(chunk), _PASSED), "passed")
     own = passed.where(F.col("edge") >= 0)
     # a few rows for each partition
     added = own.join(F.broadcast(_before(passed)), ["chunk", "edge", "fold"], "left")
@@ -220,9 +223,9 @@ def rate(n: Column, s: Column, prior: Column, weight: int = 50) -> Column:
     return F.when(n < 1, prior).otherwise(F.call_function("div", F.lit(1_000_000) * s + weight * prior, n + weight))
 
 
-def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
+def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(sale_id, item_id, vendor_id, n_lines, n_returned, item_n, item_rate, vendor_n, vendor_rate, client_n, client_rate, all_rate)."""
-    long = counted(unpivoted(facts(lines, sales, items, vendors, clients)))
+    long = counted(unpivoted(facts(lines, sales, items, vendors, clients)), chunk)
     of = lambda name, c: F.max(F.when(F.col("level") == LEVELS.index(name), F.col(c))).alias(f"{name}_{c}")
     by_sale = long.where(F.col("level") < BY_SALE).groupBy("sale_id").agg(*[of(x, c) for x in LEVELS[:BY_SALE] for c in ("n", "s")])
     col = F.col
