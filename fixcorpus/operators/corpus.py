@@ -24,10 +24,13 @@ def duplicates(pairs: DataFrame, strategy: str = "normalized", order: str = "ord
     """``pairs`` with duplicate_of: the id of the first pair, by ``order``, with an equal fingerprint; null for the first itself.
 
     Only fingerprints and ids meet: the first pair of each fingerprint is an aggregate that combines in each task, so a
-    fingerprint of very many copies is no large group; it is joined back by fingerprint.
+    fingerprint of very many copies is no large group; it is joined back by fingerprint. A pair with a null side is a
+    copy of none.
     """
     optional = [F.col(c) if c in pairs.columns else None for c in ("suspicious_start", "suspicious_end")]
-    marked = pairs.withColumn("_fp", fingerprint(F.col("buggy_code"), F.col("fixed_code"), strategy, *optional))
+    # never null, so that no filter computes the fingerprint once more
+    own = fingerprint(F.col("buggy_code"), F.col("fixed_code"), strategy, *optional)
+    marked = pairs.withColumn("_fp", F.coalesce(own, F.concat(F.lit("none "), F.col(id_col).cast("string")), F.lit("none")))
     first = marked.select("_fp", order, id_col).groupBy("_fp").agg(F.min(F.struct(F.col(order), F.col(id_col))).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return marked.join(first, "_fp", "left").withColumn("duplicate_of", F.when(F.col(order) > F.col(f"_first.{order}"), F.col(f"_first.{id_col}"))).drop("_fp", "_first", "_n")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import py_strip
 
 # Extensions of source files, and folders that are left out.
-EXTENSIONS = "py java js jsx ts tsx go rs c h cpp cc cxx hpp cs rb php kt kts swift scala dart r sh bash sql".split()
-IGNORED_FOLDERS = ".git .idea .vscode __pycache__ .pytest_cache .mypy_cache .tox node_modules target build dist venv .venv env .env".split()
+EXTENSIONS = ("py", "java", "js", "jsx", "ts", "tsx", "go", "rs", "c", "h", "cpp", "cc", "cxx", "hpp", "cs", "rb", "php", "kt", "kts", "swift", "scala", "dart", "r", "sh", "bash", "sql")
+IGNORED_FOLDERS = (".git", ".idea", ".vscode", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", "node_modules", "target", "build", "dist", "venv", ".venv", "env", ".env")
 # Requirements that install the repository itself, as wholes and as beginnings.
 SELF, SELF_START = (".", "-e .", "-e.", "--editable ."), ("-e file:.", "-e ./", "./", "file:.")
 # Options that name another file.
@@ -81,15 +81,46 @@ def content_key(version: Column, files: Column) -> Column:
     return F.substring(F.sha2(bytes_, 256), 1, 12)
 
 
+def _words(text: Column) -> Column:
+    """(word, opens): the words of a text in order, and whether each is the first of its line."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
+    in_line = lambda x: F.transform(F.filter(F.split(x, r"\s+"), lambda w: w != ""), lambda w, i: F.struct(w.alias("word"), (i == 0).alias("opens")))
+    return F.flatten(F.transform(lines, in_line))
+
+
+def _read(text: Column, step) -> Column:
+    """A name read word by word: ``step(state, word)`` gives (at, name); a state at -1 has it. Empty if no word gets there."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("name"))
+    state = lambda at, name: F.struct(at.alias("at"), name.alias("name"))
+    end = F.aggregate(_words(text), start, lambda s, w: F.when(s["at"] < 0, s).otherwise(state(*step(s, w))))
+    return F.when(end["at"] < 0, end["name"]).otherwise("")
+
+
 def package_of(text: Column) -> Column:
-    """Package of a Java source; empty without one."""
-    return F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
+    """Package of a Java source: what stands between the word package, first in its line, and a semicolon; empty without one."""
+
+    def step(s: Column, w: Column):
+        word, none = w["word"], F.lit("")
+        named = F.substring_index(word, ";", 1)
+        plain = named.rlike(r"\A[\w.]+\z")
+        ends = word.contains(";")
+        after = F.when((s["at"] == 1) & plain, F.when(ends, -1).otherwise(2)).when((s["at"] == 2) & word.startswith(";"), -1)
+        at = F.coalesce(after, F.when(w["opens"] & (word == "package"), 1).otherwise(0))
+        return at, F.when(s["at"] == 1, named).when(s["at"] == 2, s["name"]).otherwise(none)
+
+    return _read(text, step)
 
 
 def public_type(text: Column) -> Column:
-    """Name of the first public type of a Java source; empty without one."""
-    words = [rf"(?:{'|'.join(x)})\s+" for x in (MODIFIERS, KINDS)]
-    return F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?m)^\s*public\s+(?:{words[0]})*{words[1]}(\w+)", 1)
+    """Name of the first public type of a Java source: the word after its kind, where public begins the line; empty without one."""
+
+    def step(s: Column, w: Column):
+        word = w["word"]
+        name = F.regexp_extract(word, r"\A\w+", 0)
+        after = F.when(s["at"] == 1, F.when(word.isin(*MODIFIERS), 1).when(word.isin(*KINDS), 2)).when((s["at"] == 2) & (name != ""), -1)
+        return F.coalesce(after, F.when(w["opens"] & (word == "public"), 1).otherwise(0)), name
+
+    return _read(text, step)
 
 
 def staged_names(files: DataFrame, key: str, order: str = "path") -> DataFrame:
