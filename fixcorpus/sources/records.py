@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diff
 from ..functions.text import split_lines
+from . import jsonlines
 
 CANONICAL = ("bug_id", "buggy_code", "fixed_code", "suspicious_start", "suspicious_end", "file_path", "project")
 
@@ -84,15 +85,15 @@ def mapped(records: DataFrame, fields: FieldMap = FieldMap(), infer_region: bool
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, record): an object of each line that isn't blank; a line that isn't JSON stops the read, named by file.
+    """(ord, record): an object of each line that isn't blank; a line that isn't JSON stops the read, named by file and line.
 
     ``ord`` keeps the order of files and lines.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), "value").where(F.trim("value") != "")
-    parsed = F.try_parse_json("value")
-    message = F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(": "), F.substring("value", 1, 80))
-    good = parsed.isNotNull() & F.trim("value").startswith("{")
-    return lines.select("ord", F.when(good, parsed).otherwise(F.raise_error(message).cast("variant")).alias("record"))
+    jsonlines.register(spark)
+    lines = spark.read.format(jsonlines.NAME).load(path)
+    # what Python takes for JSON and Spark doesn't, such as NaN
+    wrong = F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(": "), F.substring("record", 1, 80))).cast("variant")
+    return lines.select("ord", F.coalesce(F.try_parse_json("record"), wrong).alias("record"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -164,18 +165,27 @@ def available_formats() -> list[str]:
 
 
 def read_pairs(spark: SparkSession, path: str, kind: str = "jsonl", fields: FieldMap = FieldMap(), skip_invalid: bool = False, limit: int | None = None, layout: Layout = Layout()) -> DataFrame:
-    """Pairs of a corpus; the first wrong record stops the read unless wrong ones are skipped; ``limit`` counts pairs."""
+    """Pairs of a corpus; the first wrong record stops the read unless wrong ones are skipped; ``limit`` counts pairs.
+
+    A missing path is an error, as is a file where a directory of pairs is asked for.
+    """
+    if kind not in available_formats():
+        raise ValueError(f"unknown format {kind!r}; known: {', '.join(available_formats())}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise FileNotFoundError(f"no such file or folder: {path}")
+    if kind == "directory" and not store.getFileStatus(at).isDirectory():
+        raise NotADirectoryError(f"not a folder: {path}")
     if kind == "directory":
         pairs = read_directory(spark, path, layout)
-    elif kind in _READERS:
+    else:
         pairs = mapped(_READERS[kind](spark, path), fields)
         if skip_invalid:
             pairs = pairs.where("error IS NULL").drop("error")
         else:
             fine = F.when(F.col("error").isNull(), F.col("bug_id")).otherwise(F.raise_error(F.concat(F.lit("bad record: "), F.col("error"))).cast("string"))
             pairs = pairs.withColumn("bug_id", fine).drop("error")
-    else:
-        raise ValueError(f"unknown format {kind!r}; known: {', '.join(available_formats())}")
     return pairs.orderBy("ord").limit(limit) if limit is not None else pairs
 
 

@@ -1,9 +1,15 @@
-"""Duplicates in a stream: the first pair of each fingerprint passes."""
+"""Duplicates in a stream: the first pair of each fingerprint passes, or each pair is told its original."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import fingerprint
 
@@ -17,3 +23,44 @@ def first_seen(pairs: DataFrame, strategy: str = "normalized", time: str | None
     if time is None:
         return marked.dropDuplicates(["fingerprint"])
     return marked.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+
+
+class Originals(StatefulProcessor):
+    """For each fingerprint, the order and id of its first pair; forgotten ``ttl`` milliseconds after it was seen last, or never."""
+
+    def __init__(self, kinds: T.StructType, ttl: int | None):
+        self.kinds, self.ttl = kinds, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", self.kinds, self.ttl)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # the rows of one batch come in no order: its smallest is looked for first, in what little is kept of each row
+        parts = list(rows)
+        known = self.first.get() if self.first.exists() else None
+        if known is None:
+            known = min((o, i) for p in parts for o, i in zip(p["ord"].tolist(), p["bug_id"].tolist(), strict=True))
+        if self.ttl is not None or not self.first.exists():
+            self.first.update(tuple(known))
+        for part in parts:
+            part = part[["ord", "bug_id"]].copy()
+            part["duplicate_of"] = [None if o == known[0] else known[1] for o in part["ord"].tolist()]
+            yield part
+
+    def close(self) -> None:
+        pass
+
+
+def with_originals(pairs: DataFrame, strategy: str = "normalized", ttl: int | None = None) -> DataFrame:
+    """(ord, bug_id, duplicate_of) of streaming ``pairs``: the id of the first pair with an equal fingerprint, null for itself.
+
+    First is what came in an earlier batch, then what has the smallest order. State holds an order and an id for each
+    fingerprint, and no text is shuffled. Needs the RocksDB state store; with a ``ttl`` (milliseconds), batches never end by
+    themselves, so the trigger must be one of processing time. A pair with a null side is a copy of none; it
+    is told by its id.
+    """
+    own = fingerprint(F.col("buggy_code"), F.col("fixed_code"), strategy)
+    rows = pairs.select(F.coalesce(own, F.concat(F.lit("none "), F.col("bug_id").cast("string")), F.lit("none")).alias("fingerprint"), "ord", "bug_id")
+    kinds = T.StructType([rows.schema["ord"], rows.schema["bug_id"]])
+    out = T.StructType([*kinds.fields, T.StructField("duplicate_of", rows.schema["bug_id"].dataType)])
+    return rows.groupBy("fingerprint").transformWithStateInPandas(statefulProcessor=Originals(kinds, ttl), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl is not None else "None")
