@@ -38,13 +38,16 @@ class _Page:
 
     def content(self) -> str:
         r = self.r
-        out = [f"<h1>{self.kept(self.words(3, 10, r.random() < 0.4))}</h1>"] if r.random() < 0.9 else []
+        title = f"<h1>{self.kept(self.words(3, 10, r.random() < 0.4))}</h1>" if r.random() < 0.9 else ""
+        out = [f"<header>{title}</header>" if title and r.random() < 0.2 else title]
         if r.random() < 0.2:
             out.append(f"<header><p class='byline'>{self.words(2, 5, False)}</p></header>")
         for _ in range(r.randint(1, 9)):
             kind = r.random()
-            if kind < 0.74:
+            if kind < 0.70:
                 out.append(self.paragraph())
+            elif kind < 0.74:
+                out.append(f"<div>{self.kept(self.words(8, 60))}</div>")
             elif kind < 0.80:
                 out.append(f"<h2>{self.kept(self.words(2, 7, False))}</h2>")
             elif kind < 0.85:
@@ -76,7 +79,9 @@ class _Page:
         if kind == 1:
             return f'<form action="/s"><label>{self.words(1, 3, False)}</label><input name="q"><p>{text}</p></form>'
         if kind == 2:
-            return f'<aside class="{r.choice(["sidebar", "related", "box"])}"><h3>{self.words(1, 4, False)}</h3><p>{text}</p>{self.links()}</aside>'
+            name = r.choice(["", ' class="sidebar"', ' class="related"', ' class="box"'])
+            head = f"<h3>{self.words(1, 4, False)}</h3>" if r.random() < 0.6 else ""
+            return f"<aside{name}>{head}<p>{text}</p>{self.links() if r.random() < 0.6 else ''}</aside>"
         if kind == 3:
             name = r.choice(['class="sidebar"', 'id="sidebar"', 'class="widget"', 'class="related"'])
             return f"<div {name}><h3>{self.words(1, 4, False)}</h3><p>{text}</p></div>"
@@ -96,7 +101,8 @@ class _Page:
         r = self.r
         body = []
         if r.random() < 0.3:
-            body.append(f'<header><h2>{self.words(1, 4, False)}</h2><p>{self.words(2, 9, False)}</p></header>')
+            rank = r.choice(["h1", "h2", "div"])
+            body.append(f"<header><{rank}>{self.words(1, 4, False)}</{rank}>" + (f"<p>{self.words(2, 9, False)}</p>" if r.random() < 0.7 else "") + "</header>")
         if r.random() < 0.8:
             body.append(f"<nav>{self.links()}</nav>" if r.random() < 0.8 else f'<div class="menu">{self.links()}</div>')
         if r.random() < 0.6:
@@ -106,14 +112,18 @@ class _Page:
         inner = self.content()
         shape = r.random()
         comments = self.comments() if r.random() < 0.3 else ""
-        if shape < 0.6:
+        if shape < 0.45:
             inside = r.random() < 0.4
             body.append(f"<article>{inner}{comments if inside else ''}</article>{'' if inside else comments}")
-        elif shape < 0.75:
+        elif shape < 0.57:
             body.append(f"<main>{inner}</main>{comments}")
-        else:
+        elif shape < 0.75:
             name = r.choice(["content", "post", "entry", "article", "story", "post-content", "main"])
             body.append(f'<div {r.choice(["class", "id"])}="{name}">{inner}</div>{comments}')
+        else:
+            # nothing names the text's place; it begins with its title or a paragraph, right below the body or in plain containers
+            begin, end = r.choice([("", ""), ("<section>", "</section>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), (f'<div class="x{r.randrange(999)}">', "</div>")])
+            body.append(f"{begin}{inner}{end}{comments}")
         if r.random() < 0.3:
             body.append(self.junk())
         if r.random() < 0.8:

@@ -45,11 +45,11 @@ _KEY = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 #: What stands between the lines of a key: white space, or its escapes and quotes in a string of a program.
 _BREAK = r"""(?:[\s"',+]|\\[nrt])"""
 #: A key up to its END line, if no other line of five dashes comes before; else its header fields and lines of base64, the
-#: last of which may be short. The search for dashes stops at the next ones, so that all keys of a text take one pass.
+#: last of which may be short; every repetition is possessive, so that keys of any length need no stack. The search for dashes stops at the next ones, so that all keys of a text take one pass.
 _KEY_BODY = (
     r"(?:(?>[\s\S]*?-----)END [A-Z ]{0,40}PRIVATE KEY-----"
-    rf"|(?:{_BREAK}{{0,40}}+[A-Z][A-Za-z-]{{1,30}}:\x20[^\n\\]*+){{0,10}}+"
-    rf"(?:{_BREAK}{{1,40}}+[A-Za-z0-9+/]{{20,}}+={{0,2}}+){{1,400}}+"
+    rf"|(?:{_BREAK}*+[A-Z][A-Za-z-]++:\x20[^\n\\]*+)*+"
+    rf"(?:{_BREAK}++[A-Za-z0-9+/]{{20,}}+={{0,2}}+)++"
     r"""(?:(?:\r?\n[ \t]*+|\\n)[A-Za-z0-9+/]{1,19}+={0,2}+(?=["',]*+(?:[ \t]*+(?:[\r\n]|\z)|\\)))?+)?+"""
 )
 
