@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import java
 from ..operators import edits
 from ..sources import jsonlines
-from ..streaming import duplicates
+from ..streaming import duplicates, events
 from .queries import _twins_sql, query, table
 
 
@@ -118,6 +118,21 @@ def stream_originals(spark, sf):
     return spark.read.parquet(f"{at}/out").select(F.col("bug_id").alias("doc_id"), "duplicate_of")
 
 
+_LOGS = ("click", "view", "purchase")
+_LOG_SQL = ", ".join(f"count(*) FILTER (event_type = '{x}') AS n_{x}, max_by(value, event_id) FILTER (event_type = '{x}') AS last_{x}" for x in _LOGS)
+
+
+@query(f"""SELECT user_id AS key, count(*) AS n, min(event_id) AS first_seq, max(event_id) AS last_seq, (max(event_id) - min(event_id) + 1 - count(*))::BIGINT AS missing, {_LOG_SQL} FROM events GROUP BY user_id""")
+def event_logs(spark, sf):
+    """All events appended from a stream, and all once more from another one without its checkpoint; the state of each user."""
+    at = _scratch(spark, "events")
+    rows = _stream(spark, sf, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("log"), "value")
+    for turn in ("first", "again"):
+        run = rows.writeStream.foreachBatch(events.appender(f"{at}/{turn}")).option("checkpointLocation", f"{at}/state-{turn}").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return events.folded(events.logged(spark, f"{at}/first", f"{at}/again"), _LOGS)
+
+
 def _stream(spark, sf, name):
     """A table as a stream of its files; a table of one file is a file of its folder, since a stream reads folders."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")

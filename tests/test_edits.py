@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fixcorpus.functions import java
 from fixcorpus.operators import corpus, edits
 from fixcorpus.sources import jsonlines, records
-from fixcorpus.streaming import duplicates
+from fixcorpus.streaming import duplicates, events
 
 # -- JSON lines ------------------------------------------------------------------------------------
 
@@ -206,3 +206,23 @@ def test_originals_of_a_stream(spark, tmp_path):
         spark.conf.set(provider, before)
     want = corpus.duplicates(spark.createDataFrame(rows, schema)).select("bug_id", "duplicate_of")
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("bug_id", "duplicate_of").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_event_logs_ignore_replays(spark, tmp_path):
+    at, again = str(tmp_path / "log"), str(tmp_path / "again")
+    schema = "key string, seq long, log string, value string, other int"
+    make = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], schema)
+    one, two = [("a", 1, "trace", "x"), ("b", 7, "errors", "e"), ("a", 3, "trace", "y")], [("a", 2, "errors", "z"), ("a", 5, "trace", None), ("a", 1, "trace", "changed")]
+    append = events.appender(at)
+    append(make(one), 0)
+    append(make(two), 1)
+    append(make(two), 1)  # a batch that runs again
+    events.appender(again)(make(two + one), 0)  # another stream over all of it
+    log = events.logged(spark, at, again)
+    assert sorted(map(tuple, log.collect())) == [("a", 1, "trace", "x"), ("a", 2, "errors", "z"), ("a", 3, "trace", "y"), ("a", 5, "trace", None), ("b", 7, "errors", "e")]
+    state = {r["key"]: tuple(r)[1:] for r in events.folded(log, ("trace", "errors")).collect()}
+    assert state == {"a": (4, 1, 5, 1, 3, None, 1, "z"), "b": (1, 7, 7, 0, 0, None, 1, "e")}
+    whole = events.lists(log, spark.createDataFrame([("a",), ("a",), ("c",)], "key string"), ("trace", "errors")).collect()
+    assert [tuple(r) for r in whole] == [("a", ["x", "y", None], ["z"])]
+    with pytest.raises(Exception, match="no key or no number"):
+        append(make([("a", None, "trace", "x")]), 2)
