@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixcorpus.llm import bpe, decontam, neardup, secrets, toxicity
-from fixcorpus.llm.common import drop_stored, fresh, given_out, stored, table
+from fixcorpus.llm.common import drop_stored, fresh, given_out, scratch, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark."""
-    return secrets.redact(docs, secrets.scan(docs, None, path="doc_id"))
+    """All documents, secrets replaced by a mark.
+
+    Findings come from the ledger at the path in the session's setting ``fixcorpus.ledger``, which stays there, so that a later
+    run scans only texts and rules that it lacks; without the setting, from one of this run's own.
+    """
+    at = spark.conf.get("fixcorpus.ledger", None) or scratch(spark, "ledger")
+    return secrets.redact(docs, secrets.updated(docs, at, path="doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
