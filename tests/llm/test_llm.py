@@ -737,6 +737,25 @@ def test_pipeline(spark, data):
     assert len(out) < len(rows)
 
 
+def test_pipeline_ledger(spark, data, tmp_path):
+    import corpus_pipeline
+
+    at = str(tmp_path / "ledger")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("password = abcdefgh12")}))
+    spark.conf.set("fixcorpus.ledger", at)
+    try:
+        first = corpus_pipeline.redact_secrets(spark, docs, data).orderBy("doc_id").collect()
+        scanned = spark.read.parquet(at).count()
+        assert scanned and secrets.scan(docs, secrets.read_ledger(spark, at), path="doc_id").count() == 0
+        assert corpus_pipeline.redact_secrets(spark, docs, data).orderBy("doc_id").collect() == first
+        assert spark.read.parquet(at).count() == scanned
+    finally:
+        spark.conf.unset("fixcorpus.ledger")
+    assert any("[secret]" in (r["text"] or "") for r in first)
+    assert corpus_pipeline.redact_secrets(spark, docs, data).orderBy("doc_id").collect() == first
+
+
 def test_pipeline_odd(spark, odd, data):
     import corpus_pipeline
 
