@@ -126,7 +126,7 @@ class Reader(DataSourceReader):
                 if fault and self.skip:
                     continue
                 if fault:
-                    raise BadLine(f"{partition.path}:{self.number(stream, place)}: {fault}: {line[:80].decode('utf-8', 'replace')}")
+                    raise BadLine(f"{partition.path}:{self.number(stream, place)}: {fault}, so not a JSON object: {line[:80].decode('utf-8', 'replace')}")
                 rows.append((partition.number << _PLACE | place, line.decode("utf-8")))
                 if len(rows) >= ROWS:
                     yield batch(rows)
