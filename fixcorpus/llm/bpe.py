@@ -23,6 +23,7 @@ import functools
 import hashlib
 from collections import Counter, defaultdict
 from itertools import chain, count, islice
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -106,6 +107,9 @@ def _literal(values: np.ndarray, kind: str) -> Column:
 #: A cell of the fold holds the rank of the pair that it begins, its place in the piece and its token, in this order of
 #: bits, so the smallest cell is the leftmost pair of lowest rank.
 _RANK, _PLACE = 46, 16
+#: The cell before a piece; the one after it has the last place.
+_EDGE = NONE << _RANK | NONE
+_LAST = _EDGE | ((1 << _RANK - _PLACE) - 1) << _PLACE
 
 
 def with_ranks(path: str, body) -> Column:
@@ -131,39 +135,37 @@ def with_ranks(path: str, body) -> Column:
     return let(_literal(steps, "array<int>"), lambda s: let(_literal(entries, "array<int>"), lambda e: body(cell(s, e))))
 
 
-def merged(symbols: Column, cell) -> Column:
-    """The fold: ``symbols``, an array of token ids, after all merges. A merge renews two cells."""
+def merged(cells: Column, cell) -> Column:
+    """The fold: token ids of a piece after all merges, from its cells as ``_cells`` gives them. A merge renews two cells.
+
+    Cells stand in the order of their places, so the best one comes after as many cells as have a smaller place.
+    """
     token = lambda c: c.bitwiseAND(F.lit(65_535))
+    place = lambda c: c.bitwiseAND(F.lit((1 << _RANK) - (1 << _PLACE)))
     below = lambda c: c.bitwiseAND(F.lit((1 << _RANK) - 1))
     pair = lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)
-    none = F.lit(NONE << _RANK)
 
     def with_best(cells: Column) -> Column:
         return let(cells, lambda c: F.struct(c.alias("cells"), F.array_min(c).alias("best")))
 
     def one(state: Column, _: Column) -> Column:
         cells, best = state["cells"], state["best"]
-        new = F.shiftright(best, _RANK)
+        new, own = F.shiftright(best, _RANK), place(best)
 
-        def put(at: Column) -> Column:
-            left = F.get(cells, at - 2)
-            two = F.array(
-                F.struct(pair(token(left), new).alias("pair"), below(left).alias("rest")),
-                F.struct(pair(new, token(F.get(cells, at + 1))).alias("pair"), best.bitwiseAND(F.lit((1 << _RANK) - 65_536)).bitwiseOR(new).alias("rest")),
-            )
-            return with_best(F.concat(F.slice(cells, F.lit(1), at - 2), F.transform(two, lambda x: cell(x["pair"], x["rest"])), F.slice(cells, at + 2, F.size(cells))))
+        def put(before: Column) -> Column:
+            left, right = F.get(cells, before - 1), F.get(cells, before + 2)
+            two = F.array(cell(pair(token(left), new), below(left)), cell(pair(new, token(right)), own.bitwiseOR(new)))
+            return with_best(F.flatten(F.array(F.slice(cells, F.lit(1), before - 1), two, F.slice(cells, before + 3, F.size(cells)))))
 
-        return F.when(best >= none, state).otherwise(let(F.array_position(cells, best).cast("int"), put))
+        # array_position stops by an exception, which costs more than to look at all cells of a word
+        before = F.when(F.size(cells) > 256, F.array_position(cells, best).cast("int") - 1).otherwise(F.size(F.filter(cells, lambda c: place(c) < own)))
+        return F.when(best >= _EDGE, state).otherwise(let(before, put))
 
-    def started(s: Column) -> Column:
-        pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: pair(a.cast("bigint"), F.coalesce(b, F.lit(NONE)).cast("bigint")))
-        cells = F.transform(pairs, lambda x, i: cell(x, F.shiftleft((i + 1).cast("bigint"), _PLACE).bitwiseOR(F.shiftright(x, 16))))
-        edge = F.array(F.lit(NONE << _RANK | NONE))
-        last = F.array(F.lit(NONE << _RANK | ((1 << _RANK - _PLACE) - 1) << _PLACE | NONE))
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - 1))
-        return F.aggregate(steps, with_best(F.concat(edge, cells, last)), one, lambda state: F.transform(F.slice(state["cells"], F.lit(2), F.size(state["cells"]) - 2), lambda x: token(x).cast("int")))
+    def started(c: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 3))
+        return F.aggregate(steps, with_best(c), one, lambda state: F.transform(F.slice(state["cells"], F.lit(2), F.size(state["cells"]) - 2), lambda x: token(x).cast("int")))
 
-    return let(symbols, started)
+    return let(cells, started)
 
 
 class Known:
@@ -198,11 +200,11 @@ def dictionary(docs: DataFrame, path: str, pattern: str) -> Known:
         if total > WORDS:
             often = n + 1
             break
-    byte_ids = _byte_ids(load(path))
+    start = _start(load(path))
 
-    def symbols(batches):
+    def cells(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), _symbols(batch.column("word").cast(pa.binary()), byte_ids)], names=["word", "symbols"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _cells(batch.column("word").cast(pa.binary()), start)], names=["word", "cells"])
 
     def packed(batches):
         for batch in batches:
@@ -214,8 +216,8 @@ def dictionary(docs: DataFrame, path: str, pattern: str) -> Known:
 
     # stored, so that the plan with the rank map has no exchange and is planned only once
     made = words.where(F.col("n") >= often).select("word").repartition(words.sparkSession.sparkContext.defaultParallelism)
-    made = stored(made.mapInArrow(symbols, "word string, symbols array<int>"), "symbols")
-    rows = made.select("word", with_ranks(path, lambda cell: merged(F.col("symbols"), cell)).alias("tokens")).mapInArrow(packed, "words binary, bytes binary, sizes binary, tokens binary").collect()
+    made = stored(made.mapInArrow(cells, "word string, cells array<bigint>"), "cells")
+    rows = made.select("word", with_ranks(path, lambda cell: merged(F.col("cells"), cell)).alias("tokens")).mapInArrow(packed, "words binary, bytes binary, sizes binary, tokens binary").collect()
     joint = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind)
     edges = np.concatenate([[0], np.cumsum(joint("bytes", "<u1"), dtype=np.int32)]).astype(np.int32)
     found = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(b"".join(bytes(r["words"]) for r in rows))])
@@ -229,9 +231,9 @@ def _folded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], kno
     """
     small_batches(docs.sparkSession)
     row = T.StructType([docs.schema[c] for c in keep])
-    words = T.ArrayType(T.ArrayType(T.IntegerType()))
+    words = T.ArrayType(T.ArrayType(T.LongType()))
     found = docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(
-        _distinct(_byte_ids(load(path)), known.words, pattern),
+        _distinct(_start(load(path)), known.words, pattern),
         T.StructType([T.StructField("row", row), T.StructField("anew", T.BooleanType()), T.StructField("index", T.BinaryType()), T.StructField("words", words)]),
     )
     tokens = with_ranks(path, lambda cell: F.transform("words", lambda w: merged(w, cell)))
@@ -254,24 +256,44 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     return _folded(docs, path, pattern, keep, known).mapInArrow(run, schema)
 
 
-def _byte_ids(tokens: tuple[bytes, ...]) -> np.ndarray:
-    out = np.zeros(256, dtype=np.int32)
+class Start(NamedTuple):
+    """What the fold starts from: the token of each byte, and the rank of each pair of bytes."""
+
+    ids: np.ndarray
+    ranks: np.ndarray
+
+
+def _start(tokens: tuple[bytes, ...]) -> Start:
+    ids, ranks = np.zeros(256, dtype=np.int64), np.full((256, 256), NONE, dtype=np.int64)
     for i, t in enumerate(tokens):
         if len(t) == 1:
-            out[t[0]] = i
-    return out
+            ids[t[0]] = i
+        elif len(t) == 2:
+            ranks[t[0], t[1]] = i
+    return Start(ids, ranks)
 
 
-def _symbols(words, byte_ids: np.ndarray):
-    """The byte tokens of each word (an Arrow array of bytes)."""
+def _cells(words, start: Start):
+    """The cells of each word (an Arrow array of bytes): its byte tokens with the ranks of their pairs, between two edges."""
     import pyarrow as pa
 
-    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
-    data = byte_ids[np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]] if offsets[-1] > offsets[0] else byte_ids[:0]
-    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(data, pa.int32()))
-
-
-def _distinct(byte_ids: np.ndarray, known, pattern: str):
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets -= offsets[0]
+    sizes = np.diff(offsets)
+    ranks = np.full(len(data), NONE, dtype=np.int64)
+    ranks[:-1] = start.ranks[data[:-1], data[1:]]
+    ranks[offsets[1:][sizes > 0] - 1] = NONE
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.arange(len(data)) - offsets[word] + 1
+    edges = offsets + 2 * np.arange(len(offsets))
+    cells = np.empty(len(data) + 2 * len(sizes), dtype=np.int64)
+    cells[edges[:-1]], cells[edges[1:] - 1] = _EDGE, _LAST
+    cells[edges[word] + places] = ranks << _RANK | places << _PLACE | start.ids[data]
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(cells, pa.int64()))
+
+
+def _distinct(start: Start, known, pattern: str):
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -309,7 +331,7 @@ def _distinct(byte_ids: np.ndarray, known, pattern: str):
                         part.column("row"),
                         pa.array(anew),
                         pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * np.cumsum(counts)).astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())]),
-                        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), _symbols(words.filter(pa.array(new)), byte_ids)),
+                        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), _cells(words.filter(pa.array(new)), start)),
                     ],
                     names=["row", "anew", "index", "words"],
                 )
