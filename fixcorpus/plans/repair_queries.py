@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import java
+from ..functions import sql as published
 from ..operators import edits
 from ..sources import jsonlines
 from ..streaming import duplicates, events
-from .queries import _twins_sql, query, table
+from .queries import _count, _normal, _twins_sql, query, table
 
 
 def _scratch(spark, name: str) -> str:
@@ -33,6 +34,13 @@ def jsonl_read_back(spark, sf):
     return rows.select(said.alias("r")).select("r.doc_id", F.sha2("r.text", 256).alias("digest"), F.length("r.text").cast("long").alias("n_chars"), "r.source")
 
 
+@query(f"SELECT source, sum({_count('text')})::BIGINT AS n_tokens, count(DISTINCT sha256({_normal('text')})) AS n_texts FROM documents WHERE {_count('text')} > 20 GROUP BY source")
+def sql_functions(spark, sf):
+    """Tokens and different normalized texts of each source, by the functions published to SQL."""
+    published.register(spark)
+    return spark.sql("SELECT source, sum(token_count(text)) AS n_tokens, count(DISTINCT sha2(normalize_code(text), 256)) AS n_texts FROM {docs} WHERE token_count(text) > 20 GROUP BY source", docs=table(spark, sf, "documents"))
+
+
 # -- edits -----------------------------------------------------------------------------------------
 
 _N = "CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) END"
