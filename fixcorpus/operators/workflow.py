@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import py_strip
+from ..functions.text import let, py_strip
 
 # Lengths and counts at which texts and lists are cut.
 MAX_TESTS, MAX_MESSAGE, MAX_PATCH, MAX_OUTPUT, MAX_RELATED, MAX_TARGETS = 8, 300, 3000, 20_000, 20, 3
@@ -127,6 +127,33 @@ def first_fenced(text: Column) -> Column:
     return py_strip(F.when(block != "", block).otherwise(text))
 
 
+# Fixed value: the title that may stand before a reply's code.
+CODE_TITLE = "FIXED CODE"
+
+
+def code_of(reply: Column) -> Column:
+    """Code of a reply: its first fenced block, else all of it, without a title line."""
+
+    def untitled(block: Column) -> Column:
+        first = F.substring_index(block, "\n", 1)
+        titled = block.contains("\n") & first.startswith("###") & (py_strip(F.substr(first, F.lit(4))) == CODE_TITLE)
+        return F.when(titled, py_strip(F.substr(block, F.length(first) + 2))).otherwise(block)
+
+    return let(first_fenced(reply), untitled)
+
+
+def diff_of(reply: Column) -> Column:
+    """The unified diff of a reply, from its first old-file header on, ended by a line end; null if there is none."""
+    from_header = lambda block: F.when(F.instr(block, "--- ") > 0, F.substr(block, F.instr(block, "--- ")))
+    return let(from_header(first_fenced(reply)), lambda diff: F.when(diff.contains("\n+++ "), F.concat(diff, F.lit("\n"))))
+
+
+def confidence_of(found: Column) -> Column:
+    """Confidence in a reply's object, from 0 to 1; null if it is no number, as a number or as text."""
+    clamped = lambda x: F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return let(F.get_json_object(found, "$.confidence").try_cast("double"), clamped)
+
+
 def named_tests(reply: Column) -> Column:
     """The first test name of each line, each once."""
     names = F.transform(F.split(reply, "\n"), lambda x: F.regexp_extract(x, r"(?U)(test_\w+)", 1))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import java
 from ..functions import sql as published
-from ..operators import edits
+from ..operators import edits, workflow
 from ..sources import jsonlines
 from ..streaming import duplicates, events
-from .queries import _count, _normal, _twins_sql, query, table
+from .queries import _count, _normal, _stripped, _twins_sql, query, table
 
 
 def _scratch(spark, name: str) -> str:
@@ -108,6 +108,26 @@ def pruned_tests(spark, sf):
     return rows.select("doc_id", edits.test_source_fault(F.col("nodes"), own).alias("fault"), F.sha2(pruned, 256).alias("pruned"))
 
 
+# -- replies ---------------------------------------------------------------------------------------
+
+_BLOCK = "regexp_extract(t, '(?s)```[a-zA-Z0-9_+-]*\\n(.*?)```', 1)"
+
+
+@query(f"""WITH r AS (SELECT doc_id, length(text) % 5 - 2 AS c, CASE doc_id % 3 WHEN 0 THEN 'Here:' || chr(10) || '```diff' || chr(10) || '--- a' || chr(10) || '+++ b' || chr(10) || text || chr(10) || '```' || chr(10) || source
+  WHEN 1 THEN 'So --- a' || chr(10) || '+++ b' || chr(10) || text ELSE '### FIXED CODE ' || chr(10) || text END AS t FROM documents),
+b AS (SELECT doc_id, c, {_stripped(f"CASE WHEN {_BLOCK} <> '' THEN {_BLOCK} ELSE t END")} AS b FROM r), h AS (SELECT *, position('--- ' IN b) AS header FROM b)
+SELECT doc_id, sha256(CASE WHEN starts_with(b, '### FIXED CODE ' || chr(10)) THEN {_stripped("substr(b, 17)")} ELSE b END) AS code,
+  CASE WHEN header > 0 AND contains(substr(b, header), chr(10) || '+++ ') THEN sha256(substr(b, header) || chr(10)) END AS diff, greatest(0, least(1, c))::DOUBLE AS confidence FROM h""")
+def reply_parts(spark, sf):
+    """Replies around every document, a diff in a fence, a diff after words or titled code: their code, diff and confidence."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    kind = F.col("doc_id") % 3
+    fenced = F.concat(F.lit("Here:\n```diff\n--- a\n+++ b\n"), "text", F.lit("\n```\n"), "source")
+    reply = F.when(kind == 0, fenced).when(kind == 1, F.concat(F.lit("So --- a\n+++ b\n"), "text")).otherwise(F.concat(F.lit("### FIXED CODE \n"), "text"))
+    said = F.concat(F.lit('I say {"confidence": '), F.length("text") % 5 - 2, F.lit("} of "), "text")
+    return docs.select("doc_id", F.sha2(workflow.code_of(reply), 256).alias("code"), F.sha2(workflow.diff_of(reply), 256).alias("diff"), workflow.confidence_of(workflow.first_object(said)).alias("confidence"))
+
+
 # -- a stream --------------------------------------------------------------------------------------
 
 

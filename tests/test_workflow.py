@@ -46,6 +46,15 @@ def test_outputs(spark):
     assert one(spark, w.test_section("T", F.col("t"), F.col("m"), 1), t=('["a", "b"]', "array<string>"), m=('{"a": "why"}', "map<string,string>")) == ["T:", "- a: why", "- ... and 1 more"]
 
 
+def test_replies(spark):
+    code = lambda t: one(spark, w.code_of(F.col("t")), t=(t, None))
+    assert [code(t) for t in ("say\n```\n### FIXED CODE\n x\n```", "### FIXED CODE", "###FIXED CODE \n\ny", "", "### OTHER\nz")] == ["x", "### FIXED CODE", "y", "", "### OTHER\nz"]
+    diff = lambda t: one(spark, w.diff_of(F.col("t")), t=(t, None))
+    assert [diff(t) for t in ("a --- x\n+++ y\n-1 ", "--- x", "", "+++ y\n--- x")] == ["--- x\n+++ y\n-1\n", None, None, None]
+    sure = lambda t: one(spark, w.confidence_of(F.col("t")), t=(t, None))
+    assert [sure('{"confidence": %s}' % v) for v in ("0.25", "7", "-1", '"0.5"', '"NaN"', '"high"', "null")] == [0.25, 1.0, 0.0, 0.5, None, None, None]
+
+
 def test_examples(spark):
     ids = lambda *x: (str(list(x)), "array<int>")
     parts = one(spark, w.infill_parts(F.col("t")), t=("a<FILL_ME>b<FILL_ME>c", None))
