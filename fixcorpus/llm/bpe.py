@@ -112,6 +112,11 @@ _EDGE = NONE << _RANK | NONE
 _LAST = _EDGE | ((1 << _RANK - _PLACE) - 1) << _PLACE
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once. Unlike ``let``, which copies the result, a fold over nothing hands it on."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
+
+
 def with_ranks(path: str, body) -> Column:
     """``body(cell)``, where cell(pair a << 16 | b, rest of a cell) is the cell with the rank of the token that the pair makes.
 
@@ -128,44 +133,55 @@ def with_ranks(path: str, body) -> Column:
                 rank = F.least(F.lit(NONE).cast("bigint"), F.get(entry_of, place).bitwiseXOR(F.shiftleft(bucket, 16)))
                 return F.shiftleft(rank, _RANK).bitwiseOR(rest)
 
-            return let((pair * factor).bitwiseAND(F.lit(0xFFFFFFFF)), found)
+            return bound((pair * factor).bitwiseAND(F.lit(0xFFFFFFFF)), found)
 
         return made
 
     return let(_literal(steps, "array<int>"), lambda s: let(_literal(entries, "array<int>"), lambda e: body(cell(s, e))))
 
 
+#: Most cells of a piece whose places are the bits of one integer.
+_SHORT = 62
+
+
 def merged(cells: Column, cell) -> Column:
-    """The fold: token ids of a piece after all merges, from its cells as ``_cells`` gives them. A merge renews two cells.
+    """The fold: token ids of a piece after all merges, from its cells as ``_cells`` gives them. A merge renews two cells and drops one.
 
-    Cells stand in the order of their places, so the best one comes after as many cells as have a smaller place.
+    Cells stand in the order of their places. In a piece of at most ``_SHORT`` cells an integer has the bits of the places that
+    are dropped, so a cell comes after as many others as its place says, less the bits below it. Longer pieces look for the cell.
     """
     token = lambda c: c.bitwiseAND(F.lit(65_535))
     place = lambda c: c.bitwiseAND(F.lit((1 << _RANK) - (1 << _PLACE)))
+    number = lambda c: F.shiftright(place(c), _PLACE)
     below = lambda c: c.bitwiseAND(F.lit((1 << _RANK) - 1))
     pair = lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int"))
 
-    def with_best(cells: Column) -> Column:
-        return let(cells, lambda c: F.struct(c.alias("cells"), F.array_min(c).alias("best")))
+    def fold(c: Column, short: bool) -> Column:
+        def with_best(cells: Column, gone: Column) -> Column:
+            return bound(cells, lambda c: F.struct(c.alias("cells"), F.array_min(c).alias("best"), gone.alias("gone")))
 
-    def one(state: Column, _: Column) -> Column:
-        cells, best = state["cells"], state["best"]
-        new, own = F.shiftright(best, _RANK), place(best)
+        def one(state: Column, _: Column) -> Column:
+            cells, best, gone = state["cells"], state["best"], state["gone"]
+            new = F.shiftright(best, _RANK)
 
-        def put(before: Column) -> Column:
-            left, right = F.get(cells, before - 1), F.get(cells, before + 2)
-            two = F.array(cell(pair(token(left), new), below(left)), cell(pair(new, token(right)), own.bitwiseOR(new)))
-            return with_best(F.flatten(F.array(F.slice(cells, F.lit(1), before - 1), two, F.slice(cells, before + 3, F.size(cells)))))
+            def put(before: Column) -> Column:
+                left, right = F.get(cells, before - 1), F.get(cells, before + 2)
+                two = F.array(cell(pair(token(left), new), below(left)), cell(pair(new, token(right)), place(best).bitwiseOR(new)))
+                rest = F.flatten(F.array(F.slice(cells, F.lit(1), before - 1), two, F.slice(cells, before + 3, F.size(cells))))
+                return with_best(rest, gone.bitwiseOR(bit(number(F.get(cells, before + 1)))) if short else gone)
 
-        # array_position stops by an exception, which costs more than to look at all cells of a word
-        before = F.when(F.size(cells) > 256, F.array_position(cells, best).cast("int") - 1).otherwise(F.size(F.filter(cells, lambda c: place(c) < own)))
-        return F.when(best >= _EDGE, state).otherwise(let(before, put))
+            if short:
+                before = number(best).cast("int") - F.bit_count(gone.bitwiseAND(bit(number(best)) - 1))
+            else:
+                # array_position stops by an exception, which costs more than to look at the cells of a word
+                before = F.when(F.size(cells) > 256, F.array_position(cells, best).cast("int") - 1).otherwise(F.size(F.filter(cells, lambda c: place(c) < place(best))))
+            return F.when(best >= _EDGE, state).otherwise(bound(before, put))
 
-    def started(c: Column) -> Column:
         steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 3))
-        return F.aggregate(steps, with_best(c), one, lambda state: F.transform(F.slice(state["cells"], F.lit(2), F.size(state["cells"]) - 2), lambda x: token(x).cast("int")))
+        return F.aggregate(steps, with_best(c, F.lit(0).cast("bigint")), one, lambda state: F.transform(F.slice(state["cells"], F.lit(2), F.size(state["cells"]) - 2), lambda x: token(x).cast("int")))
 
-    return let(cells, started)
+    return bound(cells, lambda c: F.when(F.size(c) <= _SHORT, fold(c, True)).otherwise(fold(c, False)))
 
 
 class Known:

@@ -157,6 +157,8 @@ def test_bpe_matches_library(spark, monkeypatch, odd, none, small):
     rng = random.Random(3)
     texts = ["".join(chr(rng.choice([32, 10, 39, 65, 97, 115, 116, 48, 0xE9, 0x4E2D, 0x1F600, 0x300, 0xA0, 0x2003])) for _ in range(rng.randint(0, 80))) for _ in range(200)]
     texts += ["aaaaaaaaaaaaaaaaaaaaaaa", "ababababab", "  \n\n  x", "<|endoftext|>", "it's we'll THEY'RE", "x" * 700, "\x1c a\x85b \u2003c", *["the same words again and again"] * 30, *[words(rng, 40, 30) for _ in range(30)]]
+    # about as long as the longest piece whose places are the bits of an integer, and far beyond
+    texts += ["".join(rng.choice("aehinrst") for _ in range(n)) for n in [*range(56, 70), 254, 258, 3000]]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r for r in bpe.digest(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizers.PATTERN).collect()}
     for i, t in rows:
