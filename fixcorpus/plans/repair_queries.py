@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import java
 from ..functions import sql as published
-from ..operators import edits, workflow
+from ..operators import batching, edits, workflow
 from ..sources import jsonlines
 from ..streaming import duplicates, events
 from .queries import _count, _normal, _stripped, _twins_sql, query, table
@@ -172,3 +172,23 @@ def _stream(spark, sf, name):
 def _sides():
     buggy = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "  /* c */  ").otherwise(""))
     return buggy.alias("buggy_code"), F.concat(buggy, F.lit("\nend // d")).alias("fixed_code")
+
+
+_LENGTHS = """SELECT doc_id, coalesce(len(string_split(text, ' ')), 0)::BIGINT AS length, row_number() OVER (ORDER BY coalesce(len(string_split(text, ' ')), 0), md5(doc_id::VARCHAR), doc_id) - 1 AS k FROM documents"""
+
+
+@query(f"SELECT doc_id, length, k // 32 AS batch, k % 32 AS slot FROM ({_LENGTHS})")
+def length_batches(spark, sf):
+    """All documents in batches of 32 of about the same number of words."""
+    return batching.length_batches(table(spark, sf, "documents").select("doc_id", _words()), F.col("words"), F.col("doc_id"), 32).drop("words")
+
+
+@query(f"""SELECT k // 32 AS batch, count(*) AS n, least(2048, ceil(max(least(length, 2048)) / 8) * 8)::BIGINT AS width, sum(least(length, 2048))::BIGINT AS used,
+(count(*) * least(2048, ceil(max(least(length, 2048)) / 8) * 8) - sum(least(length, 2048)))::BIGINT AS wasted FROM ({_LENGTHS}) GROUP BY 1""")
+def batch_paddings(spark, sf):
+    """Width and waste of those batches, with rows as the encoder cuts them: at most 2,048 words."""
+    return batching.paddings(length_batches(spark, sf), most=2048)
+
+
+def _words():
+    return F.size(F.split("text", " ")).alias("words")
