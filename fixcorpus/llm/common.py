@@ -6,6 +6,7 @@ import functools
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -48,14 +49,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Places of tables given out by ``scratch`` and not yet dropped.
-_tables: list[str] = []
+#: Each thread's own list, so that runs beside each other in one session don't delete each other's tables.
+_given = threading.local()
+
+
+def _tables() -> list[str]:
+    """Places of tables given out to this thread by ``scratch`` and not yet dropped."""
+    return _given.__dict__.setdefault("paths", [])
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place for a table in the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _tables.append(path)
+    _tables().append(path)
     return path
 
 
@@ -68,13 +74,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def given_out() -> int:
-    """How many places ``scratch`` has given out that aren't dropped."""
-    return len(_tables)
+    """How many places ``scratch`` has given out to this thread that aren't dropped."""
+    return len(_tables())
 
 
 def drop_stored(spark: SparkSession, since: int, but: int = 0) -> None:
-    """Delete the tables given out after the first ``since``, except for the last ``but``. Nothing still to be computed may read them."""
-    for path in _tables[since : len(_tables) - but]:
+    """Delete the tables given out to this thread after the first ``since``, except for the last ``but``. Nothing still to be computed may read them."""
+    for path in _tables()[since : len(_tables()) - but]:
         delete(spark, path)
 
 
@@ -82,7 +88,8 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete the table at ``path``. Nothing still to be computed may read it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _tables.remove(path)
+    if path in _tables():
+        _tables().remove(path)
 
 
 #: Rows of one Arrow batch: documents are long, and a batch of them is held several times over on its way.

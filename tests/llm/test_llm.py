@@ -1,6 +1,7 @@
 """Operators of the training-data folder against brute force, libraries and edge cases."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -783,6 +784,30 @@ def test_pipeline_with_an_empty_table(spark, data, tmp_path, empty):
     assert common.given_out() == before
 
 
+def test_runs_beside_each_other(spark, data, tmp_path):
+    """Two pipelines and another operator in threads of one session keep off each other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+    from fixcorpus.llm import common
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(60).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    def whole(query):
+        before = common.given_out()
+        rows = sorted(query(spark, str(tmp_path)).collect())
+        at = common._tables()[before:]
+        common.drop_stored(spark, before)
+        return rows, at, common.given_out() - before
+
+    with ThreadPoolExecutor(3) as threads:
+        one, two, other = threads.map(whole, [corpus_pipeline.run, corpus_pipeline.run, registry.op1_quality_rules])
+    assert one[0] and one[0] == two[0] and len(other[0]) == 60
+    assert one[1] and two[1] and not set(one[1]) & set(two[1]) and not set(other[1]) & {*one[1], *two[1]}
+    assert one[2] == two[2] == other[2] == 0 and not any(os.path.exists(at) for _, paths, _ in (one, two, other) for at in paths)
+
+
 def test_registered_sql(spark, data):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
