@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let, py_strip
 
@@ -42,35 +46,115 @@ TOOLS = {
 }
 
 
-#: Queries of one block of ``nearest``.
-BLOCK = 500
+#: Queries of one block of ``nearest``, vectors of one of its tasks, and pairs that a task compares at a time.
+BLOCK, VECTORS, PAIRS = 16_384, 8_192, 1 << 20
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, id, score, rank): the exact ``k`` nearest of each stated query, by squared distance or cosine, ties by id.
 
-    Queries are handled in blocks of about ``BLOCK``, each broadcast: each task compares its vectors with a block and keeps
-    the best ``k`` of each query.
+    Queries are handled in blocks of about ``BLOCK``, each broadcast. A task packs its vectors into a matrix, finds by matrix
+    products which can be among the best ``k`` of a query, and computes the scores of these term by term. Pairs without a
+    score (null vectors or terms, other lengths, a cosine with a zero vector) come last.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    parts = [queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) for i in range(blocks)]
-    return functools.reduce(DataFrame.unionByName, [_nearest(vectors, part, k, metric, id_col, vector) for part in parts])
-
-
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector: str) -> DataFrame:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    small = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(small), F.lit(True))
-    if metric == "l2":
-        value = F.aggregate(F.zip_with("_q", "_v", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-        order = F.col("score")
-    elif metric == "cosine":
-        norm = F.sqrt(dot(F.col("_q"), F.col("_q"))) * F.sqrt(dot(F.col("_v"), F.col("_v")))
-        value, order = dot(F.col("_q"), F.col("_v")) / F.when(norm > 0, norm), F.desc_nulls_last("score")
-    else:
+    if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    parts = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // VECTORS))
+    packed = _packed(vectors.select(id_col, vector).repartition(parts, id_col))
+    asked = queries.select(id_col, vector)
+    blocks_of = [_packed(asked.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).repartition(8, id_col)) for i in range(blocks)]
+    kind = vectors.schema[id_col].dataType
+    schema = T.StructType([T.StructField("query", queries.schema[id_col].dataType), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+    found = [packed.crossJoin(F.broadcast(b.toDF("q_size", "q_ids", "q_terms"))).mapInArrow(_compared(k, metric), schema) for b in blocks_of]
+    order = F.asc_nulls_last("score") if metric == "l2" else F.desc_nulls_last("score")
     best = Window.partitionBy("query").orderBy(order, "id")
-    return rows.select("query", "id", value.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(size, ids, terms): rows (id, vector) of a batch with vectors of one size as one row, by id; size is -1 for those with nulls."""
+    schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("ids", T.ArrayType(rows.schema[0].dataType)), T.StructField("terms", T.BinaryType())])
+
+    def packed(batches):
+        for batch in batches:
+            order = pc.sort_indices(batch.column(0), null_placement="at_start")
+            ids, lists = batch.column(0).take(order), batch.column(1).take(order)
+            sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype("int32")
+            parents, terms = pc.list_parent_indices(lists), lists.flatten()
+            sizes[parents.filter(pc.is_null(terms)).to_numpy(zero_copy_only=False)] = -1
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                own = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("float64").tobytes() if size > 0 else b""
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), ids.take(pa.array(at))), pa.array([own], pa.binary())], ["size", "ids", "terms"])
+
+    return rows.mapInArrow(packed, schema)
+
+
+def _compared(k: int, metric: str):
+    def compared(batches):
+        for batch in batches:
+            sizes, q_sizes = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            for row, (size, q_size) in enumerate(zip(sizes, q_sizes, strict=True)):
+                ids, q_ids = batch.column(1)[row].values, batch.column(4)[row].values
+                if size != q_size or size < 0:
+                    n = min(k, len(ids))
+                    found = [(np.repeat(np.arange(len(q_ids)), n), np.tile(np.arange(n), len(q_ids)), np.full(n * len(q_ids), np.nan), False)]
+                else:
+                    v, q = (np.frombuffer(batch.column(c)[row].as_buffer(), "float64").reshape(len(i), size) for c, i in ((2, ids), (5, q_ids)))
+                    found = _best_pairs(q, v, k, metric)
+                for at, to, score, scored in found:
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), ids.take(pa.array(to)), pa.array(score, mask=~np.broadcast_to(scored, score.shape))], ["query", "id", "score"])
+
+    return compared
+
+
+def _best_pairs(q: np.ndarray, v: np.ndarray, k: int, metric: str):
+    """(rows of ``q``, rows of ``v``, scores, whether there is one) of the best ``k`` rows of each query, the first ones among equals."""
+    norms, q_norms = (_summed(x.shape[0], ((c, c) for c in x.T)) for x in (v, q))
+    tame = all(np.all((n == 0) | ((n > 1e-100) & (n < 1e100))) for n in (norms, q_norms))
+    # of a product's error: far above what rounding can add up to, for terms of norm 1
+    slack = 1e-15 * (v.shape[1] + 8)
+    with np.errstate(all="ignore"):
+        if metric == "cosine":
+            unit, q_unit = (x / np.sqrt(np.where(n > 0, n, 1))[:, None] for x, n in ((v, norms), (q, q_norms)))
+        wide = max(1, PAIRS // max(1, len(v)))
+        for low in range(0, len(q), wide):
+            part = slice(low, low + wide)
+            if not tame or k >= len(v):
+                at, to = (x.ravel() for x in np.indices((len(q[part]), len(v))))
+            else:
+                if metric == "l2":
+                    near = q_norms[part, None] + norms - 2 * (q[part] @ v.T)
+                    room = 8 * slack * (q_norms[part, None] + norms.max())
+                else:
+                    near = np.where((norms > 0) & (q_norms[part, None] > 0), -(q_unit[part] @ unit.T), np.inf)
+                    room = 8 * slack
+                at, to = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k] + room)
+            at = at + low
+            if metric == "l2":
+                score = _summed(len(at), ((d, d) for d in (q[at, j] - v[to, j] for j in range(v.shape[1]))))
+                scored = np.ones(len(at), bool)
+                key = score
+            else:
+                score = np.clip(_summed(len(at), ((q[at, j], v[to, j]) for j in range(v.shape[1]))) / np.sqrt(q_norms[at] * norms[to]), -1, 1)
+                # NaN is the largest number in an order of Spark
+                scored = ~((norms[to] == 0) | (q_norms[at] == 0))
+                key = np.where(scored, np.where(np.isnan(score), -np.inf, -score), np.inf)
+            order = np.lexsort((to, key, at))
+            at, to, score, scored = at[order], to[order], score[order], scored[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+            best = place < k
+            yield at[best], to[best], score[best], scored[best]
+
+
+def _summed(n: int, products) -> np.ndarray:
+    """Sums of products, term by term, as a fold adds them."""
+    out = np.zeros(n)
+    for a, b in products:
+        out += a * b
+    return out
 
 
 def issue_tokens(text: Column) -> Column:

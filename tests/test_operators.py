@@ -1,11 +1,13 @@
 """Operators, sources and the whole build."""
 
 import difflib
+import functools
 import hashlib
 import json
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -411,6 +413,36 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert search.nearest(vectors, asked.limit(0), 3).count() == 0 and search.nearest(vectors.limit(0), asked, 3).count() == 0
 
 
+def test_neighbours_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    vector = lambda: [rng.choice([-1.0, 0.0, 0.5, 3.0, 1e-3]) for _ in range(6)]
+    rows = {i: vector() for i in range(150)} | {200: None, 201: [1.0, None, 2.0, 0.0, 0.0, 0.0], 202: [1.0], 203: [0.0] * 6, 204: []}
+    rows |= {300 + i: rows[i] for i in range(40)}
+    vectors = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")
+    asked = [0, 3, 6, 200, 201, 202, 203]
+    f = lambda x: [struct.unpack("f", struct.pack("f", y))[0] for y in x]
+
+    def score(metric, a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        a, b = f(a), f(b)
+        # one after the other; Python's own sum compensates for rounding
+        added = lambda x: functools.reduce(lambda s, t: s + t, x, 0.0)
+        if metric == "l2":
+            return added((x - y) * (x - y) for x, y in zip(a, b, strict=True))
+        norm = added(x * x for x in a) * added(x * x for x in b)
+        return max(-1.0, min(1.0, added(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(norm))) if norm else None
+
+    monkeypatch.setattr(search, "VECTORS", 40, raising=False)
+    for metric, sign in (("l2", 1), ("cosine", -1)):
+        got = search.nearest(vectors, vectors.where(F.col("vec_id").isin(asked)), 7, metric).collect()
+        for q in asked:
+            scored = sorted((s is None, sign * (s or 0.0), i, s) for i, v in rows.items() for s in [score(metric, rows[q], v)])[:7]
+            found = sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])
+            assert [(r["rank"], r["id"]) for r in found] == [(n + 1, i) for n, (_, _, i, _) in enumerate(scored)]
+            assert [r["score"] for r in found] == pytest.approx([s for *_, s in scored])
+
+
 def test_line_numbers_out_of_range(spark):
     df = spark.createDataFrame([("99999999999",), ("-7",), (" 12 ",), ("x",), (None,)], "t string")
     number, wrong = records.line_number(F.col("t"))
