@@ -388,7 +388,8 @@ def infill_parts(spark, sf):
 x AS (SELECT vec_id, CASE WHEN s <= 17 THEN [] ELSE [1] || p[20:s + 1] END AS p, CASE WHEN s <= 17 THEN c[1:47] || [2] ELSE c END AS c FROM c)
 SELECT vec_id, array_to_string(p || c, ' ') AS ids, array_to_string(list_transform(p, lambda x: -100) || c, ' ') AS labels FROM x""")
 def encoded_examples(spark, sf):
-    level = F.transform("embedding", lambda x: F.floor(x * 100).cast("int"))
+    # a product of floats, as in SQL; that of a double is less than 29 where the float's is 29
+    level = F.transform("embedding", lambda x: F.floor(x * F.lit(100).cast("float")).cast("int"))
     s = (F.col("vec_id") % 60 + 1).cast("int")
     rows = table(spark, sf, "embeddings").select("vec_id", F.slice(level, F.lit(1), s).alias("p"), F.slice(level, s + 1, F.lit(64)).alias("c"))
     made = workflow.encoded_example(F.col("p"), F.col("c"), 48, "left", 1, 2)

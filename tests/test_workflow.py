@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixcorpus.operators import workflow as w
+from fixcorpus.plans import queries, workflow_queries  # noqa: F401  registers the queries
 
 CHUNK = "array<struct<file:string,type:string,name:string,start_line:int,end_line:int,code:string>>"
 
@@ -70,3 +71,14 @@ def test_examples(spark):
     got = {(r["b"], r["input_ids"][0]): r for r in w.padded(rows, "b", 0, 2).collect()}
     assert got[1, 4]["input_ids"] == [4, 0, 0, 0] and got[1, 4]["labels"] == [4, -100, -100, -100] and got[1, 4]["attention_mask"] == [1, 0, 0, 0] and got[2, 5]["input_ids"] == [5, 0]
     assert {tuple(r["input_ids"]) for r in w.padded(rows, "b", 0, 4, left=True).collect()} == {(0, 1, 2, 3), (0, 0, 0, 4), (0, 0, 0, 5)}
+
+
+def test_encoded_examples_against_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    # a float's product of 100 and 0.29 is 29, a double's is less
+    rows = [(i, [0.29, -0.29, 0.57, 0.58, 1.13, 1.15, 0.07, 0.0] * 8) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = db.execute(queries.ORACLES["encoded_examples"]).fetchall()
+    assert sorted(tuple(r) for r in queries.QUERIES["encoded_examples"](spark, str(tmp_path)).collect()) == sorted(want)
