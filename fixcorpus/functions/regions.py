@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import py_strip
+from .text import let, py_strip
 
 
 @dataclass(frozen=True)
@@ -119,12 +119,18 @@ def recover(prompt: Column, options: Options = Options()) -> Column:
     """Lines of the region that a prompt with marks and without line numbers holds; null if it holds none."""
     if not options.marks or options.numbers:
         raise ValueError("only a prompt with marks and without line numbers can be read back")
-    lines = F.split(prompt, "\n")
-    bare = F.transform(lines, py_strip)
-    start = F.array_position(bare, options.start_mark).cast("int")
-    rest = F.slice(bare, start + 1, F.size(bare))
-    end = F.array_position(rest, options.end_mark).cast("int")
-    return F.when((start > 0) & (F.when(start > 0, end) > 0), F.transform(F.slice(lines, F.greatest(start, F.lit(0)) + 1, F.greatest(end - 1, F.lit(0))), lambda x: uncomment_line(x, options.prefix)))
+    def found(lines: Column, bare: Column, start: Column) -> Column:
+        rest = F.slice(bare, start + 1, F.size(bare))
+        return let(F.array_position(rest, options.end_mark).cast("int"), lambda end: part(lines, start, end))
+
+    def part(lines: Column, start: Column, end: Column) -> Column:
+        return F.when((start > 0) & (end > 0), F.transform(F.slice(lines, start + 1, F.greatest(end - 1, F.lit(0))), lambda x: uncomment_line(x, options.prefix)))
+
+    def read(lines: Column) -> Column:
+        return let(F.transform(lines, py_strip), lambda bare: let(F.array_position(bare, options.start_mark).cast("int"), lambda start: found(lines, bare, start)))
+
+    # each value is computed once; the prompt may be a whole rendering
+    return let(F.split(prompt, "\n"), read)
 
 
 def splice(lines: Column, start: Column, end: Column, replacement: Column) -> Column:
