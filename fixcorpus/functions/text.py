@@ -8,16 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space of Python's str.strip, and line ends of str.splitlines.
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Listed one by one, since Java looks up single characters of a class in a table and tries ranges one after the other.
+WS = r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _WS_IN = WS[1:-1]
+_WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 
 #: Tokens of source code; every repetition is possessive, so that long literals need no stack.
+_NAME, _DIGITS = "".join(map(chr, (*range(65, 91), *range(97, 123)))) + "_$", "0123456789"
 TOKEN = (
-    r"[A-Za-z_$][A-Za-z_$0-9]*+|\p{Nd}++(?:\.\p{Nd}++)?[fFdDlL]?"
+    rf"[{_NAME}][{_NAME}{_DIGITS}]*+"
+    r"|\p{Nd}++(?:\.\p{Nd}++)?[fFdDlL]?"
     r'|"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"'
     r"|'[^'\\]*+(?:\\[^\n][^'\\]*+)*+'"
-    rf"|\n|[^{_WS_IN}A-Za-z_$0-9]"
+    rf"|\n|[^{_WS_IN}{_NAME}{_DIGITS}]"
 )
 #: Pieces of source text: line comment, block comment, string, character, other.
 PIECE = (
@@ -34,12 +38,17 @@ def let(value: Column, body) -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def split_lines(c: Column) -> Column:
     """Lines without a phantom last one; the empty text has none."""
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, rf"{LINE_END}\z", ""), LINE_END))
+    return let(F.split(c, LINE_END), without_last_empty)
+
+
+def without_last_empty(parts: Column) -> Column:
+    """Parts of a split without the last one, where that is empty."""
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 def newline_of(c: Column) -> Column:

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regions
-from ..functions.text import LINE_END, WS, py_strip, split_lines
+from ..functions.text import WS, let, py_strip, split_lines, without_last_empty
 
-_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
-#: A line with what ends it, or a last line without.
-_KEPT = rf"[^{_END}]*+{LINE_END}|[^{_END}]++"
+#: The place after a line's end.
+_ENDED = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 #: Columns by which the body of a function stands in.
 STEP = 4
 #: Lines of a bucket of ``lines_in_spans``.
@@ -19,7 +18,7 @@ WIDTH = 64
 
 def kept_lines(text: Column) -> Column:
     """Lines of a text with their ends; joined, they are the text."""
-    return F.regexp_extract_all(text, F.lit(_KEPT), F.lit(0))
+    return let(F.split(text, _ENDED), without_last_empty)
 
 
 # -- functions spliced into a file -----------------------------------------------------------------
@@ -31,18 +30,22 @@ def to_margin(code: Column) -> Column:
     Where only the first line stands there already, as a method cut out of its class does, the body is brought to one step;
     else the common indentation goes. Blank lines of a shifted body are empty.
     """
-    lines = split_lines(code)
     blank = lambda x: py_strip(x) == ""
     depth = lambda x: F.length(x) - F.length(F.regexp_replace(x, rf"\A{WS}+", ""))
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    body = F.filter(rest, lambda x: ~blank(x))
-    first = F.get(lines, 0)
-    excess = F.array_min(F.transform(body, depth)) - STEP
-    shifted = F.when(excess > 0, F.concat(F.array(first), F.transform(rest, lambda x: F.when(blank(x), "").otherwise(x.substr(excess + 1, F.length(x)))))).otherwise(lines)
-    plain = F.transform(lines, lambda x: F.when(x.rlike(r"\A[ \t]*\z"), "").otherwise(x))
-    inked = F.filter(plain, lambda x: x != "")
-    margin = F.when(F.size(inked) > 0, regions.common_indent(inked)).otherwise("")
-    return F.when((F.size(body) > 0) & (depth(first) == 0), shifted).otherwise(regions.dedent(plain, margin))
+
+    def moved(lines: Column) -> Column:
+        rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        body = F.filter(rest, lambda x: ~blank(x))
+        first = F.get(lines, 0)
+        shift = lambda excess: F.when(excess > 0, F.concat(F.array(first), F.transform(rest, lambda x: F.when(blank(x), "").otherwise(x.substr(excess + 1, F.length(x)))))).otherwise(lines)
+        shifted = let(F.array_min(F.transform(body, depth)) - STEP, shift)
+        return F.when((F.size(body) > 0) & (depth(first) == 0), shifted).otherwise(let(F.transform(lines, lambda x: F.when(x.rlike(r"\A[ \t]*\z"), "").otherwise(x)), dedented))
+
+    def dedented(plain: Column) -> Column:
+        margin = lambda inked: F.when(F.size(inked) > 0, regions.common_indent(inked)).otherwise("")
+        return let(let(F.filter(plain, lambda x: x != ""), margin), lambda m: regions.dedent(plain, m))
+
+    return let(split_lines(code), moved)
 
 
 def aligned_to_brace(code: Column) -> Column:
@@ -77,15 +80,18 @@ def spliced(original: Column, targets: Column, functions: Column) -> Column:
     """
     numbered = F.transform(targets, lambda t, i: F.struct((-t["start_line"]).alias("up"), i.alias("turn"), t["name"].alias("name"), t["start_line"].alias("a"), t["end_line"].alias("z")))
 
-    def one(lines: Column, t: Column) -> Column:
-        found = F.try_element_at(functions, t["name"])
-        indent = F.regexp_extract(F.get(lines, t["a"] - 1), r"\A[ \t]*", 0)
-        new = F.transform(to_margin(found), lambda x: F.concat(F.when(py_strip(x) == "", "").otherwise(F.concat(indent, x)), F.lit("\n")))
-        fits = found.isNotNull() & (t["a"] >= 1) & (t["a"] <= F.size(lines))
-        return F.when(fits, F.concat(F.slice(lines, F.lit(1), t["a"] - 1), new, F.slice(lines, F.greatest(t["z"], t["a"] - 1) + 1, F.size(lines)))).otherwise(lines)
+    def one(known: Column, lines: Column, t: Column) -> Column:
+        put = lambda found: F.when(found.isNotNull() & (t["a"] >= 1) & (t["a"] <= F.size(lines)), replaced(lines, t, found)).otherwise(lines)
+        return let(F.try_element_at(known, t["name"]), put)
+
+    def replaced(lines: Column, t: Column, found: Column) -> Column:
+        indented = lambda indent: F.transform(to_margin(found), lambda x: F.concat(F.when(py_strip(x) == "", "").otherwise(F.concat(indent, x)), F.lit("\n")))
+        new = let(F.regexp_extract(F.get(lines, t["a"] - 1), r"\A[ \t]*", 0), indented)
+        return F.concat(F.slice(lines, F.lit(1), t["a"] - 1), new, F.slice(lines, F.greatest(t["z"], t["a"] - 1) + 1, F.size(lines)))
 
-    out = F.array_join(F.aggregate(F.array_sort(numbered), kept_lines(original), one), "")
-    return F.when(~original.endswith("\n") & out.endswith("\n"), out.substr(F.lit(1), F.length(out) - 1)).otherwise(out)
+    # each value is computed once
+    whole = let(functions, lambda known: F.array_join(F.aggregate(F.array_sort(numbered), kept_lines(original), lambda lines, t: one(known, lines, t)), ""))
+    return let(whole, lambda out: F.when(~original.endswith("\n") & out.endswith("\n"), out.substr(F.lit(1), F.length(out) - 1)).otherwise(out))
 
 
 # -- tests that don't compile ----------------------------------------------------------------------
@@ -131,8 +137,8 @@ def droppable(errors: DataFrame, tests: DataFrame, key: str) -> DataFrame:
 
 def without_spans(text: Column, spans: Column) -> Column:
     """``text`` without the lines of ``spans`` (start, end), which may overlap; a null list takes nothing out."""
-    kept = F.filter(kept_lines(text), lambda _, i: ~F.exists(spans, lambda s: (i + 1).between(s["start"], s["end"])))
-    return F.when(spans.isNull(), text).otherwise(F.array_join(kept, ""))
+    kept = lambda out: F.filter(kept_lines(text), lambda _, i: ~F.exists(out, lambda s: (i + 1).between(s["start"], s["end"])))
+    return let(spans, lambda out: F.when(out.isNull(), text).otherwise(F.array_join(kept(out), "")))
 
 
 # -- tests of functions ----------------------------------------------------------------------------
@@ -156,14 +162,12 @@ def without_definitions(source: Column, nodes: Column, names: Column) -> Column:
     ``nodes`` is a column of the file's ``java.code_nodes``. A decorator is each line right above a definition, indented like it, that begins with an at sign.
     """
     found = F.filter(nodes, lambda n: F.array_contains(names, n["name"]))
-    lines = split_lines(source)
     indent = lambda x: F.regexp_extract(x, r"\A[ \t]*", 0)
 
-    def whole(n: Column) -> Column:
-        own = indent(F.get(lines, n["start_line"] - 1))
+    def whole(lines: Column, n: Column) -> Column:
         above = F.reverse(F.slice(lines, F.lit(1), n["start_line"] - 1))
-        marks = F.transform(above, lambda x: x.startswith(F.concat(own, F.lit("@"))))
-        stop = F.array_position(marks, False).cast("int")
-        return F.struct((n["start_line"] - F.when(stop > 0, stop - 1).otherwise(F.size(marks))).alias("start"), n["end_line"].alias("end"))
+        marks = let(F.concat(indent(F.get(lines, n["start_line"] - 1)), F.lit("@")), lambda at: F.transform(above, lambda x: x.startswith(at)))
+        first = lambda m: n["start_line"] - let(F.array_position(m, False).cast("int"), lambda stop: F.when(stop > 0, stop - 1).otherwise(F.size(m)))
+        return F.struct(let(marks, first).alias("start"), n["end_line"].alias("end"))
 
-    return without_spans(source, F.transform(found, whole))
+    return without_spans(source, let(split_lines(source), lambda lines: F.transform(found, lambda n: whole(lines, n))))

@@ -77,9 +77,9 @@ s AS (SELECT doc_id, text, CASE WHEN n < 1 THEN [] ELSE lines[1:a - 1] || [i ||
 SELECT doc_id, sha256(array_to_string(l, chr(10)) || CASE WHEN suffix(text, chr(10)) THEN chr(10) ELSE '' END) AS digest FROM s""")
 def spliced_functions(spark, sf):
     """A function put into every document for its second third of lines, and for each other document another for its last line."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    n = F.size(edits.kept_lines(F.col("text")))
     word = F.coalesce(F.nullif(F.regexp_extract("text", "[a-z]+", 0), F.lit("")), F.lit("x"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.size(edits.kept_lines(F.col("text"))).alias("n"), word.alias("word"))
+    n, word = F.col("n"), F.col("word")
     a = (1 + F.floor(n / 3)).cast("int")
     z = F.floor(n / 2).cast("int")
     target = lambda name, start, end: F.struct(F.lit(name).alias("name"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
