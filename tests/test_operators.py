@@ -462,3 +462,23 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch):
         want = sorted((-ratio(text, t), i) for i, t in texts)[:3]
         assert [(-r["similarity"], r["id"]) for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == want
     assert cleaning.similar_texts(frame(asked[:1]), frame([])).count() == cleaning.similar_texts(frame([]), frame(texts)).count() == 0
+
+
+def test_funnel_has_one_join_without_text(spark, tmp_path):
+    texts = ["", "a b", "a  b", "c\n", "x " * 500, "x  " * 500, None, "d", "e", "f", "a b", "a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries._tagged(spark, str(tmp_path))
+    got = {r["doc_id"]: (r["stage"], r["reason"]) for r in rows.collect()}
+    assert (got[0], got[11], got[5]) == (("clean", "empty_source"), ("clean", "empty_source"), ("duplicates", "duplicate")) and got[1] == ("clean", "empty_source")
+    assert got[4] == ("lengths", "input_too_long") and got[10] == ("clean", "identical") and got[2] == got[6] == got[7] == (None, None)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_opcodes_hold_one_row_s_lines(spark):
+    from fixcorpus.functions import diff
+
+    assert diff.opcodes.evalType == F.arrow_udf(lambda x: x, "int").evalType
+    rows = spark.createDataFrame([(1, ["a", "b"], ["a", "c"]), (2, None, ["a"]), (3, [], []), (4, [], ["a"])], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["o"] if r["o"] is None else [tuple(o) for o in r["o"]] for r in rows.select("i", diff.opcodes("a", "b").alias("o")).collect()}
+    assert got == {1: [("equal", 0, 1, 0, 1), ("replace", 1, 2, 1, 2)], 2: None, 3: [], 4: [("insert", 0, 0, 0, 1)]}
