@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import array
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +15,22 @@ from pyspark.sql import types as T
 OPCODES = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("i1", "i2", "j1", "j2")]]))
 
 
-@F.pandas_udf(OPCODES)
-def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edits that turn the lines ``a`` into ``b``: longest block first, earliest on ties."""
-    return pd.Series([None if x is None or y is None else [dict(zip(("tag", "i1", "i2", "j1", "j2"), o, strict=True)) for o in difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes()] for x, y in zip(a, b, strict=True)])
+@F.arrow_udf(OPCODES)
+def opcodes(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Edits that turn the lines ``a`` into ``b``: longest block first, earliest on ties.
+
+    Only one row's lines are Python's at a time; those of the batch stay in Arrow's memory.
+    """
+    ends, missing, parts = array.array("i", [0]), [], [[], *(array.array("i") for _ in range(4))]
+    for x, y in zip(a, b, strict=True):
+        missing.append(not (x.is_valid and y.is_valid))
+        if not missing[-1]:
+            for edit in difflib.SequenceMatcher(None, x.as_py(), y.as_py(), autojunk=False).get_opcodes():
+                for part, value in zip(parts, edit, strict=True):
+                    part.append(value)
+        ends.append(len(parts[0]))
+    edits = pa.StructArray.from_arrays([pa.array(parts[0], pa.string()), *(pa.array(np.asarray(p, "int32")) for p in parts[1:])], ["tag", "i1", "i2", "j1", "j2"])
+    return pa.ListArray.from_arrays(pa.array(np.asarray(ends, "int32")), edits, mask=pa.array(missing, pa.bool_()))
 
 
 def changes(ops: Column) -> Column:
