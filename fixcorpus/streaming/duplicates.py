@@ -25,27 +25,39 @@ def first_seen(pairs: DataFrame, strategy: str = "normalized", time: str | None
     return marked.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+#: Groups that fingerprints are dealt into. A call of the state's Python function handles one group of a batch, since a call
+#: for each fingerprint costs milliseconds. A checkpoint keeps to the number with which it began.
+GROUPS = 4096
+
+
 class Originals(StatefulProcessor):
-    """For each fingerprint, the order and id of its first pair; forgotten ``ttl`` milliseconds after it was seen last, or never."""
+    """For each fingerprint of a group, the order and id of its first pair; forgotten ``ttl`` milliseconds after it was seen last, or never."""
 
     def __init__(self, kinds: T.StructType, ttl: int | None):
         self.kinds, self.ttl = kinds, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", self.kinds, self.ttl)
+        self.first = handle.getMapState("first", T.StructType([T.StructField("fingerprint", T.StringType())]), self.kinds, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one batch come in no order: its smallest is looked for first, in what little is kept of each row
-        parts = list(rows)
-        known = self.first.get() if self.first.exists() else None
-        if known is None:
-            known = min((o, i) for p in parts for o, i in zip(p["ord"].tolist(), p["bug_id"].tolist(), strict=True))
-        if self.ttl is not None or not self.first.exists():
-            self.first.update(tuple(known))
+        # the rows of one batch come in no order: the smallest of a fingerprint is looked for first, in what little is kept of each row
+        parts = [part[["fingerprint", "ord", "bug_id"]] for part in rows]
+        firsts: dict[str, Any] = {}
+        for part in parts:
+            for f, *own in zip(*(part[c].tolist() for c in part), strict=True):
+                firsts[f] = min(firsts.get(f, own), own)
+        kept = self.first.exists()
+        for f, own in firsts.items():
+            known = self.first.getValue((f,)) if kept else None
+            if known is not None:
+                firsts[f] = known
+            if known is None or self.ttl is not None:
+                self.first.updateValue((f,), tuple(firsts[f]))
         for part in parts:
-            part = part[["ord", "bug_id"]].copy()
-            part["duplicate_of"] = [None if o == known[0] else known[1] for o in part["ord"].tolist()]
-            yield part
+            out = part[["ord", "bug_id"]].copy()
+            found = map(firsts.__getitem__, part["fingerprint"].tolist())
+            out["duplicate_of"] = [None if o == first[0] else first[1] for o, first in zip(part["ord"].tolist(), found, strict=True)]
+            yield out
 
     def close(self) -> None:
         pass
@@ -55,7 +67,7 @@ def with_originals(pairs: DataFrame, strategy: str = "normalized", ttl: int | No
     """(ord, bug_id, duplicate_of) of streaming ``pairs``: the id of the first pair with an equal fingerprint, null for itself.
 
     First is what came in an earlier batch, then what has the smallest order. State holds an order and an id for each
-    fingerprint, and no text is shuffled. Needs the RocksDB state store; with a ``ttl`` (milliseconds), batches never end by
+    fingerprint, looked up by fingerprint, and no text is shuffled. Needs the RocksDB state store; with a ``ttl`` (milliseconds), batches never end by
     themselves, so the trigger must be one of processing time. A pair with a null side is a copy of none; it
     is told by its id.
     """
@@ -63,4 +75,4 @@ def with_originals(pairs: DataFrame, strategy: str = "normalized", ttl: int | No
     rows = pairs.select(F.coalesce(own, F.concat(F.lit("none "), F.col("bug_id").cast("string")), F.lit("none")).alias("fingerprint"), "ord", "bug_id")
     kinds = T.StructType([rows.schema["ord"], rows.schema["bug_id"]])
     out = T.StructType([*kinds.fields, T.StructField("duplicate_of", rows.schema["bug_id"].dataType)])
-    return rows.groupBy("fingerprint").transformWithStateInPandas(statefulProcessor=Originals(kinds, ttl), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl is not None else "None")
+    return rows.withColumn("group", F.pmod(F.xxhash64("fingerprint"), F.lit(GROUPS))).groupBy("group").transformWithStateInPandas(statefulProcessor=Originals(kinds, ttl), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl is not None else "None")
