@@ -175,6 +175,21 @@ def test_bpe_matches_library(spark, monkeypatch, odd, none, small):
     assert bpe.digest(none, path, tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_pieces_are_those_of_the_pattern():
+    """The listed pattern of ``re`` finds what ``regex`` finds: every character of the basic plane alone and in company, and texts beyond it."""
+    regex, tokenizers = pytest.importorskip("regex"), pytest.importorskip("public_tokenizers")
+    assert tokenizers.PATTERN in bpe._LISTED
+    found, want = bpe.finder(tokenizers.PATTERN), regex.compile(tokenizers.PATTERN).findall
+    assert found != want and bpe.finder(r"\w+") == regex.compile(r"\w+").findall
+    plane = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for text in ("".join(plane), *(f"{a}".join(plane) for a in (" ", "a", "1", "!", "'s", " \n ", "\U0001f600"))):
+        assert found(text) == want(text)
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choice(["'", "s", "'re", "'ll", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "Z", "é", "ß", "中", "١", "²", "Ⅷ", "\u0300", "_", "-", "!!", "7", "\U0001d7d8", "\U00020000"]) for _ in range(rng.randint(0, 40)))
+        assert found(text) == want(text), text
+
+
 # -- near-duplicates -------------------------------------------------------------------------------
 
 
