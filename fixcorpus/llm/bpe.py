@@ -22,7 +22,7 @@ import base64
 import functools
 import hashlib
 from collections import Counter, defaultdict
-from itertools import chain, count, islice
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -334,34 +334,70 @@ def _cells(words, start: Start):
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(cells, pa.int64()))
 
 
+def _numbered(known):
+    """A function that gives the numbers of words in ``known`` (an Arrow array of bytes), or -1; words are given as a list, and as bytes.
+
+    A task holds a hash and a number for each known word: as a dict of texts they would take about ten times the memory, in each
+    Python worker. Words of equal hash are compared; of known words with one hash, only the first is found.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    hashes = np.empty(len(known), np.int64)
+    for first in range(0, len(known), 1 << 14):
+        texts = known.slice(first, 1 << 14).cast(pa.string()).to_pylist()
+        hashes[first : first + len(texts)] = np.fromiter(map(hash, texts), np.int64, len(texts))
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    hashes = hashes[order]
+
+    def numbers(words: list[str], as_bytes) -> np.ndarray:
+        out = np.full(len(words), -1, np.int32)
+        own = np.fromiter(map(hash, words), np.int64, len(words))
+        at = np.searchsorted(hashes, own)
+        may = np.flatnonzero(at < len(hashes))
+        may = may[hashes[at[may]] == own[may]]
+        found = order[at[may]]
+        equal = pc.equal(known.take(pa.array(found)), as_bytes.take(pa.array(may))).to_numpy(zero_copy_only=False)
+        out[may[equal]] = found[equal]
+        return out
+
+    return numbers
+
+
 def _distinct(start: Start, known, pattern: str):
     def run(batches):
         import pyarrow as pa
 
         find = finder(pattern)
-        common = known.cast(pa.string()).to_pylist()
-        numbers = None  # of the known words and of the task's others, in the order in which they were met
+        numbers = _numbered(known)
+        others = None  # numbers of the task's other words, in the order in which they were met
 
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH):
                 part = batch.slice(first, BATCH)
                 anew = np.zeros(part.num_rows, bool)
-                if numbers is None or len(numbers) - len(common) > REMEMBERED:
-                    numbers = defaultdict(count(len(common)).__next__, zip(common, count(), strict=False))
+                if others is None or len(others) > REMEMBERED:
+                    others = defaultdict(count(len(known)).__next__)
                     anew[0] = True
-                index, counts, upto = [], [0], [len(numbers)]
+                own = defaultdict(count().__next__)
+                index, counts, upto = [], [0], [0]
                 for text in part.column("text").to_pylist():
                     pieces = find(text or "")
-                    index.append(np.fromiter(map(numbers.__getitem__, pieces), "<i4", len(pieces)))
+                    index.append(np.fromiter(map(own.__getitem__, pieces), "<i4", len(pieces)))
                     counts.append(len(pieces))
-                    upto.append(len(numbers))
-                words = pa.array(list(islice(reversed(numbers), upto[-1] - upto[0]))[::-1], pa.string()).cast(pa.binary())
+                    upto.append(len(own))
+                words = list(own)
+                as_bytes = pa.array(words, pa.string()).cast(pa.binary())
+                number, before = numbers(words, as_bytes), len(known) + len(others)
+                for i in np.flatnonzero(number < 0).tolist():
+                    number[i] = others[words[i]]
+                new = np.flatnonzero(number >= before)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"),
                         pa.array(anew),
-                        pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * np.cumsum(counts)).astype(np.int32).tobytes()), pa.py_buffer(np.concatenate(index).tobytes())]),
-                        pa.ListArray.from_arrays(pa.array(np.array(upto, np.int32) - np.int32(upto[0])), _cells(words, start)),
+                        pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * np.cumsum(counts)).astype(np.int32).tobytes()), pa.py_buffer(number[np.concatenate(index)].astype("<i4").tobytes())]),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(new, upto).astype(np.int32)), _cells(as_bytes.take(pa.array(new)), start)),
                     ],
                     names=["row", "anew", "index", "words"],
                 )

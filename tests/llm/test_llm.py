@@ -190,6 +190,46 @@ def test_bpe_pieces_are_those_of_the_pattern():
         assert found(text) == want(text), text
 
 
+def test_bpe_tasks_hold_known_words_compactly(monkeypatch):
+    """A task that cuts texts holds a few bytes for each known word, not its text; numbers are those of a dict of all words."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    monkeypatch.setattr(bpe, "BATCH", 3)
+    start = bpe._start(bpe.load(tokenizers.path("byte_bpe_50k.tiktoken")))
+    rng = random.Random(5)
+    vocabulary = [f" word{i}é" for i in range(200_000)]
+    texts = [None, "", *("".join(rng.choice([rng.choice(vocabulary), " new%d" % rng.randrange(60)]) for _ in range(rng.randint(0, 30))) for _ in range(60))]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"doc_id": i} for i in range(len(texts))]), pa.array(texts, pa.string())], names=["row", "text"])
+    find = bpe.finder(tokenizers.PATTERN)
+    vocabulary = list(dict.fromkeys(p for v in vocabulary for p in find(v)))
+    for known in (vocabulary, []):
+        as_bytes = pa.array(known, pa.string()).cast(pa.binary())
+        tracemalloc.start()
+        out = list(bpe._distinct(start, as_bytes, tokenizers.PATTERN)(iter([batch])))
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held < 12_000_000, held
+        at, numbers, met = 0, {}, []
+        for part in out:
+            for anew, index, new in zip(part.column("anew").to_pylist(), part.column("index").to_pylist(), part.column("words").to_pylist(), strict=True):
+                if anew:
+                    numbers, met = {w: i for i, w in enumerate(known)}, []
+                want, before = find(texts[at] or ""), len(numbers)
+                for w in want:
+                    if w not in numbers:
+                        numbers[w] = len(numbers)
+                        met.append(w)
+                assert np.frombuffer(index, "<i4").tolist() == [numbers[w] for w in want]
+                assert [len(w) - 2 for w in new] == [len(w.encode()) for w in met[len(met) - (len(numbers) - before) :]]
+                at += 1
+        assert at == len(texts)
+
+
 # -- near-duplicates -------------------------------------------------------------------------------
 
 
