@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import regions, text
 from ..operators import corpus, localization, pycorpus, review, runs, search, workflow
 from ..sources import repository
-from .queries import _LINED, _SUSPECTS, _count, _counted, _lined, _stripped, _suspects, query, table
+from .queries import _LINED, _SUSPECTS, _count, _counted, _lined, _marked, _stripped, _suspects, query, table
 
 
 def _pick(column, values):
@@ -177,8 +177,7 @@ def localization_prompt(spark, sf):
 SELECT b.doc_id, number::BIGINT AS number, score, sha256(array_to_string(a[1:number - 1] || ['// ' || a[number]] || ['<FILL_ME>'] || a[number + 1:len(a)], chr(10))) AS prompt FROM b JOIN w ON b.doc_id = w.doc_id""")
 def localized_prompt(spark, sf):
     issue = table(spark, sf, "benchmark").groupBy().agg(F.min_by("text", "item_id").alias("issue"))
-    marked = F.transform(text.split_lines(F.col("text")), lambda x, i: F.concat(F.when((F.col("doc_id") + i) % 11 == 0, "# if todo == ").when((F.col("doc_id") + i) % 11 == 1, "return  None ").otherwise(""), x))
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id", F.lit(".java")).alias("path"), marked.alias("lines")).join(F.broadcast(issue), F.lit(True))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id", F.lit(".java")).alias("path"), _marked().alias("lines")).join(F.broadcast(issue), F.lit(True))
     found = localization.localized(rows, search.issue_tokens(F.col("issue")), "doc_id")
     return found.select("doc_id", F.col("number").cast("long").alias("number"), "score", F.sha2("prompt", 256).alias("prompt"))
 
