@@ -61,6 +61,11 @@ def token_count(c: Column) -> Column:
     return own + F.regexp_count(c, F.lit(r"(?:\A|\n)[ \t]")).cast("long")
 
 
+def has_tokens(c: Column) -> Column:
+    """Whether a text has a lexical token: a line end, or anything but white space."""
+    return c.rlike(rf"\n|[^{_WS_IN}]")
+
+
 def strip_comments(c: Column) -> Column:
     """Comments as spaces of the same length; line ends stay, literals are left alone."""
     blank = lambda p: F.when(p.startswith("//") | p.startswith("/*"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)
