@@ -67,12 +67,14 @@ def length_reason(limits: Limits = Limits()) -> Column:
 def token_stats(values: DataFrame, by: list[str], value: str = "n") -> DataFrame:
     """count, total, min, max, mean, median and nearest-rank p90, p95, p99 by group.
 
-    Equal lengths are counted before they meet, and ranks come from running counts over the distinct lengths.
+    Equal lengths are counted before they meet, and ranks come from running counts over the distinct lengths. A null counts
+    as a row, ranks after all lengths, and is left out of total, min, max and median.
     """
     counted = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    running = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*by).orderBy(F.asc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    rows = counted.withColumns({"upto": F.sum("c").over(running), "all": F.sum("c").over(whole)})
+    known = F.sum(F.when(F.col(value).isNotNull(), F.col("c"))).over(whole)
+    rows = counted.withColumns({"upto": F.sum("c").over(running), "all": F.sum("c").over(whole), "known": known})
     at = lambda index: F.min(F.when(F.col("upto") > index, F.col(value)))
     rank = lambda f: F.bround(F.lit(f) * (F.col("all") - 1), 0).cast("long")
     return rows.groupBy(*by).agg(
@@ -81,7 +83,7 @@ def token_stats(values: DataFrame, by: list[str], value: str = "n") -> DataFrame
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 2).alias("mean"),
-        ((at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2.0).alias("median"),
+        ((at(F.floor((F.col("known") - 1) / 2)) + at(F.floor(F.col("known") / 2))) / 2.0).alias("median"),
         *[at(rank(f)).alias(f"p{int(f * 100)}") for f in (0.90, 0.95, 0.99)],
     )
 

@@ -42,3 +42,8 @@ def test_an_empty_text_is_a_blank_line(spark, odd, name):
 @pytest.mark.parametrize("name", ["token_count", "token_histogram", "token_limit_reject", "truncation_counts"])
 def test_a_text_without_tokens_has_no_count(spark, odd, name):
     same_as_sql(spark, odd, name)
+
+
+@pytest.mark.parametrize("name", ["token_percentiles"])
+def test_a_missing_count_is_a_row_that_ranks_last(spark, odd, name):
+    same_as_sql(spark, odd, name)
