@@ -44,6 +44,6 @@ def test_a_text_without_tokens_has_no_count(spark, odd, name):
     same_as_sql(spark, odd, name)
 
 
-@pytest.mark.parametrize("name", ["token_percentiles"])
+@pytest.mark.parametrize("name", ["token_percentiles", "token_stats_by_lang"])
 def test_a_missing_count_is_a_row_that_ranks_last(spark, odd, name):
     same_as_sql(spark, odd, name)
