@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import regions, text
 from ..operators import corpus, localization, pycorpus, review, runs, search, workflow
 from ..sources import repository
-from .queries import _LINED, _SUSPECTS, _count, _counted, _lined, _marked, _stripped, _suspects, query, table
+from .queries import _LINED, _SUSPECTS, _count, _counted, _lined, _marked, _stripped, _suspects, _tokens, query, table
 
 
 def _pick(column, values):
@@ -289,7 +289,7 @@ def seeded_sample(spark, sf):
 
 @query(f"WITH d AS (SELECT doc_id, {_count('text')} AS n FROM documents) SELECT doc_id, 2 * n AS total FROM d WHERE doc_id % 3 <> 0 AND 2 * n <= 800")
 def trainable_rows(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 != 0, "<FILL_ME>").otherwise("")).alias("input"), text.token_count(F.col("text")).alias("input_tokens"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 != 0, "<FILL_ME>").otherwise("")).alias("input"), _tokens(F.col("text")).alias("input_tokens"))
     return corpus.trainable(rows.withColumn("output_tokens", F.col("input_tokens")), 800).select("doc_id", corpus.total_tokens().alias("total"))
 
 
